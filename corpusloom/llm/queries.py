@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
+from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_array_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op3_simhash": op3_simhash,
+    "op4_bpe": op4_bpe,
 }
 SQL: dict[str, str] = {}

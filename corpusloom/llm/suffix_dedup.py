@@ -158,7 +158,7 @@ def _batches(rows: list[tuple]) -> pa.Table:
 def _by_dest(dest: np.ndarray):
     order = np.argsort(dest, kind="stable")
     cuts = np.flatnonzero(np.diff(dest[order], prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=False):
         yield int(dest[order[a]]), order[a:b]
 
 
