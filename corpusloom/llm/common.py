@@ -87,3 +87,22 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
         at += size
     return out
+
+
+def labelled_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int) -> list:
+    """At most about `per_label` rows of each label, the same ones for the same rows: those whose id hashes lowest.
+
+    One count by label sets a threshold for the hash; rows below it are fetched, never more than 1.25 `per_label` of a label.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
+    rank = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
+    chosen = F.lit(False)
+    for label, n in counts.items():
+        chosen |= (F.col(label_col) == F.lit(label)) & (rank < F.lit(int(min(1.0, per_label / n) * (1 << 40))))
+    found = rows.where(chosen).withColumn("_rank", rank).orderBy("_rank", id_col).limit(per_label * max(1, len(counts)) * 5 // 4).drop("_rank").collect()
+    taken, out = dict.fromkeys(counts, 0), []
+    for row in found:
+        taken[row[label_col]] += 1
+        if taken[row[label_col]] <= per_label * 5 // 4:
+            out.append(row)
+    return out

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .fracsketch import op6_fingerprints
+from .langid import op7_langid
+from .media import op8_media
+from .quality import op5_quality
 from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_array_dedup
 
@@ -10,5 +14,9 @@ QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_langid": op7_langid,
+    "op8_media": op8_media,
 }
 SQL: dict[str, str] = {}
