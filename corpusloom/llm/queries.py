@@ -6,17 +6,23 @@ from .bpe import op4_bpe
 from .fracsketch import op6_fingerprints
 from .langid import op7_langid
 from .media import op8_media
+from .packing import op2_packing
 from .quality import op5_quality
 from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_array_dedup
+from .token_counts import op9_token_counts
+from .warc import op10_warc_fixity
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
     "op6_fingerprints": op6_fingerprints,
     "op7_langid": op7_langid,
     "op8_media": op8_media,
+    "op9_token_counts": op9_token_counts,
+    "op10_warc_fixity": op10_warc_fixity,
 }
 SQL: dict[str, str] = {}
