@@ -8,6 +8,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that one block of documents holds on average.
 BLOCK_BYTES = 8 << 20
@@ -106,3 +107,35 @@ def labelled_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int
         if taken[row[label_col]] <= per_label * 5 // 4:
             out.append(row)
     return out
+
+
+def with_text_results(docs: DataFrame, text_col: str, fields: dict[str, str], make, rows_at_once: int = 200) -> DataFrame:
+    """All columns of `docs`, then `fields` (name: DDL type) that `make()(texts)` gives as one array each for a list of texts.
+
+    Texts are bytes, null ones empty. The caller picks names that `docs` doesn't have, see `unused`.
+    """
+    text = unused(docs, "_text")
+    rows = docs.withColumn(text, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"))
+    schema = StructType(list(docs.schema))
+    for name, kind in fields.items():
+        schema = schema.add(name, kind)
+    kept = list(docs.columns)
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                found = work(part.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *found], [*kept, *fields])
+
+    return rows.mapInArrow(run, schema)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as make it new to `docs`."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name

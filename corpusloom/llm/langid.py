@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, labelled_sample, table
+from .common import id_and_text, labelled_sample, table, unused, with_text_results
 
 SLOTS = 1 << 12
 #: Characters counted at a time; counts of parts add up to those of the whole text.
@@ -157,6 +157,17 @@ def languages(docs: DataFrame, model: CodedLanguages, id_col: str = "doc_id", te
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def recognised(docs: DataFrame, model: CodedLanguages, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose language is known and not ambiguous."""
+    sent, keep = docs.sparkSession.sparkContext.broadcast(model), unused(docs, "known")
+
+    def make():
+        model = sent.value
+        return lambda texts: [pa.array([lang != UNKNOWN and not unsure for lang, _, unsure in model.predict([t.decode("utf-8", "replace") for t in texts])], pa.bool_())]
+
+    return with_text_results(docs, text_col, {keep: "boolean"}, make).where(F.col(keep)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7_langid(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = languages(docs, fit_languages(docs))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, labelled_sample, table
+from .common import id_and_text, labelled_sample, table, unused, with_text_results
 
 CHUNK, OVERLAP, WIDTH, FILTERS = 512, 32, 8, 16
 LAGS = range(2, 33)
@@ -100,7 +100,8 @@ class ByteConvNet:
         params = {"filters": net.filters, "bias": net.bias, "weights": net.weights}
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
         off1 = off2 = t = 0
-        for _ in range(epochs):
+        # few rows are shown more often
+        for _ in range(max(epochs, -(-400 * batch // len(texts)) if len(texts) < 400 * batch // epochs else 0)):
             order = rng.permutation(len(texts))
             for lo in range(0, len(order), batch):
                 pick = order[lo : lo + batch]
@@ -171,6 +172,13 @@ def quality_scores(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", te
     return id_and_text(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, score double")
 
 
+def good_documents(docs: DataFrame, net: ByteConvNet, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores `threshold` or more."""
+    model, score = docs.sparkSession.sparkContext.broadcast(net), unused(docs, "score")
+    out = with_text_results(docs, text_col, {score: "double"}, lambda: lambda texts: [pa.array(model.value.scores(texts), pa.float64())])
+    return out.where(F.col(score) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))

@@ -10,6 +10,7 @@ So are pairs whose members are known to be connected already.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -25,21 +26,38 @@ FANOUT = 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes, shingle_words: int = 4, seed: int = 42) -> int:
+def shingle_hashes(text: bytes, shingle_words: int, seed: int = 42) -> np.ndarray:
     words = text.translate(LOWER).split()
     n = len(words) - shingle_words + 1
-    if not words:
-        return 0
     joined = b" ".join(words)
     if n <= 1:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle_words - 1 :].tolist(), strict=True)], np.uint64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle_words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Of hashes of some words each (n, words), the bits set in over half; zero of none."""
+    n, words = hashes.shape
+    if not n:
+        return np.zeros(words, np.uint64)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8 * words), axis=1, bitorder="little")
     counts = np.add.reduceat(bits, np.arange(0, n, 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * counts > n, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes, shingle_words: int = 4, seed: int = 42) -> int:
+    return int(majority(shingle_hashes(text, shingle_words, seed)[:, None])[0])
+
+
+def wide_fingerprint(text: bytes, shingle_words: int = 5, words: int = 4) -> np.ndarray:
+    """A fingerprint of several words, all from one hash of each shingle."""
+    h = shingle_hashes(text, shingle_words)[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(k)
+    return majority(np.ascontiguousarray(h ^ (h >> np.uint64(31))))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
@@ -77,13 +95,18 @@ def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, first[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def apart(x: np.ndarray) -> np.ndarray:
+    """Set bits of each row of words."""
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
 def linked(fps: np.ndarray, top: np.ndarray, bits: int, block: int = 1 << 20) -> np.ndarray:
-    """Smallest index that each of `fps` (uint64, sorted by top node and Gray rank) reaches by links inside its top node."""
+    """Smallest index that each of `fps` (rows of uint64 words, sorted by top node and Gray rank) reaches by links inside its top node."""
     n = len(fps)
-    near = (top[1:] == top[:-1]) & (np.bitwise_count(fps[1:] ^ fps[:-1]) <= bits)
+    near = (top[1:] == top[:-1]) & (apart(fps[1:] ^ fps[:-1]) <= bits)
     root = local_roots(n, np.flatnonzero(near), np.flatnonzero(near) + 1)
     # levels of nodes: first and end of children, shared bits and their values, one root of all members or -1
-    levels = [(None, None, np.full(n, ~np.uint64(0)), fps, top)]
+    levels = [(None, None, np.full_like(fps, ~np.uint64(0)), fps, top)]
     while True:
         _, _, shared, value, node_top = levels[-1]
         size = len(value)
@@ -92,8 +115,8 @@ def linked(fps: np.ndarray, top: np.ndarray, bits: int, block: int = 1 << 20) ->
             break
         nth = np.arange(size) - np.repeat(start, np.diff(start, append=size))
         at = np.flatnonzero(nth % FANOUT == 0)
-        both, any_ = np.bitwise_and.reduceat(value, at), np.bitwise_or.reduceat(value, at)
-        mask = np.bitwise_and.reduceat(shared, at) & ~(both ^ any_)
+        both, any_ = np.bitwise_and.reduceat(value, at, axis=0), np.bitwise_or.reduceat(value, at, axis=0)
+        mask = np.bitwise_and.reduceat(shared, at, axis=0) & ~(both ^ any_)
         levels.append((at, np.append(at[1:], size), mask, both & mask, node_top[at]))
 
     def one_root(depth: int) -> np.ndarray:
@@ -101,7 +124,7 @@ def linked(fps: np.ndarray, top: np.ndarray, bits: int, block: int = 1 << 20) ->
         for k in range(1, depth + 1):
             at = levels[k][0]
             low, high = np.minimum.reduceat(r, at), np.maximum.reduceat(r, at)
-            r = np.where((low == high), low, -1 - np.arange(len(at))) if k else r
+            r = np.where(low == high, low, -1 - np.arange(len(at)))
         return r
 
     a = b = np.arange(len(levels[-1][3]))
@@ -109,14 +132,14 @@ def linked(fps: np.ndarray, top: np.ndarray, bits: int, block: int = 1 << 20) ->
     while stack:
         depth, a, b = stack.pop()
         if depth == 0:
-            hit = np.bitwise_count(fps[a] ^ fps[b]) <= bits
+            hit = apart(fps[a] ^ fps[b]) <= bits
             a, b = root[a[hit]], root[b[hit]]
             if (a != b).any():
                 root = local_roots(n, np.concatenate([np.arange(n), a]), np.concatenate([root, b]))
             continue
         r = one_root(depth)
         mask, value = levels[depth][2:4]
-        keep = (np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b]) <= bits) & ~((r[a] == r[b]) & (r[a] >= 0))
+        keep = (apart((value[a] ^ value[b]) & mask[a] & mask[b]) <= bits) & ~((r[a] == r[b]) & (r[a] >= 0))
         a, b = a[keep], b[keep]
         first, end = levels[depth][:2]
         span = max(1, block // FANOUT**2)
@@ -140,7 +163,7 @@ def _link(masks: list[int], bits: int):
         fps, rep, pattern, mask = fps[order], rep[order], pattern[order], mask[order]
         new = np.ones(len(fps), bool)
         new[1:] = (pattern[1:] != pattern[:-1]) | (mask[1:] != mask[:-1])
-        root = linked(fps, np.cumsum(new), bits)
+        root = linked(fps[:, None], np.cumsum(new), bits)
         least = np.full(len(fps), np.iinfo(np.int64).max)
         np.minimum.at(least, root, rep)
         low = least[root]
@@ -181,6 +204,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(groups.select("fp", F.col("component").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
+def expected_difference(similarity: float) -> float:
+    """Share of bits that differ between texts of equal size with that share of common shingles."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_masks(count: int, bits: int, words: int, seed: int = 11) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    out = np.zeros((count, 64 * words), np.uint8)
+    for row in out:
+        row[rng.choice(64 * words, bits, replace=False)] = 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, words: int = 4, recall: float = 0.97) -> DataFrame:
+    """doc_id long, component_id long of each row of `docs`: the smallest id reachable over texts estimated `similarity` alike.
+
+    One 64-bit word can't tell 0.8 from 0.7 alike, so fingerprints have `words` words here. Two link if they differ in at
+    most the bits expected at `similarity` and one standard deviation. The top nodes of the index are masks of sampled
+    bits, more of each the more fingerprints there are, and so many that a pair of exactly that similarity meets in one of
+    them with probability `recall`; more similar pairs meet more surely. Texts without words are all alike. Nulls, ties,
+    repeated rows and empty tables as in `near_duplicates`.
+    """
+    spark = docs.sparkSession
+    last = (1 << 63) - 1
+
+    def prints(batches):
+        for batch in batches:
+            fps = [wide_fingerprint(t, shingle_words, words).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+
+    texts = id_and_text(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
+    fps = materialise(texts.mapInArrow(prints, "doc_id long, fp binary"))
+    distinct = materialise(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(last))).alias("rep")))
+    n = distinct.count()
+    p = expected_difference(similarity)
+    limit = int(64 * words * p + math.sqrt(64 * words * p * (1 - p)))
+    sampled = max(14, n.bit_length() - 3)
+    masks = sampled_masks(math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** sampled)), sampled, words)
+    buckets = max(-(-n * len(masks) // 200_000), 2 * shuffle_partitions(spark))
+
+    def patterns(fps: np.ndarray) -> np.ndarray:
+        """A hash of each row under each mask (masks, rows)."""
+        out = np.zeros((len(masks), len(fps)), np.uint64)
+        for k, mask in enumerate(masks):
+            h = np.full(len(fps), k + 1, np.uint64)
+            for w in range(words):
+                h = (h ^ (fps[:, w] & mask[w])) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            out[k] = h
+        return out
+
+    def deal(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                blobs = part.column("fp")
+                found = patterns(np.frombuffer(b"".join(blobs.to_pylist()), np.uint64).reshape(-1, words))
+                for h in found:
+                    bucket = (h >> np.uint64(20)) % np.uint64(buckets)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(h.view(np.int64)), blobs, part.column("rep")], ["bucket", "node", "fp", "rep"])
+
+    def link(key, rows):
+        rows = rows.combine_chunks()
+        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, words)
+        node, rep = rows.column("node").to_numpy(), rows.column("rep").to_numpy()
+        order = np.lexsort((rep, gray_rank(fps[:, 0]), node))
+        fps, rep, node = fps[order], rep[order], node[order]
+        root = linked(fps, np.cumsum(np.diff(node, prepend=node[0]) != 0), limit)
+        least = np.full(len(rep), last)
+        np.minimum.at(least, root, rep)
+        far = least[root] != rep
+        return pa.table({"u": pa.array(rep[far]), "v": pa.array(least[root][far])})
+
+    links = distinct.mapInArrow(deal, "bucket int, node long, fp binary, rep long").groupBy("bucket").applyInArrow(link, "u long, v long")
+    roots = components(links)
+    groups = distinct.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return fps.join(groups, "fp").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that have the smallest id of their group; rows of equal id are one document, of which one row stays."""
+    key = f"_key_{id_col}"
+    groups = similar_documents(docs, similarity, id_col, text_col)
+    chosen = groups.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias(key), "component_id").where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))).join(chosen, key, "left_semi").dropDuplicates([key]).drop(key)
+
+
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

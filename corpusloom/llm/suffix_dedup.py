@@ -110,7 +110,7 @@ class _Block:
         ids = rows.column("doc_id").to_pylist()
         texts = rows.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k]))
-        self.ids = [ids[k] for k in order]
+        self.order, self.ids = order, [ids[k] for k in order]
         self.order_id = np.array([NO_ID if x is None else x for x in self.ids], np.int64)
         texts = [texts[k] for k in order]
         self.len = np.array([len(t) for t in texts], np.int64)
@@ -333,7 +333,7 @@ def _refine(window: int):
     return run
 
 
-def _cut(window: int):
+def _cut(window: int, carried: int = 0):
     def run(key, rows, said):
         block = _Block(rows)
         n = int(block.len.sum())
@@ -383,33 +383,55 @@ def _cut(window: int):
             "n_removed": pa.array(removed.astype(np.int64)),
             "spans": pa.ListArray.from_arrays(pa.array(offsets), pairs),
             "kept": pa.Array.from_buffers(pa.binary(), len(block.ids), [None, pa.py_buffer(bounds), pa.py_buffer(kept)]),
+            **{f"_c{k}": rows.column(f"_c{k}").take(pa.array(block.order, pa.int64())) for k in range(carried)},
         })
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Texts without the bytes that a `window`-byte string also starting in a document with a smaller id covers.
 
     Returns one row for each row of `docs`: doc_id long, n_bytes long, n_removed long, spans array of (start, end) byte
-    offsets that went, kept binary. Null texts count as empty. A null id counts as larger than any other; rows of equal
-    id remove nothing from each other, so repeated rows come out alike. Texts below `window` bytes stay whole. An empty
-    table gives an empty result. Other columns are not read. `window` is 40 to 200.
+    offsets that went, kept binary, then the columns `carry` of `docs` as _c0, _c1 and so on. Null texts count as empty. A
+    null id counts as larger than any other; rows of equal id remove nothing from each other, so repeated rows come out
+    alike. Texts below `window` bytes stay whole. An empty table gives an empty result. No other column is read. `window` is
+    40 to 200.
     """
     if not 40 <= window <= 200:
         raise ValueError("window must be 40 to 200")
-    texts = id_and_text(docs, id_col, text_col)
-    blocks = text_blocks(texts, block_bytes)
+    blocks = text_blocks(id_and_text(docs, id_col, text_col), block_bytes)
     buckets = max(blocks // 2, shuffle_partitions(docs.sparkSession))
-    rows = texts.select("doc_id", F.col("text").cast("binary").alias("text"), block_of("doc_id", blocks)).groupBy("block")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text")
+    more = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carry)]
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text, *more)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name.startswith("_c"))
+    rows = rows.select("*", block_of("doc_id", blocks)).groupBy("block")
     judged = rows.applyInArrow(_announce(buckets, window), _MESSAGES).groupBy("dest").applyInArrow(_judge, _MESSAGES)
     asked = rows.cogroup(judged.groupBy("block")).applyInArrow(_request(buckets, window), _MESSAGES)
     spans = asked.groupBy("dest").applyInArrow(_refine(window), _MESSAGES)
     return rows.cogroup(spans.groupBy("block")).applyInArrow(
-        _cut(window), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
+        _cut(window, len(carry)), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary" + kinds
     )
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """The rows of `docs`, all columns, with repeated passages cut from their texts.
+
+    A character of which a cut left only some bytes goes with it. A text of which only white space is left goes as a whole;
+    n_chars, where there is such a column, counts what is left.
+    """
+    out = remove_repeats(docs, id_col, text_col, window, carry=tuple(docs.columns))
+    kept = F.col("kept").cast("string")
+    kept = F.when(F.is_valid_utf8(kept), kept).otherwise(F.translate(F.make_valid_utf8(kept), "\ufffd", ""))
+    out = out.withColumn("kept", kept).where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
+    at = {c: F.col(f"_c{k}") for k, c in enumerate(docs.columns)}
+    at[text_col] = F.when(F.col("n_removed") == 0, at[text_col]).otherwise(F.col("kept"))
+    if "n_chars" in at:
+        at["n_chars"] = F.when(F.col("n_removed") == 0, at["n_chars"]).otherwise(F.char_length("kept").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[v.alias(c) for c, v in at.items()])
+
+
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
