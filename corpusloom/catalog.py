@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from .plans import queries_models, queries_tables, queries_terms
 
-FLAGSHIP = "filter_non_blank_id"
-
-
-def _documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.trim("source") != "").groupBy("source").agg(F.count("*").alias("n"))
-
-
-QUERIES = {"filter_non_blank_id": _documents}
-SQL = {"filter_non_blank_id": "SELECT source, count(*) AS n FROM documents WHERE trim(source) <> '' GROUP BY source"}
+#: Best terms of each keyword and period.
+FLAGSHIP = "pmi_topk"
+QUERIES = queries_terms.QUERIES | queries_tables.QUERIES | queries_models.QUERIES
+SQL = queries_terms.SQL | queries_tables.SQL | queries_models.SQL

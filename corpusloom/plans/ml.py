@@ -18,7 +18,7 @@ from ..functions.text import checked_answer, shorten
 from ..operators.evaluation import metrics, predictions
 from ..operators.ranking import first_of
 
-# The reference trains a transformer; these are stand-ins of the same interface, not the same algorithm.
+# Stand-ins for a fine-tuned transformer, UMAP and HDBSCAN, behind the same interface: not the same algorithms.
 
 
 def train(df: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 16, regularisation: Sequence[float] = (0.001, 0.01), split: str = "split") -> tuple[PipelineModel, DataFrame]:
