@@ -97,7 +97,8 @@ class CodedLanguages:
         return cls(names, code, weights, bias, trust)
 
     def distances(self, x: np.ndarray) -> np.ndarray:
-        f = np.clip(x @ self.weights + self.bias, -30, 30)
+        # einsum, not a matrix product, whose rounding may depend on the texts beside a text
+        f = np.clip(np.einsum("ij,jk->ik", x, self.weights) + self.bias, -30, 30)
         loss = np.logaddexp(0, -f[:, None, :] * self.code[None])
         return (loss * self.trust).sum(axis=2) / self.trust.sum()
 

@@ -85,7 +85,9 @@ class ByteConvNet:
         if not texts:
             return np.zeros(0)
         x, _, _ = self.pooled(*chunks_of(texts))
-        return 1 / (1 + np.exp(-np.clip((x @ self.weights + self.offset).astype(np.float64), -30, 30)))
+        # row by row, so that a text's score doesn't depend on the texts beside it, as it may in a matrix product
+        raw = (x.astype(np.float64) * self.weights).sum(axis=1) + self.offset
+        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
     @classmethod
     def fit(cls, texts: list[bytes], labels: list[int], epochs: int = 9, batch: int = 32, rate: float = 0.01, seed: int = 7) -> ByteConvNet:

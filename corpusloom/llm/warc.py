@@ -37,7 +37,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
 
     Null ids count as 0 in that deal. An empty table gives an empty result; repeated rows stay repeated records.
     """
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), warc_record(F.col(f"`{url_col}`"), F.col(f"`{body_col}`"), F.coalesce(F.col(f"`{id_col}`"), F.lit("null"))).alias("record"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), warc_record(F.col(f"`{url_col}`"), F.col(f"`{body_col}`"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).alias("record"))
     total = rows.agg(F.sum(F.octet_length("record"))).first()[0] or 0
     files = max(-(-total // file_bytes), 2 * shuffle_partitions(pages.sparkSession))
     return rows.select("page_id", F.pmod(F.xxhash64(F.coalesce("page_id", F.lit(0))), F.lit(files)).alias("file"), "record")
