@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -94,8 +95,6 @@ def emoji_placeholder(c: Text) -> Column:
 
 def emoji_names(c: Text) -> Column:
     """Each emoji as :its_unicode_name:, [emoji] if it has none. The one function that needs Python."""
-    import pandas as pd
-
     @F.pandas_udf(StringType())
     def named(texts: pd.Series) -> pd.Series:
         import re
