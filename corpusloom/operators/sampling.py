@@ -63,28 +63,35 @@ def allocate(counts: dict[str, int], n: int, least: int = 0) -> dict[str, int]:
     return take
 
 
+def _hash_rank(rows: DataFrame, group: str, id_col: str, seed: int, wanted: Column | None = None) -> DataFrame:
+    """Adds _r, the rank from 1 of the hash of id and seed within the group, and _all, the group's rows.
+
+    Ranks come from counts of hash prefixes, 4096 a group, then ranks within a prefix, so no group is one task. With
+    `wanted`, prefixes that start after that rank are left out before any row is sorted.
+    """
+    rows = rows.withColumn("_h", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")).cast("binary"))).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = rows.groupBy(group, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_b")
+    sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(group)))
+    rows = rows.join(sizes.drop("_n"), [group, "_b"])
+    if wanted is not None:
+        rows = rows.where(F.col("_start") < wanted)
+    rank = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_h", id_col)) + F.col("_start")
+    return rows.withColumn("_r", rank).drop("_h", "_b", "_start")
+
+
 def sample(df: DataFrame, take: dict[str, int], id_col: str, column: str = "stratum_id", seed: int = 42) -> DataFrame:
     """Exactly take[s] rows of each stratum s: those whose id and seed hash lowest. Not a Bernoulli sample."""
     quota = df.sparkSession.createDataFrame(sorted(take.items()), f"{column} string, _take long")  # one row a stratum
-    order = [F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")).cast("binary")), F.col(id_col)]
-    rows = df.join(F.broadcast(quota), column).withColumn("_rank", F.row_number().over(Window.partitionBy(column).orderBy(*order)))
-    return rows.where(F.col("_rank") <= F.col("_take")).drop("_rank", "_take")
+    rows = _hash_rank(df.join(F.broadcast(quota), column), column, id_col, seed, F.col("_take"))
+    return rows.where(F.col("_r") <= F.col("_take")).drop("_r", "_all", "_take")
 
 
 def split(df: DataFrame, id_col: str, label: str | None, validation: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
-    """Adds `split`: train, val or test, by the rank of the id's hash within the label; sizes are exact to rounding.
-
-    Ranks come from counts of hash prefixes, then ranks within a prefix, so no label is a group in one task.
-    """
-    label_col = F.col(label).cast("string") if label else F.lit("")
-    rows = df.withColumn("_l", F.coalesce(label_col, F.lit("NA"))).withColumn("_h", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")).cast("binary"))).withColumn("_b", F.substring("_h", 1, 2))
-    sizes = rows.groupBy("_l", "_b").agg(F.count("*").alias("_n"))  # 256 a label
-    before = Window.partitionBy("_l").orderBy("_b")
-    sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy("_l")))
-    rows = rows.join(sizes.drop("_n"), ["_l", "_b"])
-    rank = F.row_number().over(Window.partitionBy("_l", "_b").orderBy("_h", id_col)) + F.col("_start")
+    """Adds `split`: train, val or test, by the rank of the id's hash within the label; sizes are exact to rounding."""
+    rows = _hash_rank(df.withColumn("_l", F.coalesce(F.col(label).cast("string") if label else F.lit(""), F.lit("NA"))), "_l", id_col, seed)
     tests, vals = F.round(F.col("_all") * test), F.round(F.col("_all") * validation)
-    return rows.withColumn("_r", rank).withColumn("split", F.when(F.col("_r") <= tests, "test").when(F.col("_r") <= tests + vals, "val").otherwise("train")).drop("_l", "_h", "_b", "_start", "_all", "_r")
+    return rows.withColumn("split", F.when(F.col("_r") <= tests, "test").when(F.col("_r") <= tests + vals, "val").otherwise("train")).drop("_l", "_all", "_r")
 
 
 def split_with_fallback(df: DataFrame, id_col: str, labels: Sequence[str], **sizes) -> tuple[DataFrame, str]:
