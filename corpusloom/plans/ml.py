@@ -69,6 +69,17 @@ def adopt_outliers(assigned: DataFrame, vectors: DataFrame, least: float = 0.0,
     return out.select(key, F.coalesce("_new", "topic_id").alias("topic_id"), F.when(F.col("_new").isNull(), F.col("topic_probability")).alias("topic_probability"))
 
 
+def adopt_outliers_by_terms(docs: DataFrame, terms: DataFrame, least: float = 0.0, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
+    """Outliers (topic_id -1) given to the topic whose class TF-IDF terms are most similar to their tokens, if over `least`; ties to the smaller id."""
+    norm = F.sqrt(F.sum(F.col("term_weight") ** 2).over(Window.partitionBy("topic_id")))
+    weights = terms.select("topic_id", "term", (F.col("term_weight") / norm).alias("_w"))
+    counts = docs.where("topic_id = -1").select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("_n"))
+    size = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("_n") ** 2)).alias("_s"))
+    near = counts.join(weights, "term").groupBy(key, "topic_id").agg(F.sum(F.col("_n") * F.col("_w")).alias("_dot")).join(size, key).withColumn("_sim", F.col("_dot") / F.col("_s"))
+    best = near.where((F.col("_sim") > least) & (F.col("topic_id") >= 0)).groupBy(key).agg(F.min(F.struct((-F.col("_sim")).alias("s"), "topic_id")).alias("_b"))
+    return docs.join(best, key, "left").withColumn("topic_id", F.coalesce("_b.topic_id", "topic_id")).drop("_b")
+
+
 Client = Callable[[str], str]
 
 
