@@ -263,22 +263,22 @@ def _request(buckets: int, window: int):
     return run
 
 
-def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Bucket ids in sorted order of the keys, first key first."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Bucket ids in sorted order of the keys."""
+    order = np.argsort(key)
+    key = key[order]
     out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
+    out[order] = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
     return out
 
 
-def bucket_pointers(buf: np.ndarray, depth: int) -> np.ndarray:
+def bucket_pointers(buf: np.ndarray, depth: int, room: np.ndarray | None = None) -> np.ndarray:
     """Bucket id of the suffix at each position of `buf` (uint8), sorted `depth` (at least 8) bytes deep; zeros follow the end.
 
     The first buckets are those of 8-grams. A round sorts the members of buckets that still have several on the
-    bucket id of the suffix `known` bytes later, so each round reuses what the last has refined.
+    bucket id of the suffix `known` bytes later, so each round reuses what the last has refined. With `room`, the bytes
+    left to each position's text, a suffix is only sorted as deep as it has room for; ids of those of less than `depth`
+    then mean nothing.
     """
     n = len(buf)
     padded = np.concatenate([buf, np.zeros(depth + 8, np.uint8)])
@@ -286,15 +286,17 @@ def bucket_pointers(buf: np.ndarray, depth: int) -> np.ndarray:
     while known < depth:
         step = min(known, depth - known)
         size = np.bincount(pointer)
-        live = np.flatnonzero(size[pointer] > 1)
+        several = size[pointer] > 1
+        if room is not None:
+            several[n:] = False
+            several[:n] &= room >= known + step
+        live = np.flatnonzero(several)
         later = np.minimum(live + step, len(pointer) - 1)
-        refined = _ranks(pointer[live], pointer[later])
+        refined = _ranks(pointer[live] * len(size) + pointer[later])
         # ids stay in sorted order: each bucket makes room for those that it falls into
-        top = np.zeros(int(refined.max()) + 1, np.int64) if len(live) else np.zeros(0, np.int64)
+        top = np.zeros(int(refined.max()) + 1 if len(live) else 0, np.int64)
         top[refined] = pointer[live]
-        parts = np.ones(len(size), np.int64)
-        parts[size > 1] = 0
-        np.add.at(parts, top, 1)
+        parts = np.maximum(np.bincount(top, minlength=len(size)), 1)
         base = np.cumsum(parts) - parts
         inner = np.arange(len(top)) - np.searchsorted(top, top, "left")
         out = base[pointer]
@@ -317,7 +319,7 @@ def _refine(window: int):
             item, doc, size, text = (np.concatenate(x) for x in zip(*parts, strict=True))
             size = size.astype(np.int64)
             owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            pointer = bucket_pointers(text, window)
+            pointer = bucket_pointers(text, window, np.repeat(np.cumsum(size), size) - np.arange(len(text)))
             windows = size - window + 1
             which = np.repeat(np.arange(len(size)), windows)
             offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
