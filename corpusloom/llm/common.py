@@ -109,6 +109,22 @@ def labelled_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int
     return out
 
 
+def bounded_texts(rows: DataFrame, most_bytes: int) -> list:
+    """Rows of (doc_id, text, ...) with whole texts of `most_bytes` in all, in an order that a hash of the id gives.
+
+    Sizes come to the driver first; only texts that fit together follow. A text that doesn't fit is passed over.
+    """
+    rank = lambda i, n: ((i * 0x9E3779B97F4A7C15 >> 20) % (1 << 40), i, n)
+    sizes = sorted(((r[0], r[1]) for r in rows.groupBy("doc_id").agg(F.sum(F.octet_length("text"))).collect()), key=lambda r: rank(*r))
+    total, ids = 0, []
+    for k, n in sizes:
+        if total + n <= most_bytes:
+            total += n
+            ids.append((k,))
+    small = rows.sparkSession.createDataFrame(ids, "doc_id long")
+    return sorted(rows.join(F.broadcast(small), "doc_id").collect(), key=lambda r: (*rank(r["doc_id"], 0), r["text"]))
+
+
 def with_text_results(docs: DataFrame, text_col: str, fields: dict[str, str], make, rows_at_once: int = 200) -> DataFrame:
     """All columns of `docs`, then `fields` (name: DDL type) that `make()(texts)` gives as one array each for a list of texts.
 

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, labelled_sample, table, unused, with_text_results
+from .common import bounded_texts, id_and_text, labelled_sample, table, unused, with_text_results
 
 SLOTS = 1 << 12
 #: Characters counted at a time; counts of parts add up to those of the whole text.
@@ -118,11 +118,11 @@ class CodedLanguages:
         return out
 
 
-def fit_languages(docs: DataFrame, per_language: int = 400, max_chars: int = 8_000_000) -> CodedLanguages:
+def fit_languages(docs: DataFrame, per_language: int = 400, max_bytes: int = 8 << 20) -> CodedLanguages:
     """Learned from text and lang of rows whose crc32(doc_id) mod 4 is not 2.
 
     The sample has at most 1.25 * `per_language` rows of each language, those of the lowest id hashes, and whole texts of
-    `max_chars` in all. Null and empty texts and null languages teach nothing. With no rows left, all texts are `und`.
+    `max_bytes` in all. Null and empty texts and null languages teach nothing. With no rows left, all texts are `und`.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang is not null and doc_id is not null and text is not null and text <> ''")
@@ -130,14 +130,8 @@ def fit_languages(docs: DataFrame, per_language: int = 400, max_chars: int = 8_0
     ids = rows.select("doc_id", "lang").distinct()
     chosen = [(r["doc_id"], r["lang"]) for r in labelled_sample(ids, "doc_id", "lang", per_language)]
     small = docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string")  # bounded by per_language
-    found = sorted(rows.join(F.broadcast(small), ["doc_id", "lang"]).collect(), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], r["text"]))
-    total, kept = 0, []
-    for r in found:
-        total += len(r["text"])
-        if total > max_chars:
-            break
-        kept.append(r)
-    return CodedLanguages.fit([r["text"] for r in kept], [r["lang"] for r in kept])
+    found = bounded_texts(rows.join(F.broadcast(small), ["doc_id", "lang"]), max_bytes)
+    return CodedLanguages.fit([r["text"] for r in found], [r["lang"] for r in found])
 
 
 def languages(docs: DataFrame, model: CodedLanguages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, labelled_sample, table, unused, with_text_results
+from .common import bounded_texts, id_and_text, labelled_sample, table, unused, with_text_results
 
 CHUNK, OVERLAP, WIDTH, FILTERS = 512, 32, 8, 16
 LAGS = range(2, 33)
@@ -146,14 +146,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1200, max_b
     chosen = [(r["doc_id"], r["label"]) for r in labelled_sample(marks, "doc_id", "label", per_label)]
     small = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int")  # bounded by per_label
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    rows = sorted(texts.join(F.broadcast(small), "doc_id").select("doc_id", "text", "label").collect(), key=lambda r: (hash(r["doc_id"]) * 2654435761 % 2**32, r["doc_id"], bytes(r["text"])))
-    total, kept = 0, []
-    for r in rows:
-        total += len(r["text"])
-        if total > max_bytes:
-            break
-        kept.append(r)
-    return ByteConvNet.fit([bytes(r["text"]) for r in kept], [r["label"] for r in kept])
+    rows = bounded_texts(texts.join(F.broadcast(small), "doc_id").select("doc_id", "text", "label"), max_bytes)
+    return ByteConvNet.fit([bytes(r["text"]) for r in rows], [r["label"] for r in rows])
 
 
 def quality_scores(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
