@@ -39,13 +39,15 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large star: each larger neighbour of u goes to the smallest one of u
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # a table of its own: between plain exchanges Spark can split the rows of a hot vertex over tasks
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.distinct())
+        drop_table(low)
         # small star: u and its smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = materialise(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = materialise(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
         drop_table(now)
         drop_table(large)
         now = after
