@@ -10,7 +10,6 @@ So are pairs whose members are known to be connected already.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, shuffle_partitions
+from .common import drop_table, id_and_text, materialise, shuffle_partitions
 from .components import components, local_roots
 
 FANOUT = 16
@@ -52,14 +51,6 @@ def fingerprint(text: bytes, shingle_words: int = 4, seed: int = 42) -> int:
     return int(majority(shingle_hashes(text, shingle_words, seed)[:, None])[0])
 
 
-def wide_fingerprint(text: bytes, shingle_words: int = 5, words: int = 4) -> np.ndarray:
-    """A fingerprint of several words, all from one hash of each shingle."""
-    h = shingle_hashes(text, shingle_words)[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(k)
-    return majority(np.ascontiguousarray(h ^ (h >> np.uint64(31))))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
     """doc_id long, fp long (the 64 bits): majority bits of the XXH64 of all word shingles, repeats included.
 
@@ -204,91 +195,208 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(groups.select("fp", F.col("component").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
-def expected_difference(similarity: float) -> float:
-    """Share of bits that differ between texts of equal size with that share of common shingles."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
+def least_of(size: int | np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that a set of `size` shares at least with any set that is `similarity` alike."""
+    return np.ceil(np.asarray(size) * similarity - 1e-9).astype(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity or more; sets without elements are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def rare_first(hashes: np.ndarray, count: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first `count` of sorted hashes in an order that all sets share: by hash, then those of `common` (sorted) by `rank`."""
+    if not len(common):
+        return hashes[:count]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    hot = common[at] == hashes
+    out = hashes[~hot][:count]
+    return out if len(out) == count else np.concatenate([out, hashes[hot][np.argsort(rank[at[hot]], kind="stable")[: count - len(out)]]])
+
+
+def shared_pairs(token: np.ndarray, v: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float, block: int = 1 << 21) -> pa.Table:
+    """(a, b, na, nb, c) of pairs with c common tokens whose sizes allow the similarity and whose groups differ."""
+    order = np.lexsort((v, token))
+    token, v, n, group = token[order], v[order], n[order], group[order]
+    end = np.searchsorted(token, token, side="right")
+    later = end - np.arange(len(v)) - 1
+    found = [np.zeros((2, 0), np.int64)]
+    done, upto = 0, np.cumsum(later)
+    while done < len(v):
+        stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + block, side="right")))
+        i, j = _expand(np.arange(done, stop) + 1, later[done:stop])
+        i += done
+        keep = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= least_of(np.maximum(n[i], n[j]), similarity))
+        found.append(np.stack([i[keep], j[keep]]))
+        done = stop
+    i, j = np.concatenate(found, axis=1)
+    order = np.lexsort((v[j], v[i]))
+    i, j = i[order], j[order]
+    at = np.flatnonzero(np.append(True, (v[i][1:] != v[i][:-1]) | (v[j][1:] != v[j][:-1]))) if len(i) else i
+    c = np.diff(at, append=len(i))
+    i, j = i[at], j[at]
+    return pa.table({"a": v[i], "b": v[j], "na": n[i], "nb": n[j], "c": c})
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of those pairs (a, b) whose sets in (v, set) are alike; only sets of a pair move, picked by a bit table."""
+    pairs = materialise(pairs)
+    ids = materialise(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
+    wide = max(20, (8 * ids.count()).bit_length())
+
+    def bit_slice(key, rows):
+        bits = np.zeros(1 << 20, np.uint8)
+        bits[(rows.column("v").to_numpy().view(np.uint64) >> np.uint64(64 - wide)) & np.uint64((1 << 20) - 1)] = 1
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    which = F.shiftrightunsigned("v", 63 - wide + 21) if wide > 20 else F.lit(0)
+    slices = dict(ids.withColumn("slice", which.cast("long")).groupBy("slice").applyInArrow(bit_slice, "slice long, bits binary").collect())
+    table = b"".join(bytes(slices.get(k, bytes(1 << 17))) for k in range(1 << (wide - 20)))
+
+    def pick(batches):
+        bits = np.frombuffer(table, np.uint8)
+        for batch in batches:
+            at = batch.column("v").to_numpy().view(np.uint64) >> np.uint64(64 - wide)
+            yield batch.filter(pa.array((bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)))
 
-def sampled_masks(count: int, bits: int, words: int, seed: int = 11) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    out = np.zeros((count, 64 * words), np.uint8)
-    for row in out:
-        row[rng.choice(64 * words, bits, replace=False)] = 1
-    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+    def compare(batches):
+        for batch in batches:
+            left, right = batch.column("left"), batch.column("right")
+            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    few = materialise(sets.mapInArrow(pick, "v long, set binary").dropDuplicates(["v"]))
+    both = pairs.join(few.select(F.col("v").alias("a"), F.col("set").alias("left")), "a").join(few.select(F.col("v").alias("b"), F.col("set").alias("right")), "b")
+    links = materialise(both.select("a", "b", "left", "right").mapInArrow(compare, "u long, v long"))
+    for t in (pairs, ids, few):
+        drop_table(t)
+    return links
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, words: int = 4, recall: float = 0.97) -> DataFrame:
-    """doc_id long, component_id long of each row of `docs`: the smallest id reachable over texts estimated `similarity` alike.
 
-    One 64-bit word can't tell 0.8 from 0.7 alike, so fingerprints have `words` words here. Two link if they differ in at
-    most the bits expected at `similarity` and one standard deviation. The top nodes of the index are masks of sampled
-    bits, more of each the more fingerprints there are, and so many that a pair of exactly that similarity meets in one of
-    them with probability `recall`; more similar pairs meet more surely. Texts without words are all alike. Nulls, ties,
-    repeated rows and empty tables as in `near_duplicates`.
-    """
+def _groups(docs: DataFrame, similarity: float, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """doc_id long, digest string (of the text), root long and component_id long of each row of `docs`."""
     spark = docs.sparkSession
-    last = (1 << 63) - 1
+    last = F.lit((1 << 63) - 1)
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.md5("text").alias("digest"), F.col("text").cast("binary").alias("text"))
 
-    def prints(batches):
+    def tokens(batches):
         for batch in batches:
-            fps = [wide_fingerprint(t, shingle_words, words).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
-
-    texts = id_and_text(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
-    fps = materialise(texts.mapInArrow(prints, "doc_id long, fp binary"))
-    distinct = materialise(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(last))).alias("rep")))
-    n = distinct.count()
-    p = expected_difference(similarity)
-    limit = int(64 * words * p + math.sqrt(64 * words * p * (1 - p)))
-    sampled = max(14, n.bit_length() - 3)
-    masks = sampled_masks(math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** sampled)), sampled, words)
-    buckets = max(-(-n * len(masks) // 200_000), 2 * shuffle_partitions(spark))
-
-    def patterns(fps: np.ndarray) -> np.ndarray:
-        """A hash of each row under each mask (masks, rows)."""
-        out = np.zeros((len(masks), len(fps)), np.uint64)
-        for k, mask in enumerate(masks):
-            h = np.full(len(fps), k + 1, np.uint64)
-            for w in range(words):
-                h = (h ^ (fps[:, w] & mask[w])) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            out[k] = h
-        return out
+            found = [np.unique(shingle_hashes(t, shingle_words)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["token"])
+
+    # which shingles are common is estimated and only decides what is compared first, never what is found
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, texts.count() // 20_000))) == 0).select("text")
+    top = some.mapInArrow(tokens, "token long").groupBy("token").count().where("count >= 5").orderBy(F.desc("count"), "token").limit(20_000).collect()
+    common = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    rank = -np.arange(len(common))[np.argsort(common)]
+    common = np.sort(common)
+
+    def described(seed):
+        mixers = np.random.default_rng(seed).integers(1 << 62, size=6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+        def run(batches):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 500):
+                    part, out = batch.slice(lo, 500), []
+                    for t in part.column("text").to_pylist():
+                        s = np.unique(shingle_hashes(t, shingle_words))
+                        raw = s.tobytes()
+                        least = [int(((x := s * m) ^ (x >> np.uint64(31))).min()) for m in mixers] if len(s) else []
+                        bands = [xxhash.xxh64_intdigest(repr((k, least[k : k + 2])), seed) for k in range(0, len(least), 2)]
+                        prefix = rare_first(s, len(s) - int(least_of(len(s), similarity)) + 1 if len(s) else 0, common, rank)
+                        out.append((xxhash.xxh3_64_intdigest(raw, seed), xxhash.xxh64_intdigest(raw, seed + 1), len(s), np.array(bands, np.uint64).tobytes(), prefix.tobytes(), raw))
+                    ids, checks, sizes, *blobs = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id"), part.column("digest"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, checks, sizes)), *(pa.array(x, pa.binary()) for x in blobs)],
+                        ["doc_id", "digest", "v", "check", "n", "bands", "prefix", "set"],
+                    )
+
+        return run
+
+    seed = 0
+    while True:
+        rows = materialise(texts.mapInArrow(described(seed), "doc_id long, digest string, v long, check long, n long, bands binary, prefix binary, set binary"))
+        least = F.min(F.coalesce("doc_id", last)).alias("rep")
+        distinct = materialise(rows.groupBy("v").agg(least, F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), (F.min("check") != F.max("check")).alias("clash")))
+        if not distinct.where("clash").head(1):
+            break
+        seed += 2  # two sets under one number: all get new ones
+        drop_table(rows)
+        drop_table(distinct)
+    sets = rows.select("v", "set")
 
-    def deal(batches):
+    # first the very near ones: those of a band are compared with a few hubs of it, so large groups are folded before pairs are made
+    def unfold(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                blobs = part.column("fp")
-                found = patterns(np.frombuffer(b"".join(blobs.to_pylist()), np.uint64).reshape(-1, words))
-                for h in found:
-                    bucket = (h >> np.uint64(20)) % np.uint64(buckets)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(h.view(np.int64)), blobs, part.column("rep")], ["bucket", "node", "fp", "rep"])
-
-    def link(key, rows):
-        rows = rows.combine_chunks()
-        fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, words)
-        node, rep = rows.column("node").to_numpy(), rows.column("rep").to_numpy()
-        order = np.lexsort((rep, gray_rank(fps[:, 0]), node))
-        fps, rep, node = fps[order], rep[order], node[order]
-        root = linked(fps, np.cumsum(np.diff(node, prepend=node[0]) != 0), limit)
-        least = np.full(len(rep), last)
-        np.minimum.at(least, root, rep)
-        far = least[root] != rep
-        return pa.table({"u": pa.array(rep[far]), "v": pa.array(least[root][far])})
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("bands")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("v").to_numpy(), [len(x) for x in found])), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["v", "band"])
+
+    banded = materialise(distinct.select("v", "bands").mapInArrow(unfold, "v long, band long"))
+    mixed = F.xxhash64("v")
+    hubs = banded.groupBy("band").agg(F.array_distinct(F.array(F.min("v"), F.max("v"), F.min_by("v", mixed), F.max_by("v", mixed))).alias("hubs"), F.count("*").alias("k"))
+    hubs = materialise(hubs.where("k > 1").select("band", F.explode("hubs").alias("hub")))
+    near = banded.join(hubs, "band").where("hub <> v").select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b"))
+    near = _confirmed(near.distinct(), sets, similarity)
+    folded = components(near)
+    nodes = distinct.join(folded, "v", "left").select("v", "n", F.coalesce("root", "v").alias("part"), "prefix")
+
+    # then every pair that can be alike at all: it shares rare shingles, and enough of them
+    count = distinct.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
+    buckets = max(-(-int(count) // 200_000), 2 * shuffle_partitions(spark))
 
-    links = distinct.mapInArrow(deal, "bucket int, node long, fp binary, rep long").groupBy("bucket").applyInArrow(link, "u long, v long")
-    roots = components(links)
-    groups = distinct.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(groups, "fp").select("doc_id", "component_id")
+    def deal(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                found = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("prefix")]
+                token = np.concatenate([np.zeros(0, np.uint64), *found])
+                which = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                bucket = ((token * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(token.view(np.int64)), *(pa.array(part.column(c).to_numpy()[which]) for c in ("v", "n", "part"))], ["bucket", "token", "v", "n", "part"])
+
+    def pair(key, rows):
+        return shared_pairs(*(rows.column(c).to_numpy() for c in ("token", "v", "n", "part")), similarity)
+
+    pairs = nodes.mapInArrow(deal, "bucket int, token long, v long, n long, part long").groupBy("bucket").applyInArrow(pair, "a long, b long, na long, nb long, c long")
+    pairs = pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"))
+    # of the shingles behind the prefixes at most all of the longer rest are common
+    rest = F.ceil(F.greatest("na", "nb") * F.lit(similarity) - 1e-9) - 1
+    pairs = pairs.where(F.col("c") + rest >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - 1e-6).select("a", "b")
+    links = near.union(_confirmed(pairs, sets, similarity))
+    kept = materialise(rows.select("doc_id", "digest", "v"))
+    out = _labelled(distinct.select("v", "rep"), components(links), kept)
+    for t in (rows, distinct, banded, hubs, near):  # the sets alone are twice the input
+        drop_table(t)
+    return out
+
+
+def _labelled(distinct: DataFrame, roots: DataFrame, rows: DataFrame) -> DataFrame:
+    """`rows`, which have v, with the root of their group and its smallest rep as component_id, in place of v."""
+    grouped = materialise(distinct.join(roots, "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root")))
+    least = materialise(grouped.groupBy("root").agg(F.min("rep").alias("component_id")))
+    return rows.join(grouped.select("v", "root"), "v").join(least, "root").drop("v")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
+    """doc_id long, component_id long of each row of `docs`: the smallest id reachable over texts that are `similarity` alike.
+
+    That is the Jaccard similarity of their sets of word shingles, which is computed for every pair that links, and no
+    pair is missed: two alike sets share one of their first shingles in any order, here the rare ones first. What a
+    distinct set of shingles is compared with does not depend on ids. Texts without words are all alike. Nulls, ties,
+    repeated rows and empty tables as in `near_duplicates`.
+    """
+    return _groups(docs, similarity, id_col, text_col, shingle_words).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, that have the smallest id of their group; rows of equal id are one document, of which one row stays."""
-    key = f"_key_{id_col}"
-    groups = similar_documents(docs, similarity, id_col, text_col)
-    chosen = groups.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias(key), "component_id").where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))).join(chosen, key, "left_semi").dropDuplicates([key]).drop(key)
+    """One row of `docs`, all columns, of each group: one of the smallest id (null counts as the largest), and then of the least digest."""
+    key, digest = f"_key_{id_col}", f"_digest_{id_col}"
+    groups = _groups(docs, similarity, id_col, text_col, 5)
+    chosen = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias(key), F.col("digest").alias(digest))).alias("x")).select("x.*")
+    keyed = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))).withColumn(digest, F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    return keyed.join(chosen, [key, digest], "left_semi").dropDuplicates([key, digest]).drop(key, digest)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
