@@ -50,3 +50,13 @@ def test_links_only_what_is_alike(spark, corpus):
     want = dict(zip((d for d, _ in corpus), brute_force(corpus), strict=True))
     got = found(spark, corpus)
     assert [d for d in want if want[d] == d and got[d] != d] == []
+
+
+def test_misses_nothing_that_is_alike(spark, corpus):
+    """Pairs at exactly 0.8 and just above are found, whatever else the table has."""
+    want = dict(zip((d for d, _ in corpus), brute_force(corpus), strict=True))
+    got = found(spark, corpus)
+    assert [d for d in want if want[d] != d and got[d] == d] == []
+    assert got == want
+    pairs = [(d, t) for d, t in corpus if len(shingles(t)) == 400][:40]
+    assert found(spark, pairs) == dict(zip((d for d, _ in pairs), brute_force(pairs), strict=True))
