@@ -148,18 +148,15 @@ def _link(masks: list[int], bits: int):
     def run(key, rows):
         mask = rows.column("mask").to_numpy()
         fps = rows.column("fp").to_numpy().view(np.uint64)
-        rep = rows.column("rep").to_numpy()
         pattern = fps & np.array(masks, np.uint64)[mask]
-        order = np.lexsort((rep, gray_rank(fps), pattern, mask))
-        fps, rep, pattern, mask = fps[order], rep[order], pattern[order], mask[order]
+        order = np.lexsort((gray_rank(fps), pattern, mask))
+        fps, pattern, mask = fps[order], pattern[order], mask[order]
         new = np.ones(len(fps), bool)
         new[1:] = (pattern[1:] != pattern[:-1]) | (mask[1:] != mask[:-1])
         root = linked(fps[:, None], np.cumsum(new), bits)
-        least = np.full(len(fps), np.iinfo(np.int64).max)
-        np.minimum.at(least, root, rep)
-        low = least[root]
-        far = low != rep
-        return pa.table({"u": pa.array(rep[far]), "v": pa.array(low[far])})
+        far = root != np.arange(len(fps))
+        vertex = fps.view(np.int64)
+        return pa.table({"u": pa.array(vertex[far]), "v": pa.array(vertex[root[far]])})
 
     return run
 
@@ -167,7 +164,8 @@ def _link(masks: list[int], bits: int):
 def group_fingerprints(fps: DataFrame, bits: int = 4) -> DataFrame:
     """(fp, rep, component) of each distinct fingerprint in (doc_id, fp): its smallest doc_id, and the smallest reached.
 
-    A null id counts as the largest long. Copies were folded before anything is linked, so a group of any size of copies is one row.
+    A null id counts as the largest long. Copies were folded before anything is linked, so a group of any size of copies is
+    one row. Fingerprints are the vertices, ids only labels: those of null or repeated ids are not linked by their id.
     """
     spark = fps.sparkSession
     last = F.lit((1 << 63) - 1)
@@ -175,12 +173,12 @@ def group_fingerprints(fps: DataFrame, bits: int = 4) -> DataFrame:
     masks = block_masks(bits)
     buckets = max(-(-distinct.count() * len(masks) // 200_000), 2 * shuffle_partitions(spark))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", "rep", F.explode(F.array(*[
+    keyed = distinct.select("fp", F.explode(F.array(*[
         F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("pattern")) for k, m in enumerate(signed)
-    ])).alias("x")).select("fp", "rep", "x.mask", F.pmod(F.xxhash64("x.mask", "x.pattern"), F.lit(buckets)).cast("int").alias("bucket"))
+    ])).alias("x")).select("fp", "x.mask", F.pmod(F.xxhash64("x.mask", "x.pattern"), F.lit(buckets)).cast("int").alias("bucket"))
     links = keyed.groupBy("bucket").applyInArrow(_link(masks, bits), "u long, v long")
-    roots = components(links)
-    return distinct.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("fp", "rep", F.coalesce("root", "rep").alias("component"))
+    groups = _labelled(distinct.withColumnRenamed("fp", "v"), components(links), distinct.select("fp", "rep", F.col("fp").alias("v")))
+    return groups.select("fp", "rep", F.col("component_id").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, bits: int = 4) -> DataFrame:

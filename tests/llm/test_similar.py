@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm.components import local_roots
-from corpusloom.llm.simhash import one_of_each, similar_documents
+from corpusloom.llm.simhash import near_duplicates, one_of_each, similar_documents
 
 
 def shingles(text, n=5):
@@ -60,3 +60,18 @@ def test_misses_nothing_that_is_alike(spark, corpus):
     assert got == want
     pairs = [(d, t) for d, t in corpus if len(shingles(t)) == 400][:40]
     assert found(spark, pairs) == dict(zip((d for d, _ in pairs), brute_force(pairs), strict=True))
+
+
+def test_null_and_repeated_ids(spark):
+    """Texts of null or repeated ids are documents of their own, and don't link what is near to them."""
+    text = lambda k: [f"t{k}x{j}" for j in range(300)]
+    near = lambda k: " ".join([*text(k)[:-1], "other"])
+    rows = [(1, " ".join(text(1))), (None, near(1)), (2, " ".join(text(2))), (None, near(2)), (None, " ".join(text(3))), (None, " ".join(text(4))), (None, " ".join(text(4))), (5, " ".join(text(5))), (5, " ".join(text(6))), (7, near(6)), (8, near(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in one_of_each(docs).collect())
+    assert got == sorted((str(d), t) for d, t in [rows[k] for k in (0, 2, 4, 5, 7, 8)])
+    same = lambda rows: sorted((str(r["doc_id"]), r["component_id"]) for r in rows.collect())
+    last = (1 << 63) - 1
+    want = [1, 1, 2, 2, last, last, last, 5, 5, 5, 5]
+    assert same(similar_documents(docs)) == sorted((str(d), c) for (d, _), c in zip(rows, want, strict=True))
+    assert same(near_duplicates(docs, bits=8)) == sorted((str(d), c) for (d, _), c in zip(rows, want, strict=True))
