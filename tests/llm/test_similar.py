@@ -75,3 +75,11 @@ def test_null_and_repeated_ids(spark):
     want = [1, 1, 2, 2, last, last, last, 5, 5, 5, 5]
     assert same(similar_documents(docs)) == sorted((str(d), c) for (d, _), c in zip(rows, want, strict=True))
     assert same(near_duplicates(docs, bits=8)) == sorted((str(d), c) for (d, _), c in zip(rows, want, strict=True))
+
+
+def test_stage_keeps_one_of_each_group(spark, corpus):
+    docs = spark.createDataFrame([*corpus, (None, "a text of no number at all"), (None, "another text without any number")], "doc_id long, text string")
+    rows = [tuple(r) for r in docs.collect()]
+    want = {t for (d, t), c in zip(rows, brute_force(rows), strict=True) if d is None or c == d}
+    got = [r["text"] for r in one_of_each(docs).collect()]
+    assert len(got) == len(want) and set(got) == want
