@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ from .common import table
 RULES = ("start", "end", "majority", "split")
 #: Fixed value: how the rank file's texts are split before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Longer runs of white space are pieces that are encoded by themselves: the library's pattern overflows its stack on them.
+LONG_SPACE = 1000
+SPACES = regex.compile(r"\p{White_Space}{%d,}" % LONG_SPACE)
 
 
 @lru_cache(1)
@@ -49,10 +53,25 @@ def sections(parts: list[str], separator: str, delimiter: str) -> tuple[list[tup
     return names, np.array(starts, np.int64)
 
 
+def encode(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """As `enc.encode_ordinary`, with white space of any length.
+
+    By SPLIT a run of white space starts a piece. All of it is one at the end of the text, all but its last character
+    elsewhere, so the text can be cut there.
+    """
+    out, done = [], 0
+    for run in SPACES.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += enc.encode_ordinary(text[done : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end])
+        done = end
+    return out + enc.encode_ordinary(text[done:])
+
+
 def spans(enc: tiktoken.Encoding, sizes: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
     """First character of each token and the one after its last; a character that two tokens share counts in both."""
     data = text.encode("utf-8", "replace")
-    ids = np.array(enc.encode_ordinary(text), np.int64)
+    ids = np.array(encode(enc, text), np.int64)
     end = np.cumsum(sizes[ids])
     if len(data) == len(text):
         return end - sizes[ids], end
@@ -71,16 +90,19 @@ def allocate(first: np.ndarray, last: np.ndarray, starts: np.ndarray, rule: str)
     high = np.searchsorted(starts, last - 1, "right") - 1
     counts = np.bincount((high if rule == "end" else low), minlength=n).astype(np.float64)
     crossing = np.zeros(n)
-    for t in np.flatnonzero(low != high).tolist():
-        touched = np.arange(low[t], high[t] + 1)
-        share = np.minimum(starts[touched + 1], last[t]) - np.maximum(starts[touched], first[t])
-        crossing[touched[share > 0]] += 1
-        if rule == "majority":
-            counts[low[t]] -= 1
-            counts[touched[share.argmax()]] += 1
-        elif rule == "split":
-            counts[low[t]] -= 1
-            counts[touched] += share / share.sum()
+    t = np.flatnonzero(low != high)
+    width = high[t] - low[t] + 1
+    token = np.repeat(np.arange(len(t)), width)  # one row for each interval that a crossing token touches
+    place = low[t][token] + np.arange(len(token)) - np.repeat(np.cumsum(width) - width, width)
+    share = np.minimum(starts[place + 1], last[t][token]) - np.maximum(starts[place], first[t][token])
+    np.add.at(crossing, place[share > 0], 1)
+    if rule in ("majority", "split"):
+        np.add.at(counts, low[t], -1)
+    if rule == "split":
+        np.add.at(counts, place, share / (last - first)[t][token])
+    elif rule == "majority":
+        order = np.lexsort((place, -share, token))
+        np.add.at(counts, place[order][np.cumsum(width) - width], 1)
     return counts, crossing
 
 

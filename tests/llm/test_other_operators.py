@@ -152,6 +152,38 @@ def test_token_counts(spark, sf, odd_documents, no_documents):
     assert {r["doc_id"]: r["n"] for r in got} == {d: len(enc.encode_ordinary(t)) for d, t in texts.items()}
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "x" + "\t \u3000" * 400_000 + "y z", "word" + " " * 5000 + "'s\x1c" + "\n" * 3000 + "\n", "1" * 300_000 + "!" * 300_000, "é" * 200_000])
+def test_very_long_pieces(text):
+    """As many tokens as the encoder of the same vocabulary finds that has its own pattern and merges."""
+    from corpusloom.llm.bpe import PairIndexBPE, default_tokenizer
+
+    enc, sizes = token_counts.encoding(open(ranks(), "rb").read())
+    own = PairIndexBPE(open(default_tokenizer(), "rb").read())
+    ids = token_counts.encode(enc, text)
+    assert b"".join(enc.decode_single_token_bytes(k) for k in ids).decode() == text
+    assert [enc.decode_single_token_bytes(k) for k in ids] == [own.bytes[k] for k in own.encode_batch([text])[0].tolist()]
+    first, last = token_counts.spans(enc, sizes, text)
+    assert first[0] == 0 and last[-1] == len(text) and (np.diff(first) >= 0).all()
+
+
+def test_allocation_against_a_loop():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        cut = np.sort(rng.integers(0, 40, 12))
+        first, last = cut[:-1][np.diff(cut) > 0], cut[1:][np.diff(cut) > 0]
+        starts = np.concatenate([[0], np.sort(rng.integers(0, 41, 6)), [40]])
+        for rule in token_counts.RULES:
+            want = np.zeros(len(starts) - 1)
+            for a, b in zip(first, last, strict=True):
+                inside = np.array([sum(lo <= c < hi for c in range(a, b)) for lo, hi in zip(starts[:-1], starts[1:], strict=True)])
+                held = np.flatnonzero(inside)
+                if rule == "split":
+                    want += inside / inside.sum()
+                else:
+                    want[{"start": held[0], "end": held[-1], "majority": inside.argmax()}[rule]] += 1
+            assert np.allclose(token_counts.allocate(first, last, starts, rule)[0], want), rule
+
+
 def test_allocation_rules():
     first, last, starts = np.array([0, 2, 6]), np.array([2, 6, 8]), np.array([0, 3, 5, 5, 8])
     got = {rule: token_counts.allocate(first, last, starts, rule)[0].tolist() for rule in token_counts.RULES}
