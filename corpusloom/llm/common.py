@@ -41,9 +41,16 @@ def block_of(col: str, blocks: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder of the cluster, or of this machine where none is named (tests)."""
+    """A new folder below the shared checkpoint folder of the cluster.
+
+    A local session that names none (tests, a laptop) gets a temporary folder of this machine, which all its tasks see; on a
+    cluster that is an error, since each node would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = spark.conf.get("spark.corpusloom.test.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")

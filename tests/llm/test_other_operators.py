@@ -193,7 +193,7 @@ def test_allocation_rules():
 
 def test_audit_finds_exactly_what_differs(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    records = warc.archive(pages).cache()
+    records = warc.archive(pages, ids_per_file=8).cache()
     bad = warc.decayed(records, 7)
     changed = {r["page_id"] for r in records.join(bad.withColumnRenamed("record", "other"), ["page_id", "file"]).where("record <> other").collect()}
     a, b = warc.Tree(records), warc.Tree(bad)
@@ -202,13 +202,53 @@ def test_audit_finds_exactly_what_differs(spark, sf):
     found = warc.audit(a, b).collect()
     assert {ids[r["file"], r["ordinal"]] for r in found} == changed and {r["status"] for r in found} == {"corrupt"}
     assert warc.audit(a, a).count() == 0
-    gone = warc.audit(a, warc.Tree(records.where("page_id <> 3"))).collect()
-    assert {r["status"] for r in gone} <= {"corrupt", "missing"} and sum(r["status"] == "missing" for r in gone) == 1
-    assert sum(r["status"] == "extra" for r in warc.audit(warc.Tree(records.where("page_id <> 3")), a).collect()) == 1
+    without = warc.Tree(records.where("page_id <> 3"))
+    gone = warc.audit(a, without).collect()
+    assert {r["status"] for r in gone} <= {"corrupt", "missing"} and sum(r["status"] == "missing" for r in gone) == 1 and {r["file"] for r in gone} == {1}
+    assert sum(r["status"] == "extra" for r in warc.audit(without, a).collect()) == 1
     rows = warc.op10_warc_fixity(spark, sf).collect()
     assert sorted(r["page_id"] for r in rows) == sorted(r["page_id"] for r in pages.collect())
 
 
+def test_leaves_against_a_loop(spark, monkeypatch):
+    """Offsets and hashes are those of files written one record after another; repeats are one leaf."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k), "u", "x" * int(n)) for k, n in zip(rng.integers(-9, 9, 120), rng.integers(0, 4, 120), strict=True)] + [(None, "u", f"{k % 40}") for k in range(90)] + [(3, "v", str(k)) for k in range(300)]
+    records = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), ids_per_file=4).cache()
+    files = {}
+    for r in records.collect():
+        files.setdefault(r["file"], []).append((r["page_id"] or 0, hashlib.sha256(r["record"]).hexdigest(), len(r["record"]), r["page_id"]))
+    assert {f: {k[3] if k[3] is None else k[3] // 4 for k in v} for f, v in files.items()} == {f: {None if f == 0 else (f - 1) // 2 if f % 2 else -f // 2} for f in files}
+    want = []
+    for f, held in files.items():
+        at = 0
+        held.sort(key=lambda r: r[:2])
+        for n, (_, digest, size, page) in enumerate(held):
+            if n and held[n - 1][:2] == held[n][:2]:
+                want[-1][4] += size
+                want[-1][5] += 1
+            else:
+                want.append([f, n, page, at, size, 1, digest])
+            at += size
+    want = sorted(tuple([*w[:6], hashlib.sha256("|".join(map(str, ["leaf", w[3], w[4], w[5], w[6]])).encode()).hexdigest()]) for w in want)
+    assert sorted((tuple(r) for r in warc.leaves(records).collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_root_is_the_same_on_every_cluster(spark, sf):
+    """Neither shuffle partitions nor other files change a file's root."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    files = lambda t: {r["file"]: r["hash"] for r in t.top[0].select(F.col("ordinal").alias("file"), "hash").collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    tree = warc.Tree(warc.archive(pages, ids_per_file=8))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        assert warc.Tree(warc.archive(pages, ids_per_file=8)).root() == tree.root()
+        few = files(warc.Tree(warc.archive(pages.where("page_id < 24"), ids_per_file=8)))
+        assert few == {f: h for f, h in files(tree).items() if f in few} and len(few) == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_warc_of_odd_pages(spark):
     rows = [(1, "http://a", "<p>"), (1, "http://a", "<p>"), (None, None, None), (2, "x\r\ny", ""), (3, "u", "z" * 300_000)]
     records = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit(1)).withColumn("file", F.lit("f")))
@@ -221,4 +261,5 @@ def test_warc_of_odd_pages(spark):
         list(warc.parse_warc(data[0][:-5]))
     empty = warc.Tree(warc.archive(spark.createDataFrame([], "page_id long, url string, html string")))
     assert empty.root() is None and warc.audit(empty, empty).count() == 0
-    assert {r["status"] for r in warc.audit(warc.Tree(records), empty).collect()} == {"missing"}
+    assert {r["status"] for r in warc.audit(warc.Tree(records), empty).collect()} == {"missing"} and {r["status"] for r in warc.audit(empty, warc.Tree(records)).collect()} == {"extra"}
+    assert sorted((r["page_id"] or 0, r["copies"]) for r in warc.leaves(records).collect()) == [(0, 1), (1, 2), (2, 1), (3, 1)]
