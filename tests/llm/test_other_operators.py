@@ -25,6 +25,49 @@ def test_boundaries_are_optimal():
             assert got[-1] == lengths[-1] and len(got) <= k and cost(got) == best
 
 
+def plain_padding(length, count, buckets):
+    """Least padding by the plain recursion over every length."""
+    rows, mass = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * length)])
+    best = np.full(len(length) + 1, np.inf)
+    best[0], answer = 0, np.inf
+    for _ in range(buckets):
+        best = np.array([np.inf] + [(best[:j] + length[j - 1] * (rows[j] - rows[:j]) - (mass[j] - mass[:j])).min() for j in range(1, len(length) + 1)])
+        answer = min(answer, best[-1])
+    return int(answer)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_padding_is_the_least(spark, sf):
+    """Of the whole query, over every length that occurs, however large."""
+    got = op2_packing(spark, f"/root/testdata/{sf}").select("n_tokens", "padding").toPandas()
+    length, count = np.unique(got.n_tokens.to_numpy(), return_counts=True)
+    assert length.max() > 1000 and got.padding.sum() == plain_padding(length, count, 16)
+
+
+def test_boundaries_of_a_million_lengths():
+    rng = np.random.default_rng(1)
+    length = np.cumsum(rng.integers(1, 3, 1_000_000))
+    count = rng.integers(1, 100, len(length))
+    bounds = boundaries(length, count, length * count, 4)
+    best = lambda b: int((count * (np.array(b)[np.searchsorted(b, length)] - length)).sum())
+    assert len(bounds) == 4 and all(best([*bounds[:k], length[np.searchsorted(length, bounds[k]) + d], *bounds[k + 1 :]]) >= best(bounds) for k in range(3) for d in (-1000, -1, 1, 1000))
+
+
+def test_packing_is_the_same_on_every_cluster(spark, sf):
+    """Batches and slots don't depend on shuffle partitions, and a repeated id is cut into runs."""
+    rows = [(None, 7)] * 9000 + [(k, k % 50) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long").repartition(5)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(tuple, packed(df, budget=200).collect()), key=repr))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and len(got[0]) == 9500
+    check_packed(packed(df, budget=200).collect(), 200)
+
+
 def check_packed(rows, budget):
     batches = {}
     for r in rows:
