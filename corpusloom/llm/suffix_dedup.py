@@ -4,16 +4,16 @@ A byte goes if a string of `window` bytes that covers it also starts in a docume
 sorted only as deep as `window`, and only where two documents can share one:
 
 1. Each window falls into the initial q-gram bucket named by the smallest hash among its 20-grams. Neighbouring windows
-   of one bucket form a run; equal windows always fall into equal buckets. Blocks of documents send each distinct
-   (bucket, run content) once, with its smallest id.
-2. A bucket task finds the runs whose whole content an earlier document has, and the buckets that hold several runs.
-3. Only one copy of each distinct run of such a bucket travels, as bytes. `bucket_pointers` refines it: 8-byte buckets
-   are sorted on the bucket ids at offset 8, the results at offset 16, and those at offset 18, which gives the classes
-   of equal 50-byte suffixes; the smallest id of a class decides.
-
-A bucket with many runs in one block (a line that a third of all documents hold, with other text around it) is hot: its
-windows travel one by one under their own hash, each distinct one once a block, so no task gathers what grows with the
-number of copies. All that travels is linear in the text.
+   of one bucket form a run; equal windows always fall into equal buckets. Blocks of documents send the buckets they have.
+2. A bucket task tells each block which of its buckets other blocks have too.
+3. Of such a bucket each block sends one copy of every distinct run, as bytes. `bucket_pointers` refines them: 8-byte
+   buckets are sorted on the bucket ids at offset 8, the results at offset 16, and those at offset 18, which gives the
+   classes of equal 50-byte suffixes; the smallest id of a class decides. What only one block has is refined there.
+
+Hashes choose what is compared; no byte goes without a comparison of bytes, by pointers or, of copies of a run inside a
+block, one by one. A bucket with many runs in one block (a line that a third of all documents hold, with other text
+around it) is hot: its windows travel one by one, dealt by a hash of their own, each distinct one once a block, so no task
+gathers what grows with the number of copies. All that travels is linear in the text.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, block_of, id_and_text, pack, shuffle_partitions, text_blocks, unpack
+from .common import BLOCK_BYTES, id_and_text, pack, shuffle_partitions, text_blocks, unpack
 
 GRAM = 20
 LONGEST_RUN = 32
+#: Distinct runs of a bucket in a block from which on its windows travel one by one. It changes the way, not the result.
 HOT_RUNS = 64
+#: Bytes that are refined at a time, which should fit a processor's cache.
+PART_BYTES = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _MESSAGES = "block int, dest int, blob binary"
@@ -117,39 +120,61 @@ class _Block:
         self.start = np.cumsum(self.len) - self.len
         self.buf = np.frombuffer(b"".join([*texts, b"\0" * 128]), np.uint8)
 
-    def entries(self, window: int):
-        """Runs with their place in the sorted list of distinct (bucket, content), and that list.
+    def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the `size` (8 or more) bytes from each place of `a` on are those from `b` on."""
+        word = _words(self.buf, 0, len(self.buf) - 7)
+        out = np.ones(len(a), bool)
+        for o in range(0, int(size.max(initial=0)), 8):
+            at = np.minimum(o, size - 8)
+            out &= word[a + at] == word[b + at]
+        return out
 
-        A bucket with over HOT_RUNS contents here has one entry of content 0.
+    def classes(self, keys: list[np.ndarray], at: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each string (its place and size) that only equal ones share, and the first of least `doc` of each number.
+
+        Numbers are in order of the first of `keys`, which may be any functions of a string: strings of equal keys are
+        compared byte by byte.
         """
+        order = np.lexsort((doc, size, *keys[::-1]))
+        new = np.ones(len(order), bool)
+        new[1:] = size[order][1:] != size[order][:-1]
+        for k in keys:
+            new[1:] |= k[order][1:] != k[order][:-1]
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        copy = np.flatnonzero(~new)
+        other = copy[~self.same(at[order[copy]], at[lead[copy]], size[order[copy]])]
+        if len(other):  # equal keys, other bytes: such groups are put in order of their bytes
+            group = np.cumsum(new) - 1
+            mixed = np.flatnonzero(np.isin(group, group[other]))
+            text = [self.buf[a : a + n].tobytes() for a, n in zip(at[order[mixed]].tolist(), size[order[mixed]].tolist(), strict=True)]
+            again = sorted(range(len(mixed)), key=lambda k: (group[mixed[k]], text[k], doc[order[mixed[k]]]))
+            order[mixed] = order[mixed][again]
+            new[mixed] = [k == 0 or group[mixed[k]] != group[mixed[k - 1]] or text[again[k]] != text[again[k - 1]] for k in range(len(mixed))]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return number, order[new]
+
+    def runs(self, window: int):
+        """First and last window start, document and bucket hash of each run."""
         first, last, h = _runs(self.buf, self.start, self.len, window)
-        row = np.searchsorted(self.start, first, "right") - 1
-        doc = self.order_id[row]
-        r = _window_hashes(self.buf, first, window) * _K[0]
-        r ^= _window_hashes(self.buf, last, window, 1)
-        r = (r ^ (r >> np.uint64(29))) * _K[3] + (last - first).astype(np.uint64)
-        r[r == 0] = 1
-        order = np.lexsort((doc, r, h))
-        hs, rs = h[order], r[order]
-        new_h = np.ones(len(hs), bool)
-        new_h[1:] = hs[1:] != hs[:-1]
-        new_r = new_h.copy()
-        new_r[1:] |= rs[1:] != rs[:-1]
-        bucket = np.cumsum(new_h) - 1
-        hot = (np.bincount(bucket, new_r) > HOT_RUNS)[bucket] if len(hs) else new_h
-        rs = np.where(hot, np.uint64(0), rs)
-        new = np.where(hot, new_h, new_r)
-        entry = np.empty(len(hs), np.int64)
-        entry[order] = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
-        least = np.minimum.reduceat(doc[order], at) if len(at) else np.zeros(0, np.int64)
-        return first, last, row, doc, entry, hs[at], rs[at], least
+        return first, last, self.order_id[np.searchsorted(self.start, first, "right") - 1], h
+
+    def contents(self, first: np.ndarray, last: np.ndarray, doc: np.ndarray, h: np.ndarray, window: int):
+        """Number of the content of each run, the first run of each content, and the number of that one's bucket among `buckets`."""
+        r = _window_hashes(self.buf, first, window) * _K[0] ^ _window_hashes(self.buf, last, window, 1)
+        number, lead = self.classes([h, r], first, last - first + window, doc)
+        bucket = np.cumsum(np.diff(h[lead], prepend=h[lead][:1]) != 0)
+        return number, lead, bucket
 
 
 def _route(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h * _K[0]) >> np.uint64(33)).astype(np.int64) % buckets
 
 
+def _part(h: np.ndarray) -> np.ndarray:
+    return ((h * _K[2]) >> np.uint64(56)).astype(np.uint8)
+
+
 def _batches(rows: list[tuple]) -> pa.Table:
     block, dest, blob = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.table({"block": pa.array(block, pa.int32()), "dest": pa.array(dest, pa.int32()), "blob": pa.array(blob, pa.binary())})
@@ -162,107 +187,138 @@ def _by_dest(dest: np.ndarray):
         yield int(dest[order[a]]), order[a:b]
 
 
-def _announce(buckets: int, window: int):
+def _gather(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all strings, one after another."""
+    return buf[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+def _announce(buckets: int, window: int, hot_runs: int):
+    """Of one block: its buckets, and which of them are hot."""
+
     def run(key, rows):
-        *_, h, r, least = _Block(rows).entries(window)
-        out = []
+        block = _Block(rows)
+        first, last, doc, h = block.runs(window)
+        _, lead, bucket = block.contents(first, last, doc, h, window)
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        hot = (np.diff(at, append=len(bucket)) > hot_runs).astype(np.uint8)
+        h, out = h[lead][at], []
         for dest, at in _by_dest(_route(h, buckets)):
-            out.append((key[0].as_py(), dest, pack(np.diff(h[at], prepend=np.uint64(0)), r[at], least[at], np.diff(at.astype(np.uint32), prepend=np.uint32(0)))))
+            out.append((key[0].as_py(), dest, pack(np.diff(h[at], prepend=np.uint64(0)), np.diff(at.astype(np.uint32), prepend=np.uint32(0)), hot[at])))
         return _batches(out)
 
     return run
 
 
 def _judge(key, rows):
-    """Of one set of buckets: which runs an earlier document has whole, which bucket is hot, which runs must be refined."""
+    """Of one set of buckets: which of each block's other blocks have too (1), and which of those are hot somewhere (2)."""
     blocks, parts = rows.column("block").to_pylist(), [unpack(x) for x in rows.column("blob").to_pylist()]
     if not parts:
         return _batches([])
     h = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    r, least = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-    idx = np.concatenate([np.cumsum(p[3], dtype=np.uint32) for p in parts])
-    part = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
-    order = np.lexsort((least, r, h))
-    h, r, least, idx, part = h[order], r[order], least[order], idx[order], part[order]
-    new_h = np.ones(len(h), bool)
-    new_h[1:] = h[1:] != h[:-1]
-    new_r = new_h.copy()
-    new_r[1:] |= r[1:] != r[:-1]
-    at_h, at_r = np.flatnonzero(new_h), np.flatnonzero(new_r)
-    bucket, content = np.cumsum(new_h) - 1, np.cumsum(new_r) - 1
-    first = least[at_r]  # sorted by id within a content
-    hot = r[at_h] == 0
-    size = np.diff(at_h, append=len(h))
-    first_of_bucket = bucket[at_r]
-    low = np.minimum.reduceat(first, np.flatnonzero(np.diff(first_of_bucket, prepend=-1)))
-    high = np.maximum.reduceat(first, np.flatnonzero(np.diff(first_of_bucket, prepend=-1)))
+    idx = np.concatenate([np.cumsum(p[1], dtype=np.uint32) for p in parts])
+    hot = np.concatenate([p[2] for p in parts])
+    part = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    order = np.argsort(h, kind="stable")
+    at = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    size = np.diff(at, append=len(h))
     flag = np.zeros(len(h), np.uint8)
-    flag[least > first[content]] = 1
-    flag[(least == first[content]) & (low != high)[bucket]] = 3
-    flag[hot[bucket]] = 0
-    flag[(hot & (size > 1))[bucket]] = 2
+    flag[order] = np.repeat(np.where(size > 1, 1 + np.maximum.reduceat(hot[order], at), 0), size)
     said = np.flatnonzero(flag)
     out = []
     for p, at in _by_dest(part[said]):
         at = said[at]
-        at = at[np.argsort(idx[at])]
         out.append((blocks[p], 0, pack(np.diff(idx[at], prepend=np.uint32(0)), flag[at])))
     return _batches(out)
 
 
-def _request(buckets: int, window: int):
-    """Of one block: spans already decided, windows still open, and the bytes that decide them."""
+def _request(buckets: int, window: int, hot_runs: int):
+    """Of one block: windows already decided, windows still open, and the bytes that decide them."""
 
     def run(key, rows, said):
         if not rows.num_rows:
             return _batches([])
         block = _Block(rows)
-        first, last, row, doc, entry, h, r, least = block.entries(window)
-        flag = np.zeros(len(h), np.uint8)
+        first, last, doc, h = block.runs(window)
+        number, lead, bucket = block.contents(first, last, doc, h, window)
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        flag = np.zeros(len(at), np.uint8)
         for blob in said.column("blob").to_pylist():
             idx, f = unpack(blob)
             flag[np.cumsum(idx, dtype=np.uint32)] = f
-        is_hot = (flag == 2) | (r == 0)
-        lost = ~is_hot[entry] & ((doc > least[entry]) | (flag[entry] == 1))
-        from_, to = [first[lost]], [last[lost]]
-        wait = ~lost & (flag[entry] == 3)
-        open_item, open_at = [entry[wait]], [first[wait]]
-        at = np.flatnonzero(wait)
-        _, one = np.unique(entry[at], return_index=True)
-        at = at[one]
-        items = [(entry[at], doc[at], first[at], last[at], _route(h[entry[at]], buckets))]
-        hot = np.flatnonzero(is_hot[entry])
-        if len(hot):
-            n = last[hot] - first[hot] + 1
-            which = np.repeat(hot, n)
+        hot = (np.diff(at, append=len(bucket)) > hot_runs) | (flag == 2)
+        held = np.minimum.reduceat(doc[lead], at) != np.maximum.reduceat(doc[lead], at) if len(at) else hot  # by several documents
+        hot, flag, here = hot[bucket], flag[bucket], (held & ~hot & (flag == 0))[bucket]
+        # copies inside the block, which were compared, go by the smallest id
+        gone = ~hot[number] & (doc > doc[lead][number])
+        from_, to = [first[gone]], [last[gone]]
+        wait = ~gone & (~hot & (flag == 1) | here)[number]
+        open_item, open_at = [number[wait]], [first[wait]]
+        size = last[lead] - first[lead] + window
+        send = np.flatnonzero(~hot & (flag == 1))
+        items = [(send, doc[lead[send]], first[lead[send]], size[send], h[lead[send]])]
+        out = []
+        at = np.flatnonzero(here)
+        if len(at):
+            out.append(_lost(key[0].as_py(), at, *_decide(block.buf, first[lead[at]], size[at], doc[lead[at]], _part(h[lead[at]]), window)))
+        at = np.flatnonzero(hot[number])
+        if len(at):  # windows one by one
+            n = last[at] - first[at] + 1
+            which = np.repeat(at, n)
             at = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            a, b = _window_hashes(block.buf, at, window), _window_hashes(block.buf, at, window, 1)
-            order = np.lexsort((doc[which], b, a))
-            new = np.ones(len(order), bool)
-            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-            cls = np.empty(len(order), np.int64)
-            cls[order] = np.cumsum(new) - 1
-            lead = order[new]
-            lost = doc[which] > doc[which][lead][cls]
-            from_.append(at[lost])
-            to.append(at[lost])
-            send = (flag[entry[which[lead]]] == 2)
-            wait = ~lost & send[cls]
-            open_item.append(cls[wait] + len(h))
+            own = _window_hashes(block.buf, at, window)
+            cls, one = block.classes([own], at, np.full(len(at), window), doc[which])
+            gone = doc[which] > doc[which[one]][cls]
+            from_.append(at[gone])
+            to.append(at[gone])
+            send = (flag[number[which]] == 2)[one]  # equal windows are of one bucket
+            wait = ~gone & send[cls]
+            open_item.append(cls[wait] + len(lead))
             open_at.append(at[wait])
-            lead = lead[send]
-            items.append((cls[lead] + len(h), doc[which[lead]], at[lead], at[lead], _route(a[lead], buckets)))
-        out = [(key[0].as_py(), key[0].as_py() % buckets, pack(np.uint8([0]), *(np.concatenate(x) for x in (from_, to, open_item, open_at))))]
-        item, doc, first, last, dest = (np.concatenate(x) for x in zip(*items, strict=True))
-        for d, at in _by_dest(dest):
-            size = last[at] - first[at] + window
-            text = block.buf[np.repeat(first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            out.append((key[0].as_py(), d, pack(np.uint8([1]), item[at].astype(np.uint32), doc[at], size.astype(np.uint16), text)))
+            one, cls = one[send], np.flatnonzero(send)
+            items.append((cls + len(lead), doc[which[one]], at[one], np.full(len(one), window), own[one]))
+        out.append((key[0].as_py(), key[0].as_py() % buckets, pack(np.uint8([0]), *(np.concatenate(x) for x in (from_, to, open_item, open_at)))))
+        item, doc, first, size, name = (np.concatenate(x) for x in zip(*items, strict=True))
+        part = _part(name)
+        for dest, at in _by_dest(_route(name, buckets)):
+            at = at[np.argsort(part[at], kind="stable")]
+            out.append((key[0].as_py(), dest, pack(np.uint8([1]), item[at].astype(np.uint32), doc[at], size[at].astype(np.uint16), part[at], _gather(block.buf, first[at], size[at]))))
         return _batches(out)
 
     return run
 
 
+def _lost(block: int, item: np.ndarray, which: np.ndarray, offset: np.ndarray) -> tuple:
+    return block, 0, pack(np.uint8([2]), item[which].astype(np.uint32), offset.astype(np.uint16))
+
+
+def _decide(buf: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, part: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the string and offset of each window in it that a string of smaller `doc` has too, by refinement.
+
+    Equal windows must be in strings of one `part`; parts are refined in groups that fit a processor's cache.
+    """
+    order = np.argsort(part, kind="stable")
+    upto = np.cumsum(size[order])
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    which, offset, a = [], [], 0
+    while a < len(cuts):
+        lo = cuts[a]
+        b = max(a + 1, int(np.searchsorted(upto[np.append(cuts[1:], len(order)) - 1], (upto[lo - 1] if lo else 0) + PART_BYTES, "right")))
+        at = order[lo : cuts[b] if b < len(cuts) else len(order)]
+        n = size[at]
+        pointer = bucket_pointers(_gather(buf, first[at], n), window, np.repeat(np.cumsum(n), n) - np.arange(n.sum()))
+        windows = n - window + 1
+        string = np.repeat(np.arange(len(n)), windows)
+        inner = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
+        cls = pointer[(np.cumsum(n) - n)[string] + inner]
+        least = np.full(int(pointer.max()) + 1, NO_ID, np.int64)
+        np.minimum.at(least, cls, doc[at][string])
+        gone = np.flatnonzero(least[cls] < doc[at][string])
+        which.append(at[string[gone]])
+        offset.append(inner[gone])
+        a = b
+    return (np.concatenate(which), np.concatenate(offset)) if which else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _ranks(key: np.ndarray) -> np.ndarray:
     """Bucket ids in sorted order of the keys."""
     order = np.argsort(key)
@@ -306,30 +362,24 @@ def bucket_pointers(buf: np.ndarray, depth: int, room: np.ndarray | None = None)
 
 
 def _refine(window: int):
+    """Of one set of buckets: the windows of each block that a document of smaller id has. What is decided passes through."""
+
     def run(key, rows):
         out, parts, owners = [], [], []
         for block, blob in zip(rows.column("block").to_pylist(), rows.column("blob").to_pylist(), strict=True):
             kind, *arrays = unpack(blob)
-            if kind[0]:
+            if kind[0] == 1:
                 parts.append(arrays)
                 owners.append(block)
             else:
                 out.append((block, 0, blob))
         if parts:
-            item, doc, size, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-            size = size.astype(np.int64)
+            item, doc, size, part, text = (np.concatenate(x) for x in zip(*parts, strict=True))
             owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            pointer = bucket_pointers(text, window, np.repeat(np.cumsum(size), size) - np.arange(len(text)))
-            windows = size - window + 1
-            which = np.repeat(np.arange(len(size)), windows)
-            offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-            cls = pointer[(np.cumsum(size) - size)[which] + offset]
-            least = np.full(int(pointer.max()) + 1, NO_ID, np.int64)
-            np.minimum.at(least, cls, doc[which])
-            lost = np.flatnonzero(least[cls] < doc[which])
-            for p, at in _by_dest(owner[which[lost]]):
-                at = lost[at]
-                out.append((owners[p], 0, pack(np.uint8([1]), item[which[at]], offset[at].astype(np.uint8))))
+            size = size.astype(np.int64)
+            which, offset = _decide(text, np.cumsum(size) - size, size, doc, part, window)
+            for p, at in _by_dest(owner[which]):
+                out.append(_lost(owners[p], item, which[at], offset[at]))
         return _batches(out)
 
     return run
@@ -343,7 +393,7 @@ def _cut(window: int, carried: int = 0):
         spans, lost, item, at = [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         for blob in said.column("blob").to_pylist():
             kind, *arrays = unpack(blob)
-            if kind[0]:
+            if kind[0] == 2:
                 lost.append(arrays)
             else:
                 spans.append(arrays[:2])
@@ -391,14 +441,14 @@ def _cut(window: int, carried: int = 0):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = (), hot_runs: int = HOT_RUNS) -> DataFrame:
     """Texts without the bytes that a `window`-byte string also starting in a document with a smaller id covers.
 
     Returns one row for each row of `docs`: doc_id long, n_bytes long, n_removed long, spans array of (start, end) byte
     offsets that went, kept binary, then the columns `carry` of `docs` as _c0, _c1 and so on. Null texts count as empty. A
     null id counts as larger than any other; rows of equal id remove nothing from each other, so repeated rows come out
     alike. Texts below `window` bytes stay whole. An empty table gives an empty result. No other column is read. `window` is
-    40 to 200.
+    40 to 200. Rows are dealt to blocks by id and text, so different texts of a null or repeated id spread.
     """
     if not 40 <= window <= 200:
         raise ValueError("window must be 40 to 200")
@@ -408,9 +458,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carry)]
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text, *more)
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name.startswith("_c"))
-    rows = rows.select("*", block_of("doc_id", blocks)).groupBy("block")
-    judged = rows.applyInArrow(_announce(buckets, window), _MESSAGES).groupBy("dest").applyInArrow(_judge, _MESSAGES)
-    asked = rows.cogroup(judged.groupBy("block")).applyInArrow(_request(buckets, window), _MESSAGES)
+    rows = rows.select("*", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")).groupBy("block")
+    judged = rows.applyInArrow(_announce(buckets, window, hot_runs), _MESSAGES).groupBy("dest").applyInArrow(_judge, _MESSAGES)
+    asked = rows.cogroup(judged.groupBy("block")).applyInArrow(_request(buckets, window, hot_runs), _MESSAGES)
     spans = asked.groupBy("dest").applyInArrow(_refine(window), _MESSAGES)
     return rows.cogroup(spans.groupBy("block")).applyInArrow(
         _cut(window, len(carry)), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary" + kinds

@@ -2,8 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from corpusloom.llm import suffix_dedup
 from corpusloom.llm.suffix_dedup import bucket_pointers, op1_suffix_array_dedup, remove_repeats, without_repeats
 
 
@@ -61,8 +63,7 @@ def test_bucket_pointers_with_room():
     assert len(set(zip(keys, p.tolist(), strict=True))) == len(set(keys)) == len(set(p.tolist())) < len(keys)
 
 
-@pytest.mark.parametrize("block_bytes", [200, 1 << 20])
-def test_matches_brute_force(spark, block_bytes):
+def phrases_and_noise():
     rng = random.Random(3)
     words = ["ab", "cde", "fghij", "é", "日本"]
     phrases = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(6)]
@@ -70,8 +71,45 @@ def test_matches_brute_force(spark, block_bytes):
     for d in range(60):
         parts = [rng.choice(phrases)[rng.randrange(40) :][: rng.randrange(20, 120)] if rng.random() < 0.6 else "".join(rng.choice("abc ") for _ in range(rng.randrange(80))) for _ in range(5)]
         rows.append((d * 3 % 61, "".join(parts)))
-    rows += [(200, "a" * 500), (201, "a" * 300), (202, "ab" * 200), (203, "ab" * 100 + "x"), (203, "ab" * 100 + "x"), (204, None), (None, "a" * 60)]
-    same(found(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=block_bytes), brute(rows))
+    return [*rows, (200, "a" * 500), (201, "a" * 300), (202, "ab" * 200), (203, "ab" * 100 + "x"), (203, "ab" * 100 + "x"), (204, None), (None, "a" * 60), (None, "ab" * 70), (None, "q" + "ab" * 70)]
+
+
+@pytest.mark.parametrize("block_bytes", [200, 1 << 20])
+@pytest.mark.parametrize("hot_runs", [0, 64, 10**9])
+def test_matches_brute_force(spark, block_bytes, hot_runs):
+    """Whatever the blocks, and whether buckets are refined by runs or by windows."""
+    rows = phrases_and_noise()
+    same(found(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=block_bytes, hot_runs=hot_runs), brute(rows))
+
+
+def in_one_process(rows, blocks, buckets, window=50, hot_runs=64):
+    """The stages of the query without Spark; also the windows that pointers decided."""
+    number = lambda k: (pa.scalar(k, pa.int32()),)
+    tables = [pa.table({"doc_id": pa.array([r[0] for r in rows[k::blocks]], pa.int64()), "text": pa.array([(r[1] or "").encode() for r in rows[k::blocks]], pa.binary())}) for k in range(blocks)]
+    by = lambda t, column, k: t.filter(pa.compute.equal(t[column], k))
+    said = pa.concat_tables([suffix_dedup._announce(buckets, window, hot_runs)(number(k), t) for k, t in enumerate(tables)])
+    said = pa.concat_tables([suffix_dedup._judge(number(k), by(said, "dest", k)) for k in range(buckets)])
+    asked = pa.concat_tables([suffix_dedup._request(buckets, window, hot_runs)(number(k), t, by(said, "block", k)) for k, t in enumerate(tables)])
+    asked = pa.concat_tables([suffix_dedup._refine(window)(number(k), by(asked, "dest", k)) for k in range(buckets)])
+    cut = pa.concat_tables([suffix_dedup._cut(window)(number(k), t, by(asked, "block", k)) for k, t in enumerate(tables)])
+    blobs = [suffix_dedup.unpack(x) for x in asked["blob"].to_pylist()]
+    return [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept"]) for r in cut.to_pylist()], sum(len(b[1]) for b in blobs if b[0][0] == 2)
+
+
+@pytest.mark.parametrize("hot_runs", [0, 3, 64])
+@pytest.mark.parametrize("values", [1, 3, None])
+def test_hashes_decide_nothing(monkeypatch, values, hot_runs):
+    """With content hashes that have one or three values the result is the same: bytes are compared, or refined by pointers."""
+    if values:
+        plain = suffix_dedup._window_hashes
+        monkeypatch.setattr(suffix_dedup, "_window_hashes", lambda *a: plain(*a) % np.uint64(values))
+        grams = suffix_dedup._gram_hashes
+        monkeypatch.setattr(suffix_dedup, "_gram_hashes", lambda *a: grams(*a) % np.uint64(40))
+    rows = phrases_and_noise()
+    for blocks, buckets in ((1, 1), (5, 3), (len(rows), 4)):
+        got, refined = in_one_process(rows, blocks, buckets, hot_runs=hot_runs)
+        same(got, brute(rows))
+        assert refined or blocks == 1
 
 
 def test_a_line_that_most_documents_hold(spark):
