@@ -6,10 +6,15 @@ cluster. Below a top node the fingerprints are sorted by Gray rank, so that neig
 neighbours keep the bits all their members share, nodes of nodes again; the differences between two nodes on the bits
 that both share bound those of all their members from below, and pairs of nodes beyond `bits` are pruned whole.
 So are pairs whose members are known to be connected already.
+
+`similar_documents` links texts by the exact similarity of their shingle sets. The same index, over wider fingerprints and
+masks of sampled bits, finds which texts may be alike; every link is then confirmed on the sets themselves.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +27,10 @@ from .common import drop_table, id_and_text, materialise, shuffle_partitions
 from .components import components, local_roots
 
 FANOUT = 16
+#: Members that a top node should have on average, when all are unlike; masks have more bits the more fingerprints there are.
+NODE = 256
+#: 64-bit words of the wider fingerprints.
+WORDS = 8
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -47,6 +56,18 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > n, bitorder="little").view(np.uint64)
 
 
+def wide_fingerprint(hashes: np.ndarray, words: int = WORDS, part: int = 1 << 12) -> np.ndarray:
+    """`words` words of majority bits over all hashes, each mixed anew for every word; of any number, in bounded memory."""
+    mixers = np.random.default_rng(words).integers(1 << 62, size=(2, words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    counts = np.zeros(64 * words, np.int64)
+    for lo in range(0, len(hashes), part):
+        x = hashes[lo : lo + part, None] * mixers[0]
+        x = (x ^ (x >> np.uint64(31))) * mixers[1]
+        bits = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8).reshape(len(x), 8 * words), axis=1, bitorder="little")
+        counts += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+
+
 def fingerprint(text: bytes, shingle_words: int = 4, seed: int = 42) -> int:
     return int(majority(shingle_hashes(text, shingle_words, seed)[:, None])[0])
 
@@ -73,6 +94,14 @@ def block_masks(bits: int, agree: int = 2) -> list[int]:
     return [sum(c) for c in combinations(blocks, agree)]
 
 
+def agreeing_blocks(count: int, bits: int) -> int:
+    """Blocks that must agree, so many that `count` fingerprints spread to NODE a top node: two to 600 million, then three."""
+    agree = 2
+    while count > NODE << int(64 * agree / (bits + agree)):
+        agree += 1
+    return agree
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     x = x.copy()
     for s in (1, 2, 4, 8, 16, 32):
@@ -91,57 +120,80 @@ def apart(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
 
 
-def linked(fps: np.ndarray, top: np.ndarray, bits: int, block: int = 1 << 20) -> np.ndarray:
+class GrayIndex:
+    """Fingerprints (rows of uint64 words, sorted by top node and Gray rank) and the nodes above them.
+
+    `root` has a number for each fingerprint: those of one number are known to be connected. It may be changed, to connect
+    more, while `pairs` runs.
+    """
+
+    def __init__(self, fps: np.ndarray, top: np.ndarray, root: np.ndarray):
+        self.fps, self.root = fps, root
+        # levels of nodes: first and end of children, shared bits and their values, top node
+        self.levels = [(None, None, np.full_like(fps, ~np.uint64(0)), fps, top)]
+        while True:
+            _, _, shared, value, node_top = self.levels[-1]
+            size = len(value)
+            start = np.flatnonzero(np.diff(node_top, prepend=node_top[0] - 1 if size else 0))
+            if len(start) == size:
+                break
+            nth = np.arange(size) - np.repeat(start, np.diff(start, append=size))
+            at = np.flatnonzero(nth % FANOUT == 0)
+            both, any_ = np.bitwise_and.reduceat(value, at, axis=0), np.bitwise_or.reduceat(value, at, axis=0)
+            mask = np.bitwise_and.reduceat(shared, at, axis=0) & ~(both ^ any_)
+            self.levels.append((at, np.append(at[1:], size), mask, both & mask, node_top[at]))
+
+    def one_roots(self) -> list[np.ndarray]:
+        """For each level the one root of all members of a node, or a negative number of its own."""
+        out = [self.root]
+        for at, *_ in self.levels[1:]:
+            low, high = np.minimum.reduceat(out[-1], at), np.maximum.reduceat(out[-1], at)
+            out.append(np.where(low == high, low, -1 - np.arange(len(at))))
+        return out
+
+    def pairs(self, bits: int, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of one top node at most `bits` apart whose roots differ, some at a time; at most `block` a level are held."""
+        roots, seen, age = self.one_roots(), self.root, 0
+        a = b = np.arange(len(self.levels[-1][3]))
+        stack, span = [(len(self.levels) - 1, a, b, 0)], max(1, block // FANOUT**2)
+        while stack:
+            depth, a, b, at = stack.pop()
+            if depth == 0:
+                keep = self.root[a] != self.root[b]
+                a, b = a[keep], b[keep]
+                total = np.zeros(len(a), np.int64)
+                for w in range(0, self.fps.shape[1], 2):  # differences add up, and most pairs are over the limit soon
+                    total += apart(self.fps[a, w : w + 2] ^ self.fps[b, w : w + 2])
+                    keep = total <= bits
+                    a, b, total = a[keep], b[keep], total[keep]
+                if len(a):
+                    yield a, b
+                continue
+            if at + span < len(a):
+                stack.append((depth, a, b, at + span))
+            age += 1
+            if seen is not self.root and age >= 8:
+                roots, seen, age = self.one_roots(), self.root, 0
+            a, b = a[at : at + span], b[at : at + span]
+            (first, end, mask, value, _), r = self.levels[depth], roots[depth]
+            keep = (apart((value[a] ^ value[b]) & mask[a] & mask[b]) <= bits) & ~((r[a] == r[b]) & (r[a] >= 0))
+            a, b = a[keep], b[keep]
+            which, left = _expand(first[a], end[a] - first[a])
+            pair, right = _expand(first[b[which]], (end[b] - first[b])[which])
+            left = left[pair]
+            ordered = left < right if depth == 1 else left <= right
+            stack.append((depth - 1, left[ordered], right[ordered], 0))
+
+
+def linked(fps: np.ndarray, top: np.ndarray, bits: int, block: int = 1 << 19) -> np.ndarray:
     """Smallest index that each of `fps` (rows of uint64 words, sorted by top node and Gray rank) reaches by links inside its top node."""
     n = len(fps)
     near = (top[1:] == top[:-1]) & (apart(fps[1:] ^ fps[:-1]) <= bits)
-    root = local_roots(n, np.flatnonzero(near), np.flatnonzero(near) + 1)
-    # levels of nodes: first and end of children, shared bits and their values, one root of all members or -1
-    levels = [(None, None, np.full_like(fps, ~np.uint64(0)), fps, top)]
-    while True:
-        _, _, shared, value, node_top = levels[-1]
-        size = len(value)
-        start = np.flatnonzero(np.diff(node_top, prepend=node_top[0] - 1 if size else 0))
-        if len(start) == size:
-            break
-        nth = np.arange(size) - np.repeat(start, np.diff(start, append=size))
-        at = np.flatnonzero(nth % FANOUT == 0)
-        both, any_ = np.bitwise_and.reduceat(value, at, axis=0), np.bitwise_or.reduceat(value, at, axis=0)
-        mask = np.bitwise_and.reduceat(shared, at, axis=0) & ~(both ^ any_)
-        levels.append((at, np.append(at[1:], size), mask, both & mask, node_top[at]))
-
-    def one_root(depth: int) -> np.ndarray:
-        r = root
-        for k in range(1, depth + 1):
-            at = levels[k][0]
-            low, high = np.minimum.reduceat(r, at), np.maximum.reduceat(r, at)
-            r = np.where(low == high, low, -1 - np.arange(len(at)))
-        return r
-
-    a = b = np.arange(len(levels[-1][3]))
-    stack = [(len(levels) - 1, a, b)]
-    while stack:
-        depth, a, b = stack.pop()
-        if depth == 0:
-            hit = apart(fps[a] ^ fps[b]) <= bits
-            a, b = root[a[hit]], root[b[hit]]
-            if (a != b).any():
-                root = local_roots(n, np.concatenate([np.arange(n), a]), np.concatenate([root, b]))
-            continue
-        r = one_root(depth)
-        mask, value = levels[depth][2:4]
-        keep = (apart((value[a] ^ value[b]) & mask[a] & mask[b]) <= bits) & ~((r[a] == r[b]) & (r[a] >= 0))
-        a, b = a[keep], b[keep]
-        first, end = levels[depth][:2]
-        span = max(1, block // FANOUT**2)
-        for lo in range(0, len(a), span):
-            p, q = a[lo : lo + span], b[lo : lo + span]
-            which, left = _expand(first[p], end[p] - first[p])
-            pair, right = _expand(first[q[which]], (end[q] - first[q])[which])
-            left = left[pair]
-            ordered = left < right if depth == 1 else left <= right
-            stack.append((depth - 1, left[ordered], right[ordered]))
-    return root
+    index = GrayIndex(fps, top, local_roots(n, np.flatnonzero(near), np.flatnonzero(near) + 1))
+    for a, b in index.pairs(bits, block):
+        a, b = index.root[a], index.root[b]
+        index.root = local_roots(n, np.concatenate([np.arange(n), a]), np.concatenate([index.root, b]))
+    return index.root
 
 
 def _link(masks: list[int], bits: int):
@@ -170,8 +222,9 @@ def group_fingerprints(fps: DataFrame, bits: int = 4) -> DataFrame:
     spark = fps.sparkSession
     last = F.lit((1 << 63) - 1)
     distinct = materialise(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", last)).alias("rep")))
-    masks = block_masks(bits)
-    buckets = max(-(-distinct.count() * len(masks) // 200_000), 2 * shuffle_partitions(spark))
+    count = distinct.count()
+    masks = block_masks(bits, agreeing_blocks(count, bits))
+    buckets = max(-(-count * len(masks) // 200_000), 2 * shuffle_partitions(spark))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = distinct.select("fp", F.explode(F.array(*[
         F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("pattern")) for k, m in enumerate(signed)
@@ -193,71 +246,196 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(groups.select("fp", F.col("component").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
-def least_of(size: int | np.ndarray, similarity: float) -> np.ndarray:
-    """Shingles that a set of `size` shares at least with any set that is `similarity` alike."""
-    return np.ceil(np.asarray(size) * similarity - 1e-9).astype(np.int64)
-
-
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets have that Jaccard similarity or more; sets without elements are alike."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def rare_first(hashes: np.ndarray, count: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first `count` of sorted hashes in an order that all sets share: by hash, then those of `common` (sorted) by `rank`."""
-    if not len(common):
-        return hashes[:count]
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    hot = common[at] == hashes
-    out = hashes[~hot][:count]
-    return out if len(out) == count else np.concatenate([out, hashes[hot][np.argsort(rank[at[hot]], kind="stable")[: count - len(out)]]])
-
-
-def shared_pairs(token: np.ndarray, v: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float, block: int = 1 << 21) -> pa.Table:
-    """(a, b, na, nb, c) of pairs with c common tokens whose sizes allow the similarity and whose groups differ."""
-    order = np.lexsort((v, token))
-    token, v, n, group = token[order], v[order], n[order], group[order]
-    end = np.searchsorted(token, token, side="right")
-    later = end - np.arange(len(v)) - 1
-    found = [np.zeros((2, 0), np.int64)]
-    done, upto = 0, np.cumsum(later)
-    while done < len(v):
-        stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + block, side="right")))
-        i, j = _expand(np.arange(done, stop) + 1, later[done:stop])
-        i += done
-        keep = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= least_of(np.maximum(n[i], n[j]), similarity))
-        found.append(np.stack([i[keep], j[keep]]))
-        done = stop
-    i, j = np.concatenate(found, axis=1)
-    order = np.lexsort((v[j], v[i]))
-    i, j = i[order], j[order]
-    at = np.flatnonzero(np.append(True, (v[i][1:] != v[i][:-1]) | (v[j][1:] != v[j][:-1]))) if len(i) else i
-    c = np.diff(at, append=len(i))
-    i, j = i[at], j[at]
-    return pa.table({"a": v[i], "b": v[j], "na": n[i], "nb": n[j], "c": c})
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) of those pairs (a, b) whose sets in (v, set) are alike; only sets of a pair move, picked by a bit table."""
+def expected_difference(similarity: float) -> float:
+    """Share of bits that differ between texts of equal size with that Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+#: Share of bits in which four shingles differ from the same and one more. No larger sets 0.8 alike differ in more.
+FEW_SHINGLES, FEW = 0.1875, 20
+
+
+def limits(similarity: float, words: int = WORDS) -> tuple[int, int]:
+    """Bits in which sets of that similarity differ at most, but for three standard deviations: large sets, and below FEW."""
+    return tuple(int(64 * words * p + 3 * math.sqrt(64 * words * p * (1 - p))) for p in (expected_difference(similarity), max(FEW_SHINGLES, expected_difference(similarity))))
+
+
+def sampled_masks(count: int, bits: int, words: int, seed: int = 11) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    out = np.zeros((count, 64 * words), np.uint8)
+    for row in out:
+        row[rng.choice(64 * words, bits, replace=False)] = 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+def masks_for(count: int, similarity: float, recall: float, words: int = WORDS) -> np.ndarray:
+    """Masks of sampled bits that spread `count` fingerprints to NODE a top node.
+
+    So many of them that a pair of exactly that similarity meets under one with probability `recall`, even of few shingles.
+    """
+    bits = max(10, (count // NODE).bit_length())
+    agree = (1 - max(FEW_SHINGLES, expected_difference(similarity))) ** bits
+    return sampled_masks(math.ceil(math.log(1 - recall) / math.log(1 - agree)), bits, words)
+
+
+def hub_links(fps: np.ndarray, limit: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(hub, member) among the fingerprints of one top node: the one nearest to the majority of all bits, then that of what is left.
+
+    Ends when a hub has few near members. What it leaves out is compared pair by pair later.
+    """
+    rest, hubs, members = np.arange(len(fps)), [], []
+    while len(rest) >= least:
+        hub = rest[apart(fps[rest] ^ majority(fps[rest])).argmin()]
+        near = apart(fps[rest] ^ fps[hub]) <= limit
+        star = rest[near & (rest != hub)]
+        if len(star) + 1 < least:
+            break
+        hubs.append(np.full(len(star), hub))
+        members.append(star)
+        rest = rest[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *hubs]), np.concatenate([none, *members])
+
+
+class _Candidates:
+    """Pairs of (v, n, part, fp) that may be alike: nodes of an index under masks, spread over the cluster."""
+
+    def __init__(self, spark, count: int, similarity: float, recall: float):
+        self.masks, self.limit = masks_for(count, similarity, recall), limits(similarity)
+        self.similarity, self.buckets = similarity, max(-(-count * len(self.masks) // 100_000), 2 * shuffle_partitions(spark))
+
+    def keys(self, fps: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        """A hash of each row under each mask (masks, rows)."""
+        out = np.zeros((len(masks), len(fps)), np.uint64)
+        for k, mask in enumerate(masks):
+            h = np.full(len(fps), k + 1, np.uint64)
+            for w in np.flatnonzero(mask):
+                h = (h ^ (fps[:, w] & mask[w])) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            out[k] = h
+        return out
+
+    def dealt(self, rows: DataFrame, masks: np.ndarray, salts: int):
+        """`rows` once for each mask, grouped by bucket of top nodes; a node is dealt to `salts` of them."""
+
+        def deal(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    part = batch.slice(at, 2000)
+                    blobs, v = part.column("fp"), part.column("v").to_numpy().view(np.uint64)
+                    for h in self.keys(np.frombuffer(b"".join(blobs.to_pylist()), np.uint64).reshape(len(blobs), -1), masks):
+                        h = h + (v >> np.uint64(8)) % np.uint64(salts)
+                        bucket = ((h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h.view(np.int64)), part.column("v"), part.column("n"), part.column("part"), blobs], ["bucket", "node", "v", "n", "part", "fp"])
+
+        return rows.mapInArrow(deal, "bucket int, node long, v long, n long, part long, fp binary").groupBy("bucket")
+
+    @staticmethod
+    def columns(rows: pa.Table):
+        rows = rows.combine_chunks()
+        return np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(rows.num_rows, -1), *(rows.column(c).to_numpy() for c in ("node", "v", "n", "part"))
+
+    def hubs(self, rows: DataFrame, salts: int = 1, masks: int = 8) -> DataFrame:
+        """(a, b) of hubs and their members; of a few masks, since it only folds large groups."""
+
+        def run(key, rows):
+            fps, node, v, _, _ = self.columns(rows)
+            order = np.argsort(node, kind="stable")
+            out = [np.zeros((2, 0), np.int64)]
+            start = np.flatnonzero(np.diff(node[order], prepend=node[order[0]] - 1))
+            for a, b in zip(start, [*start[1:], len(order)], strict=True):
+                at = order[a:b]
+                hub, member = hub_links(fps[at], self.limit[0])
+                out.append(np.stack([np.minimum(v[at[hub]], v[at[member]]), np.maximum(v[at[hub]], v[at[member]])]))
+            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+            return pa.table({"a": a, "b": b})
+
+        return self.dealt(rows, self.masks[:masks], salts).applyInArrow(run, "a long, b long").distinct()
+
+    def pairs(self, rows: DataFrame) -> DataFrame:
+        """(a, b) of every pair of different parts that some mask brings together and whose bits and sizes allow the similarity.
+
+        A pair is reported once, under the first mask on which it agrees.
+        """
+
+        def run(key, rows):
+            fps, node, v, n, part = self.columns(rows)
+            root = np.unique(part, return_inverse=True)[1]
+            grouped = np.where(np.bincount(root)[root] > 1, root + 1, 0)  # members of one part side by side, so that their nodes have one root
+            order = np.lexsort((gray_rank(fps[:, 0]), grouped, node))
+            fps, v, n, root, node = fps[order], v[order], n[order], root[order], node[order]
+            out = [np.zeros((2, 0), np.int64)]
+            index = GrayIndex(fps, np.cumsum(np.diff(node, prepend=node[0]) != 0), root)
+            for a, b in index.pairs(self.limit[1]):
+                small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+                keep = (small >= self.similarity * large - 1e-9) & ((small < FEW) | (apart(fps[a] ^ fps[b]) <= self.limit[0]))
+                a, b = a[keep], b[keep]
+                if len(a):
+                    first = np.argmax(self.keys(fps[a], self.masks) == self.keys(fps[b], self.masks), axis=0)
+                    own = self.keys(fps[a], self.masks)[first, np.arange(len(a))].view(np.int64) == node[a]
+                    a, b = v[a[own]], v[b[own]]
+                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            a, b = np.concatenate(out, axis=1)
+            return pa.table({"a": a, "b": b})
+
+        return self.dealt(rows, self.masks, 1).applyInArrow(run, "a long, b long")
+
+
+def set_number(hashes: np.ndarray, check: int) -> int:
+    """64 bits of a sorted set of hashes."""
+    return (xxhash.xxh64_intdigest if check else xxhash.xxh3_64_intdigest)(hashes.tobytes(), check)
+
+
+#: Sets that share a 64-bit number with another, which the driver holds: some 50 are expected among 40 billion.
+MOST_CLASHES = 10_000
+#: Bits of the table that picks texts for a comparison, at most: 8 MB, whatever the corpus. A full table picks too much, never too little.
+TABLE_BITS = 26
+
+
+def _confirmed(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float, shingle_words: int, clashes: set[int], number=set_number) -> DataFrame:
+    """Links (u, v) of those pairs (a, b) whose sets are alike; only texts of a pair move, picked by a table of bits."""
+    spark = pairs.sparkSession
     pairs = materialise(pairs)
-    ids = materialise(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
-    wide = max(20, (8 * ids.count()).bit_length())
+    ids = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    ids = materialise(distinct.join(ids, "v", "left_semi").select("t"))
+    wide = min(TABLE_BITS, max(20, (8 * ids.count()).bit_length()))
+    place = lambda t: (t.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - wide)
+
+    def vertex(s):
+        v = np.uint64(number(s, 0))
+        return number(s, 1) if int(v.view(np.int64)) in clashes else int(v)
 
     def bit_slice(key, rows):
         bits = np.zeros(1 << 20, np.uint8)
-        bits[(rows.column("v").to_numpy().view(np.uint64) >> np.uint64(64 - wide)) & np.uint64((1 << 20) - 1)] = 1
+        bits[place(rows.column("t").to_numpy()) & np.uint64((1 << 20) - 1)] = 1
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    which = F.shiftrightunsigned("v", 63 - wide + 21) if wide > 20 else F.lit(0)
-    slices = dict(ids.withColumn("slice", which.cast("long")).groupBy("slice").applyInArrow(bit_slice, "slice long, bits binary").collect())
-    table = b"".join(bytes(slices.get(k, bytes(1 << 17))) for k in range(1 << (wide - 20)))
+    def slices(batches):
+        for batch in batches:
+            t = batch.column("t").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array((place(t) >> np.uint64(20)).astype(np.int64)), pa.array(t)], ["slice", "t"])
+
+    found = dict(ids.mapInArrow(slices, "slice long, t long").groupBy("slice").applyInArrow(bit_slice, "slice long, bits binary").collect())  # at most 8 MB
+    table = spark.sparkContext.broadcast(b"".join(bytes(found.get(k, bytes(1 << 17))) for k in range(1 << (wide - 20))))
 
     def pick(batches):
-        bits = np.frombuffer(table, np.uint8)
+        bits, seen = np.frombuffer(table.value, np.uint8), set()
         for batch in batches:
-            at = batch.column("v").to_numpy().view(np.uint64) >> np.uint64(64 - wide)
-            yield batch.filter(pa.array((bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)))
+            t = batch.column("t").to_numpy()
+            at, out = place(t), []
+            for k in np.flatnonzero(bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).tolist():
+                if t[k] not in seen:  # copies in a task are read once
+                    seen.add(t[k])
+                    s = np.unique(shingle_hashes(batch.column("text")[k].as_py(), shingle_words))
+                    out.append((vertex(s), s.tobytes()))
+            v, sets = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], ["v", "set"])
 
     def compare(batches):
         for batch in batches:
@@ -265,7 +443,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    few = materialise(sets.mapInArrow(pick, "v long, set binary").dropDuplicates(["v"]))
+    few = materialise(texts.select("t", "text").mapInArrow(pick, "v long, set binary").dropDuplicates(["v"]))
     both = pairs.join(few.select(F.col("v").alias("a"), F.col("set").alias("left")), "a").join(few.select(F.col("v").alias("b"), F.col("set").alias("right")), "b")
     links = materialise(both.select("a", "b", "left", "right").mapInArrow(compare, "u long, v long"))
     for t in (pairs, ids, few):
@@ -273,99 +451,53 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return links
 
 
-def _groups(docs: DataFrame, similarity: float, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+def _groups(docs: DataFrame, similarity: float, id_col: str, text_col: str, shingle_words: int, recall: float, salt_rows: int = 1 << 20, number=set_number) -> DataFrame:
     """doc_id long, digest string (of the text), root long and component_id long of each row of `docs`."""
     spark = docs.sparkSession
     last = F.lit((1 << 63) - 1)
-    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.md5("text").alias("digest"), F.col("text").cast("binary").alias("text"))
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.md5("text").alias("digest"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
 
-    def tokens(batches):
-        for batch in batches:
-            found = [np.unique(shingle_hashes(t, shingle_words)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["token"])
-
-    # which shingles are common is estimated and only decides what is compared first, never what is found
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, texts.count() // 20_000))) == 0).select("text")
-    top = some.mapInArrow(tokens, "token long").groupBy("token").count().where("count >= 5").orderBy(F.desc("count"), "token").limit(20_000).collect()
-    common = np.array([r[0] for r in top], np.int64).view(np.uint64)
-    rank = -np.arange(len(common))[np.argsort(common)]
-    common = np.sort(common)
-
-    def described(seed):
-        mixers = np.random.default_rng(seed).integers(1 << 62, size=6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-        def run(batches):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 500):
-                    part, out = batch.slice(lo, 500), []
-                    for t in part.column("text").to_pylist():
-                        s = np.unique(shingle_hashes(t, shingle_words))
-                        raw = s.tobytes()
-                        least = [int(((x := s * m) ^ (x >> np.uint64(31))).min()) for m in mixers] if len(s) else []
-                        bands = [xxhash.xxh64_intdigest(repr((k, least[k : k + 2])), seed) for k in range(0, len(least), 2)]
-                        prefix = rare_first(s, len(s) - int(least_of(len(s), similarity)) + 1 if len(s) else 0, common, rank)
-                        out.append((xxhash.xxh3_64_intdigest(raw, seed), xxhash.xxh64_intdigest(raw, seed + 1), len(s), np.array(bands, np.uint64).tobytes(), prefix.tobytes(), raw))
-                    ids, checks, sizes, *blobs = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), part.column("digest"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, checks, sizes)), *(pa.array(x, pa.binary()) for x in blobs)],
-                        ["doc_id", "digest", "v", "check", "n", "bands", "prefix", "set"],
-                    )
-
-        return run
-
-    seed = 0
-    while True:
-        rows = materialise(texts.mapInArrow(described(seed), "doc_id long, digest string, v long, check long, n long, bands binary, prefix binary, set binary"))
-        least = F.min(F.coalesce("doc_id", last)).alias("rep")
-        distinct = materialise(rows.groupBy("v").agg(least, F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), (F.min("check") != F.max("check")).alias("clash")))
-        if not distinct.where("clash").head(1):
-            break
-        seed += 2  # two sets under one number: all get new ones
-        drop_table(rows)
-        drop_table(distinct)
-    sets = rows.select("v", "set")
-
-    # first the very near ones: those of a band are compared with a few hubs of it, so large groups are folded before pairs are made
-    def unfold(batches):
-        for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("bands")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("v").to_numpy(), [len(x) for x in found])), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["v", "band"])
-
-    banded = materialise(distinct.select("v", "bands").mapInArrow(unfold, "v long, band long"))
-    mixed = F.xxhash64("v")
-    hubs = banded.groupBy("band").agg(F.array_distinct(F.array(F.min("v"), F.max("v"), F.min_by("v", mixed), F.max_by("v", mixed))).alias("hubs"), F.count("*").alias("k"))
-    hubs = materialise(hubs.where("k > 1").select("band", F.explode("hubs").alias("hub")))
-    near = banded.join(hubs, "band").where("hub <> v").select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b"))
-    near = _confirmed(near.distinct(), sets, similarity)
-    folded = components(near)
-    nodes = distinct.join(folded, "v", "left").select("v", "n", F.coalesce("root", "v").alias("part"), "prefix")
-
-    # then every pair that can be alike at all: it shares rare shingles, and enough of them
-    count = distinct.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    buckets = max(-(-int(count) // 200_000), 2 * shuffle_partitions(spark))
-
-    def deal(batches):
+    def described(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                found = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("prefix")]
-                token = np.concatenate([np.zeros(0, np.uint64), *found])
-                which = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                bucket = ((token * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(token.view(np.int64)), *(pa.array(part.column(c).to_numpy()[which]) for c in ("v", "n", "part"))], ["bucket", "token", "v", "n", "part"])
-
-    def pair(key, rows):
-        return shared_pairs(*(rows.column(c).to_numpy() for c in ("token", "v", "n", "part")), similarity)
-
-    pairs = nodes.mapInArrow(deal, "bucket int, token long, v long, n long, part long").groupBy("bucket").applyInArrow(pair, "a long, b long, na long, nb long, c long")
-    pairs = pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.sum("c").alias("c"))
-    # of the shingles behind the prefixes at most all of the longer rest are common
-    rest = F.ceil(F.greatest("na", "nb") * F.lit(similarity) - 1e-9) - 1
-    pairs = pairs.where(F.col("c") + rest >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - 1e-6).select("a", "b")
-    links = near.union(_confirmed(pairs, sets, similarity))
+                part, out = batch.slice(lo, 500), []
+                for t in part.column("text").to_pylist():
+                    s = np.unique(shingle_hashes(t, shingle_words))
+                    out.append((number(s, 0), number(s, 1), len(s), wide_fingerprint(s).tobytes()))
+                *numbers, fps = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("digest"), part.column("t"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in numbers), pa.array(fps, pa.binary())],
+                    ["doc_id", "digest", "t", "v", "check", "n", "fp"],
+                )
+
+    rows = materialise(texts.mapInArrow(described, "doc_id long, digest string, t long, v long, check long, n long, fp binary"))
+    first = rows.groupBy("v").agg(F.min(F.coalesce("doc_id", last)).alias("rep"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("fp").alias("fp"), (F.min("check") != F.max("check")).alias("clash"))
+    distinct = materialise(first)
+    clashes = {r["v"] for r in distinct.where("clash").select("v").limit(MOST_CLASHES + 1).collect()}
+    if len(clashes) > MOST_CLASHES:
+        raise ValueError("too many sets of shingles share a 64-bit number")
+    if clashes:  # those sets go by their other number
+        rows = rows.withColumn("v", F.when(F.col("v").isin(clashes), F.col("check")).otherwise(F.col("v")))
+        drop_table(distinct)
+        distinct = materialise(rows.groupBy("v").agg(*(F.min(F.coalesce("doc_id", last) if c == "rep" else c).alias(c) for c in ("rep", "t", "n", "fp"))))
+    count = distinct.count()
+    index = _Candidates(spark, count, similarity, recall)
+    confirmed = lambda pairs: _confirmed(pairs, distinct, texts, similarity, shingle_words, clashes, number)
+
+    # first members of large groups with their hubs, so that these fold before pairs are made
+    vertices = distinct.select("v", "n", F.col("v").alias("part"), "fp")
+    salts = -(-count // salt_rows)
+    links = confirmed(index.hubs(vertices, salts))
+    if salts > 1:  # groups of one node that were folded apart, by their roots
+        roots = components(links).select(F.col("root").alias("v")).distinct()
+        links = links.union(confirmed(index.hubs(vertices.join(roots, "v", "left_semi"))))
+    folded = components(links)
+    # then every pair of different groups
+    parts = materialise(vertices.drop("part").join(folded.withColumnRenamed("root", "part"), "v", "left").withColumn("part", F.coalesce("part", "v")))
+    links = links.union(confirmed(index.pairs(parts)))
     kept = materialise(rows.select("doc_id", "digest", "v"))
     out = _labelled(distinct.select("v", "rep"), components(links), kept)
-    for t in (rows, distinct, banded, hubs, near):  # the sets alone are twice the input
+    for t in (rows, distinct, parts, links):
         drop_table(t)
     return out
 
@@ -377,21 +509,21 @@ def _labelled(distinct: DataFrame, roots: DataFrame, rows: DataFrame) -> DataFra
     return rows.join(grouped.select("v", "root"), "v").join(least, "root").drop("v")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, recall: float = 0.999) -> DataFrame:
     """doc_id long, component_id long of each row of `docs`: the smallest id reachable over texts that are `similarity` alike.
 
-    That is the Jaccard similarity of their sets of word shingles, which is computed for every pair that links, and no
-    pair is missed: two alike sets share one of their first shingles in any order, here the rare ones first. What a
-    distinct set of shingles is compared with does not depend on ids. Texts without words are all alike. Nulls, ties,
-    repeated rows and empty tables as in `near_duplicates`.
+    That is the Jaccard similarity of their sets of word shingles, and every link is confirmed on the sets. Which texts to
+    compare, fingerprints say: a pair of exactly that similarity is found with probability `recall` (and that of three
+    standard deviations, 0.998), a more similar one more surely; the more texts, the more masks. Texts without words are all
+    alike. Nulls, ties, repeated rows and empty tables as in `near_duplicates`.
     """
-    return _groups(docs, similarity, id_col, text_col, shingle_words).select("doc_id", "component_id")
+    return _groups(docs, similarity, id_col, text_col, shingle_words, recall).select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.999) -> DataFrame:
     """One row of `docs`, all columns, of each group: one of the smallest id (null counts as the largest), and then of the least digest."""
     key, digest = f"_key_{id_col}", f"_digest_{id_col}"
-    groups = _groups(docs, similarity, id_col, text_col, 5)
+    groups = _groups(docs, similarity, id_col, text_col, 5, recall)
     chosen = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias(key), F.col("digest").alias(digest))).alias("x")).select("x.*")
     keyed = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))).withColumn(digest, F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
     return keyed.join(chosen, [key, digest], "left_semi").dropDuplicates([key, digest]).drop(key, digest)

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from corpusloom.llm import simhash
 from corpusloom.llm.components import local_roots
 from corpusloom.llm.simhash import near_duplicates, one_of_each, similar_documents
 
@@ -83,3 +84,45 @@ def test_stage_keeps_one_of_each_group(spark, corpus):
     want = {t for (d, t), c in zip(rows, brute_force(rows), strict=True) if d is None or c == d}
     got = [r["text"] for r in one_of_each(docs).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("salt_rows", [7, 1 << 20])
+def test_large_groups_fold_first(spark, salt_rows):
+    """A text, copies with some words changed that are far from each other, copies of those, and single texts beside them."""
+    rng = np.random.default_rng(3)
+    base = [f"b{k}" for k in range(150)]
+    rows = [" ".join(base)]
+    for k in range(120):
+        words = list(base)
+        for at in rng.choice(150, rng.integers(1, 9), replace=False):
+            words[at] = f"c{k}x{at}"
+        rows.append(" ".join(words))
+        if k % 10 == 0:
+            words[75] = "again"
+            rows.append(" ".join(words))
+    rows += [" ".join(f"s{k}x{j}" for j in range(100)) for k in range(50)]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(rows)), rows, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash._groups(docs, 0.8, "doc_id", "text", 5, 0.999, salt_rows).collect()}
+    assert got == dict(zip((d for d, _ in rows), brute_force(rows), strict=True))
+
+
+def test_sets_of_one_number(spark, corpus):
+    """Sets whose first numbers, of four values, are equal are told apart by the second."""
+
+    def few(hashes, check):
+        import xxhash
+
+        return xxhash.xxh64_intdigest(hashes.tobytes(), 9) if check else int(hashes[0]) % 4
+
+    some = corpus[:20]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash._groups(docs, 0.8, "doc_id", "text", 5, 0.999, number=few).collect()}
+    assert got == dict(zip((d for d, _ in some), brute_force(some), strict=True))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_on_the_documents(spark, sf):
+    """Links of all pairs 0.8 alike or more are found, and no others, on whole tables."""
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect())
+    assert found(spark, rows) == dict(zip((d for d, _ in rows), brute_force(rows), strict=True))
