@@ -2,8 +2,9 @@
 
 A text is read as chunks of CHUNK bytes that overlap by OVERLAP. Each learned filter looks at WIDTH bytes at every
 second byte; its largest response in a chunk is kept, and a document has the largest and the mean of those over all its
-chunks. Beside the filters over bytes stand channels that compare each byte with the one `lag` places before it, pooled the
-same way, since no linear filter sees that a word repeats. One logistic unit combines all into a probability.
+chunks. No filter that is linear in the bytes sees that a word repeats, so one more is bilinear: each byte has a learned
+vector, and the filter's response to a piece is the mean product of its vectors with those some lag before, at the lag and
+in the piece where it is largest. It is pooled the same way. One logistic unit combines all into a probability.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import bounded_texts, id_and_text, labelled_sample, table, unused, with_text_results
 
 CHUNK, OVERLAP, WIDTH, FILTERS = 512, 32, 8, 16
-LAGS = range(2, 33)
+#: Of the bilinear filter: places to look back, bytes of a piece, and entries of a byte's vector.
+LAGS, PIECE, DEPTH = range(2, 33), 32, 8
 STEP = CHUNK - OVERLAP
 #: Chunks whose responses are in memory at a time.
 BATCH = 256
@@ -36,13 +38,19 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ByteConvNet:
-    """Filters (WIDTH, 256, FILTERS), their bias, weights of the pooled values and a bias."""
+    """Filters (WIDTH, 256, FILTERS) and their bias, byte vectors (256, DEPTH) with a gain and a bias, weights of the pooled values and a bias.
+
+    The vector of byte 0, which pads chunks, is zero.
+    """
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.filters = rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32)
         self.bias = np.zeros(FILTERS, np.float32)
-        self.weights = np.zeros(2 * FILTERS + 2, np.float32)
+        self.vectors = rng.normal(0, DEPTH**-0.5, (256, DEPTH)).astype(np.float32)
+        self.vectors[0] = 0
+        self.gain = np.array([4, -1.2], np.float32)
+        self.weights = np.zeros(2 * (FILTERS + 1), np.float32)
         self.offset = np.float32(0)
         self.tables = None
 
@@ -59,32 +67,33 @@ class ByteConvNet:
         top = np.take_along_axis(total, at[:, None, :], 1)[:, 0]
         return np.maximum(top + self.bias, 0), at
 
-    @staticmethod
-    def echoes(chunks: np.ndarray) -> np.ndarray:
-        """Largest share of bytes, in 32-byte pieces of each chunk, that equal those one lag before."""
-        best = np.zeros(len(chunks), np.uint8)
+    def echoes(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Largest response of the bilinear filter in each chunk, at every second byte, before gain and bias, and its lag and piece."""
+        product, most = (self.vectors @ self.vectors.T).reshape(-1), max(LAGS)
+        high = chunks[:, ::2].astype(np.uint16) << np.uint16(8)
+        before = np.concatenate([np.zeros((len(chunks), most), np.uint8), chunks], axis=1)
+        best, lags, pieces = np.full(len(chunks), -np.inf, np.float32), np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         for lag in LAGS:
-            same = np.zeros(chunks.shape, np.uint8)
-            np.equal(chunks[:, lag:], chunks[:, :-lag], out=same[:, lag:].view(bool))
-            same &= (chunks != 0).view(np.uint8)
-            best = np.maximum(best, same.reshape(len(chunks), -1, 32).sum(axis=2, dtype=np.uint8).max(axis=1))
-        return np.maximum(best / np.float32(8) - np.float32(1.2), 0).astype(np.float32)
-
-    def pooled(self, chunks: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Values of each document that the logistic unit sees; chunk responses and their places for learning."""
-        parts = [self.responses(chunks[k : k + BATCH]) for k in range(0, len(chunks), BATCH)]
-        value, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        echo = np.concatenate([self.echoes(chunks[k : k + BATCH]) for k in range(0, len(chunks), BATCH)])
+            total = product[high | before[:, most - lag : most - lag + CHUNK : 2]].reshape(len(chunks), -1, PIECE // 2).sum(axis=2)
+            at = total.argmax(axis=1)
+            top = total[np.arange(len(total)), at]
+            better = top > best
+            best[better], lags[better], pieces[better] = top[better], lag, at[better]
+        return best / (PIECE // 2), lags, pieces
+
+    def pooled(self, chunks: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Values of each document that the logistic unit sees; and for learning, of each chunk the responses, places, and what `echoes` gives."""
+        parts = [(*self.responses(chunks[k : k + BATCH]), *self.echoes(chunks[k : k + BATCH])) for k in range(0, len(chunks), BATCH)]
+        value, at, *echo = (np.concatenate(x) for x in zip(*parts, strict=True))
+        value = np.concatenate([value, np.maximum(echo[0] * self.gain[0] + self.gain[1], 0)[:, None]], axis=1)
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         count = np.diff(first, append=len(owner)).astype(np.float32)[:, None]
-        both = np.concatenate([value, echo[:, None]], axis=1)
-        peak, mean = np.maximum.reduceat(both, first), np.add.reduceat(both, first) / count
-        return np.concatenate([peak[:, :FILTERS], mean[:, :FILTERS], peak[:, FILTERS:], mean[:, FILTERS:]], axis=1), value, at
+        return np.concatenate([np.maximum.reduceat(value, first), np.add.reduceat(value, first) / count], axis=1), value, at, *echo
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x, _, _ = self.pooled(*chunks_of(texts))
+        x = self.pooled(*chunks_of(texts))[0]
         # row by row, so that a text's score doesn't depend on the texts beside it, as it may in a matrix product
         raw = (x.astype(np.float64) * self.weights).sum(axis=1) + self.offset
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
@@ -97,9 +106,8 @@ class ByteConvNet:
             net.offset = np.float32(30 * (2 * y.mean() - 1) if len(y) else 0)
             return net
         rng = np.random.default_rng(seed)
-        net.weights[:FILTERS] = rng.normal(0, 0.1, FILTERS)
-        net.weights[FILTERS : 2 * FILTERS] = rng.normal(0, 0.1, FILTERS)
-        params = {"filters": net.filters, "bias": net.bias, "weights": net.weights}
+        net.weights[:] = rng.normal(0, 0.1, len(net.weights))
+        params = {"filters": net.filters, "bias": net.bias, "vectors": net.vectors, "gain": net.gain, "weights": net.weights}
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
         off1 = off2 = t = 0
         # few rows are shown more often
@@ -109,19 +117,28 @@ class ByteConvNet:
                 pick = order[lo : lo + batch]
                 chunks, owner = chunks_of([texts[k] for k in pick])
                 net.tables = None
-                x, value, at = net.pooled(chunks, owner)
+                x, value, at, echo, lag, piece = net.pooled(chunks, owner)
                 p = 1 / (1 + np.exp(-np.clip(x @ net.weights + net.offset, -30, 30)))
                 d = (p - y[pick]) / len(pick)
                 first = np.flatnonzero(np.diff(owner, prepend=-1))
                 count = np.diff(first, append=len(owner))
                 peak = np.maximum.reduceat(value, first)[owner] == value
-                g = d[owner, None] * (peak * net.weights[None, :FILTERS] + net.weights[None, FILTERS : 2 * FILTERS] / count[owner, None])
+                g = d[owner, None] * (peak * net.weights[None, : FILTERS + 1] + net.weights[None, FILTERS + 1 :] / count[owner, None])
                 g = np.where(value > 0, g, 0).astype(np.float32)
-                grads = {"filters": 1e-5 * net.filters, "bias": g.sum(axis=0), "weights": x.T @ d + 1e-4 * net.weights}
+                g, e = g[:, :FILTERS], g[:, FILTERS]
+                grads = {"filters": 1e-5 * net.filters, "bias": g.sum(axis=0), "vectors": 1e-5 * net.vectors, "gain": np.array([(e * echo).sum(), e.sum()]), "weights": x.T @ d + 1e-4 * net.weights}
                 row, f = np.nonzero(g)
                 for k in range(WIDTH):
                     byte = chunks[row, 2 * at[row, f] + k]
                     np.add.at(grads["filters"][k], (byte, f), g[row, f])
+                row = np.flatnonzero(e)
+                here = piece[row, None] * PIECE + np.arange(0, PIECE, 2)
+                before = here - lag[row, None]
+                share = (e[row, None] * net.gain[0] / (PIECE // 2) * (before >= 0))[..., None]
+                one, other = chunks[row[:, None], here], chunks[row[:, None], np.maximum(before, 0)]
+                np.add.at(grads["vectors"], one, share * net.vectors[other])
+                np.add.at(grads["vectors"], other, share * net.vectors[one])
+                grads["vectors"][0] = 0
                 t += 1
                 for k, v in params.items():
                     a, b = moment[k]
