@@ -8,8 +8,10 @@ declared type; confirmed ones further on are embedded media with a place and a l
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from functools import cache
 
 import ahocorasick
@@ -17,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import id_and_text, table
+from .common import id_and_text, table, unused
 
 UNIT = 64
 RATE = 8000
@@ -53,14 +56,48 @@ def wav_samples(stored: bytes) -> bytes | None:
     return None
 
 
+class Value:
+    """One media value while it is looked through. What validators learn of a place is kept, so that magic bytes repeated all over a value cost no more than one pass over it."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.places: dict[bytes, list[int]] = {}
+        self.ends: dict[str, dict[int, int]] = {}
+
+    def find_all(self, token: bytes) -> list[int]:
+        """Where the token starts, in order."""
+        if token not in self.places:
+            self.places[token] = [m.start() for m in re.finditer(re.escape(token), self.data)]
+        return self.places[token]
+
+    def follow(self, kind: str, p: int, step) -> int:
+        """Where the chain of blocks that starts at p ends, or 0 if it breaks; `step` gives (next block, whether the chain ends there), or None."""
+        ends, path, out = self.ends.setdefault(kind, {}), [], 0
+        while True:
+            if p in ends:
+                out = ends[p]
+                break
+            path.append(p)
+            found = step(p)
+            if found is None or found[0] > len(self.data):
+                break
+            p, over = found
+            if over:
+                out = p
+                break
+        ends.update(dict.fromkeys(path, out))
+        return out
+
+
 # Validators: length of a well-formed item of the format that starts at `at`, or 0.
 
 
-def _riff(b: bytes, at: int) -> int:
+def _riff(v: Value, at: int) -> int:
+    b = v.data
     if len(b) < at + 12:
         return 0
     size = struct.unpack_from("<I", b, at + 4)[0] + 8
-    if b[at + 8 : at + 12] not in (b"WAVE", b"AVI ", b"WEBP") or at + size > len(b) or size < 20:
+    if b[at + 8 : at + 12] not in RIFF_TYPES or at + size > len(b) or size < 20:
         return 0
     p = at + 12
     while p + 8 <= at + size:
@@ -69,66 +106,62 @@ def _riff(b: bytes, at: int) -> int:
     return size if p == at + size else 0
 
 
-def _png(b: bytes, at: int) -> int:
-    p = at + 8
-    while p + 12 <= len(b):
+def _png(v: Value, at: int) -> int:
+    b = v.data
+
+    def chunk(p: int):
+        if p + 12 > len(b):
+            return None
         n, name = struct.unpack_from(">I4s", b, p)
         if p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
-            return 0
-        if p == at + 8 and (name != b"IHDR" or n != 13):
-            return 0
-        p += 12 + n
-        if name == b"IEND":
-            return p - at
-    return 0
+            return None
+        return p + 12 + n, name == b"IEND"
 
+    return max(0, v.follow("png", at + 8, chunk) - at) if b[at + 8 : at + 16] == b"\0\0\0\x0dIHDR" else 0
 
-def _gif(b: bytes, at: int) -> int:
-    if len(b) < at + 13:
-        return 0
-    flags = b[at + 10]
-    p = at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0)
-    while p < len(b):
-        mark = b[p]
-        if mark == 0x3B:
-            return p + 1 - at
-        if mark == 0x2C:
-            if p + 10 > len(b):
-                return 0
-            local = b[p + 9]
-            p += 10 + (3 << ((local & 7) + 1) if local & 128 else 0) + 1
-        elif mark == 0x21:
-            p += 2
-        else:
-            return 0
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        p += 1
-    return 0
 
+def _gif(v: Value, at: int) -> int:
+    b = v.data
+    table = lambda flags: 3 << ((flags & 7) + 1) if flags & 128 else 0
+    part = lambda p: (p + 1 + b[p], b[p] == 0) if p < len(b) else None
 
-def _jpeg(b: bytes, at: int) -> int:
-    p = at + 2
-    while p + 4 <= len(b):
-        if b[p] != 0xFF or b[p + 1] in (0x00, 0xFF):
-            return 0
+    def block(p: int):
+        if p >= len(b) or b[p] not in b"\x21\x2c\x3b":
+            return None
+        if b[p] == 0x3B:
+            return p + 1, True
+        if b[p] == 0x2C and p + 10 > len(b):
+            return None
+        end = v.follow("gif parts", p + 2 if b[p] == 0x21 else p + 11 + table(b[p + 9]), part)
+        return (end, False) if end else None
+
+    return max(0, v.follow("gif", at + 13 + table(b[at + 10]), block) - at) if len(b) >= at + 13 else 0
+
+
+def _jpeg(v: Value, at: int) -> int:
+    b = v.data
+
+    def segment(p: int):
+        if b[p : p + 2] == b"\xff\xd9":
+            return p + 2, True
+        if p + 4 > len(b) or b[p] != 0xFF or b[p + 1] in (0x00, 0xFF):
+            return None
         mark, n = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
-        if mark == 0xD9:
-            return p + 2 - at
         if n < 2:
-            return 0
+            return None
         p += 2 + n
         if mark == 0xDA:  # scan data up to a marker other than restart
             while 0 <= (p := b.find(b"\xff", p)) < len(b) - 1 and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
                 p += 2
             if p < 0:
-                return 0
-            if b[p + 1 : p + 2] == b"\xd9":
-                return p + 2 - at
-    return 0
+                return None
+        return p, False
+
+    return max(0, v.follow("jpeg", at + 2, segment) - at)
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(v: Value, at: int) -> int:
+    b = v.data
     if len(b) < at + 54:
         return 0
     size, zero, offset, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -137,7 +170,8 @@ def _bmp(b: bytes, at: int) -> int:
     return size if ok and offset >= 14 + header and at + size <= len(b) and size >= offset + row * abs(height) > 54 else 0
 
 
-def _gzip(b: bytes, at: int) -> int:
+def _gzip(v: Value, at: int) -> int:
+    b = v.data
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return 0
     d = zlib.decompressobj(31)
@@ -152,36 +186,138 @@ def _gzip(b: bytes, at: int) -> int:
     return p - len(d.unused_data) - at if d.eof else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.rfind(b"startxref", at, end) > 0 and b[at + 5 : at + 6].isdigit() else 0
+def _pdf(v: Value, at: int) -> int:
+    """To the last end mark before another PDF starts, so with all updates that were appended."""
+    starts, marks, tables = v.find_all(b"%PDF-"), v.find_all(b"%%EOF"), v.find_all(b"startxref")
+    after = bisect_right(starts, at)
+    k = bisect_left(marks, starts[after] if after < len(starts) else len(v.data)) - 1
+    if k < 0 or marks[k] < at or not v.data[at + 5 : at + 6].isdigit():
+        return 0
+    t = bisect_left(tables, marks[k]) - 1
+    return marks[k] + 5 - at if t >= 0 and tables[t] > at else 0
+
+
+def _zip(v: Value, at: int) -> int:
+    """An end record says where its archive starts; an archive stored inside another one has its own."""
+    if "zip" not in v.ends:
+        v.ends["zip"] = {}
+        for e in v.find_all(b"PK\5\6"):
+            if e + 22 <= len(v.data):
+                size, start, note = struct.unpack_from("<IIH", v.data, e + 12)
+                first = e - size - start
+                if first >= 0 and e + 22 + note <= len(v.data) and v.data[first + start : first + start + 4] == b"PK\1\2":
+                    v.ends["zip"][first] = e + 22 + note
+    return max(0, v.ends["zip"].get(at, 0) - at)
+
+
+@cache
+def _crc_table(polynomial: int, bits: int) -> tuple[int, ...]:
+    out = []
+    for byte in range(256):
+        x = byte << (bits - 8)
+        for _ in range(8):
+            x = ((x << 1) ^ (polynomial if x >> (bits - 1) else 0)) & ((1 << bits) - 1)
+        out.append(x)
+    return tuple(out)
+
+
+def _flac_header(b: bytes, p: int) -> int:
+    """Length of the frame header at p if its fields are allowed and its CRC-8 is right, else 0."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8:
+        return 0
+    size, rate, channels, depth = b[p + 2] >> 4, b[p + 2] & 15, b[p + 3] >> 4, b[p + 3] >> 1 & 7
+    if size == 0 or rate == 15 or channels > 10 or depth == 3 or b[p + 3] & 1:
+        return 0
+    lead = b[p + 4]
+    n = 1 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length()
+    end = p + 4 + n + (size in (6, 7)) * (size - 5) + (rate in (12, 13, 14)) * (1 + (rate > 12))
+    if n > 7 or 0x80 <= lead < 0xC0 or end >= len(b) or any(x & 0xC0 != 0x80 for x in b[p + 5 : p + 4 + n]):
+        return 0
+    crc, table = 0, _crc_table(0x07, 8)
+    for x in b[p:end]:
+        crc = table[crc ^ x]
+    return end + 1 - p if crc == b[end] else 0
+
+
+def _flac_samples(b: bytes, p: int) -> int:
+    """Samples of the frame whose good header is at p."""
+    code = b[p + 2] >> 4
+    if code in (6, 7):
+        at = p + 4 + (1 if b[p + 4] < 0x80 else 8 - (b[p + 4] ^ 0xFF).bit_length())
+        return int.from_bytes(b[at : at + code - 5], "big") + 1
+    return 192 if code == 1 else 576 << (code - 2) if code < 6 else 256 << (code - 8)
+
+
+def _flac(v: Value, at: int) -> int:
+    """Metadata blocks, then frames. A frame ends where its CRC-16 comes out and another starts or all samples are there."""
+    b = v.data
 
+    def block(p: int):
+        return (p + 4 + int.from_bytes(b[p + 1 : p + 4], "big"), b[p] >= 128) if p + 4 <= len(b) and b[p] & 127 < 127 else None
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\5\6", at)
-    if end < 0 or len(b) < end + 22:
+    if len(b) < at + 42 or b[at + 4] & 127 or int.from_bytes(b[at + 5 : at + 8], "big") != 34:
         return 0
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    ok = at + start + size == end and b[at + start : at + start + 4] == b"PK\1\2"
-    return end + 22 + note - at if ok and end + 22 + note <= len(b) else 0
+    largest = int.from_bytes(b[at + 15 : at + 18], "big")
+    left = int.from_bytes(b[at + 21 : at + 26], "big") & ((1 << 36) - 1)
+    if not int.from_bytes(b[at + 18 : at + 21], "big") >> 4:  # sample rate
+        return 0
+    p, table = v.follow("flac", at + 4, block), _crc_table(0x8005, 16)
+    known = left > 0
+    while p:
+        head = _flac_header(b, p)
+        if not head:
+            return 0
+        left -= _flac_samples(b, p)
+        crc, q, end = 0, p, min(len(b), p + largest if largest else len(b))
+        good = 0
+        while q < end:
+            crc = (crc << 8 & 0xFFFF) ^ table[crc >> 8 ^ b[q]]
+            q += 1
+            if crc == 0 and q >= p + head + 3:
+                if (known and left <= 0) or _flac_header(b, q):
+                    good = q
+                    break
+                good = good or q
+        if not good:
+            return 0
+        if good != q or (known and left <= 0) or not _flac_header(b, good):  # the last frame, of unknown length: the first place that fits
+            return good - at if not known or left <= 0 else 0
+        p = good
+    return 0
+
+
+#: Each byte with its bits in reverse.
+REVERSED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
 
 
-def _flac(b: bytes, at: int) -> int:
-    ok = len(b) >= at + 42 and b[at + 4] & 127 == 0 and int.from_bytes(b[at + 5 : at + 8], "big") == 34
-    return len(b) - at if ok else 0
+def _ogg_crc(page: bytes) -> int:
+    """CRC-32 of the same polynomial as zlib's, but highest bit first and from zero."""
+    return int(f"{zlib.crc32(page.translate(REVERSED), 0xFFFFFFFF) ^ 0xFFFFFFFF:032b}"[::-1], 2)
 
 
-def _ogg(b: bytes, at: int) -> int:
-    p = at
-    while p + 27 <= len(b) and b[p : p + 4] == b"OggS" and b[p + 4] == 0:
+def _ogg(v: Value, at: int) -> int:
+    """Pages of right checksum from the one that begins a stream on, up to the one that ends it or the last that follows."""
+    b = v.data
+
+    def page(p: int) -> int:
+        """End of the page at p, or 0."""
+        if p + 27 > len(b) or b[p : p + 5] != b"OggS\0":
+            return 0
         n = b[p + 26]
-        p += 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p > len(b):
+        end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+        if p + 27 + n > len(b) or end > len(b):
             return 0
-    return p - at
+        return end if _ogg_crc(b[p : p + 22] + bytes(4) + b[p + 26 : end]) == struct.unpack_from("<I", b, p + 22)[0] else 0
+
+    def chain(p: int):
+        end = page(p)
+        return (end, bool(b[p + 5] & 4) or b[end : end + 5] != b"OggS\0") if end else None
 
+    return max(0, v.follow("ogg", at, chain) - at) if len(b) > at + 5 and b[at + 5] & 2 else 0
 
-def _midi(b: bytes, at: int) -> int:
+
+def _midi(v: Value, at: int) -> int:
+    b = v.data
     if len(b) < at + 14 or b[at + 4 : at + 8] != b"\0\0\0\6":
         return 0
     tracks, p = struct.unpack_from(">H", b, at + 10)[0], at + 14
@@ -212,10 +348,10 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """(start, length, type) of each well-formed item, in order; embedded ones too."""
-    out = []
+    out, value = [], Value(data)
     for end, (size, k) in automaton().iter(data.decode("latin-1")):
         at = end + 1 - size
-        if n := FORMATS[k][2](data, at):
+        if n := FORMATS[k][2](value, at):
             kind = FORMATS[k][1]
             out.append((at, n, RIFF_TYPES[data[at + 8 : at + 12]] if kind == "riff" else kind))
     return sorted(out)
@@ -257,7 +393,8 @@ def sniffed_media(rows: DataFrame, media_col: str = "media", declared_col: str =
     binary (of 8-bit sound, else null), feature string and carved array of (start, length, media_type).
 
     A value that no format claims keeps its declared type. Null values have type null, length 0 and nothing else.
-    Embedded items are those found past the start; one that holds others is listed as well as they.
+    Embedded items are those found past the start; one that holds others is listed as well as they. Where `carry` has
+    a column of one of these names, the new one gets underscores before its name.
     """
 
     def one(data: bytes | None, declared: str | None) -> tuple:
@@ -272,19 +409,22 @@ def sniffed_media(rows: DataFrame, media_col: str = "media", declared_col: str =
 
     item = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("media_type", pa.string())])
     kinds = [pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.list_(item)]
-    names = ["media_type", "corrected", "media_bytes", "media_sha256", "samples", "feature", "carved"]
+    ddl = ["string", "boolean", "long", "string", "binary", "string", "array<struct<start: long, length: long, media_type: string>>"]
+    carried = rows.select(*[F.col(f"`{c}`") for c in carry])
+    names = [unused(carried, c) for c in ("media_type", "corrected", "media_bytes", "media_sha256", "samples", "feature", "carved")]
+    media, said = unused(carried, "_media"), unused(carried, "_declared")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = zip(*map(one, part.column("_media").to_pylist(), part.column("_declared").to_pylist()), strict=True)
+                found = zip(*map(one, part.column(media).to_pylist(), part.column(said).to_pylist()), strict=True)
                 columns = [part.column(c) for c in carry] + [pa.array(v, t) for v, t in zip(found, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, [*carry, *names])
 
-    rows = rows.select(*carry, F.col(f"`{media_col}`").alias("_media"), F.col(f"`{declared_col}`").alias("_declared"))
-    before = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carry)
-    return rows.mapInArrow(run, before + ", media_type string, corrected boolean, media_bytes long, media_sha256 string, samples binary, feature string, carved array<struct<start: long, length: long, media_type: string>>")
+    rows = rows.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{media_col}`").cast("binary").alias(media), F.col(f"`{declared_col}`").alias(said))
+    added = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in zip(names, ddl, strict=True)))
+    return rows.mapInArrow(run, StructType([*carried.schema, *added]))
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:

@@ -133,6 +133,52 @@ def test_fingerprints_of_odd_documents(odd_documents, no_documents):
     assert single["sketch"] == single["next_sketch"]
 
 
+def crc(data, polynomial, bits):
+    x = 0
+    for byte in data:
+        x ^= byte << (bits - 8)
+        for _ in range(8):
+            x = ((x << 1) ^ (polynomial if x >> (bits - 1) else 0)) & ((1 << bits) - 1)
+    return x
+
+
+def flac(frames=3, samples=None, largest=0):
+    """Frames of 16 equal 8-bit samples."""
+    total = 16 * frames if samples is None else samples
+    info = struct.pack(">HH", 16, 16) + bytes(3) + largest.to_bytes(3, "big") + ((8000 << 44) | (7 << 36) | total).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC\0\0\0\x22" + info + b"\x81\0\0\5pad.."
+    for k in range(frames):
+        head = b"\xff\xf8\x60\0" + bytes([k]) + b"\x0f"
+        body = head + bytes([crc(head, 0x07, 8)]) + b"\0" + bytes([40 + k])
+        out += body + crc(body, 0x8005, 16).to_bytes(2, "big")
+    return out
+
+
+def ogg(pages=3):
+    out = b""
+    for k in range(pages):
+        data = bytes([k]) * 300
+        page = b"OggS\0" + bytes([2 * (k == 0) + 4 * (k == pages - 1)]) + struct.pack("<QIII", k, 7, k, 0) + b"\2\xff\x2d" + data
+        out += page[:22] + struct.pack("<I", crc(page, 0x04C11DB7, 32)) + page[26:]
+    return out
+
+
+def zipped(inner=b"hello"):
+    import io
+    import zipfile
+
+    with io.BytesIO() as f:
+        with zipfile.ZipFile(f, "w", zipfile.ZIP_STORED) as z:
+            z.writestr("a", inner)
+            z.writestr("b.txt", b"x" * 40)
+        return f.getvalue()
+
+
+def riff(kind, *chunks):
+    body = kind + b"".join(n + struct.pack("<I", len(c)) + c + b"\0" * (len(c) % 2) for n, c in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
 def samples():
     chunk = lambda n, c: struct.pack(">I", len(c)) + n + c + struct.pack(">I", zlib.crc32(n + c))
     return {
@@ -140,10 +186,15 @@ def samples():
         "image/gif": b"GIF89a" + b"\1\0\1\0\x80\0\0" + bytes(6) + b"\x2c" + bytes(8) + b"\0" + b"\2\2\x4c\1\0" + b"\x3b",
         "image/bmp": b"BM" + struct.pack("<IIIIiiHH", 58, 0, 54, 40, 1, 1, 1, 24) + bytes(24) + b"abcd",
         "image/jpeg": b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\2\1\2\xff\0\3\xff\xd9",
+        "image/webp": riff(b"WEBP", (b"VP8 ", b"odd")),
+        "video/x-msvideo": riff(b"AVI ", (b"LIST", b"hdrl"), (b"idx1", b"")),
         "application/gzip": gzip.compress(b"hello" * 100),
         "application/pdf": b"%PDF-1.4 startxref 0 %%EOF",
+        "application/zip": zipped(),
         "audio/midi": b"MThd\0\0\0\6\0\0\0\1\0\0MTrk\0\0\0\1x",
         "audio/wav": media.wav(b"abcd"),
+        "audio/flac": flac(),
+        "audio/ogg": ogg(),
     }
 
 
@@ -153,6 +204,40 @@ def test_sniffing(kind):
     assert (6, len(data), kind) in media.sniff(b"..BM.." + data + b"GIF89a tail")
     for cut in range(8, len(data)):  # cut off, it is no such item
         assert not any(at == 0 and n > cut for at, n, _ in media.sniff(data[:cut]))
+    assert len({k for _, k, _ in media.FORMATS} | set(media.RIFF_TYPES.values())) - 1 == len(samples()) == 13
+
+
+def test_structure_is_confirmed():
+    """Items whose checksums or lengths are wrong are none; lengths are those of the items, whatever follows."""
+    for kind, good, at in (("audio/flac", flac(), 55), ("audio/flac", flac(), -1), ("audio/ogg", ogg(), 40), ("audio/ogg", ogg(), -1)):
+        bad = bytearray(good)
+        bad[at] ^= 1
+        assert (0, len(good), kind) in media.sniff(good + b"tail" * 99) and (0, len(good), kind) not in media.sniff(bytes(bad))
+    for data in (flac(largest=12), flac(samples=0), flac(1)):
+        assert [(0, len(data), "audio/flac")] == media.sniff(data + b"tail")
+    assert not media.sniff(flac(samples=1000)) and not media.sniff(flac()[:50] + b"x" * 500)
+    updated = b"%PDF-1.4 startxref 0 %%EOF more startxref 9 %%EOF"
+    assert media.sniff(updated + b" and " + updated) == [(0, len(updated), "application/pdf"), (len(updated) + 5, len(updated), "application/pdf")]
+    outer = zipped(zipped())
+    found = media.sniff(b"....." + outer + b"....")
+    assert found[0] == (5, len(outer), "application/zip") and (outer.index(zipped()) + 5, len(zipped()), "application/zip") in found
+
+
+@pytest.mark.parametrize("piece", [b"PK\3\4abc", b"%PDF-1\n", b"GIF89a0123456!!", b"GIF89a", b"BMRIFF", b"OggS\0\2", b"fLaC", b"MThd\0\0\0\6", b"\xff\xd8\xff\xe0\0\2", b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR", b"\x1f\x8b\x08\0"])
+def test_repeated_magic_costs_no_more(piece):
+    import time
+
+    data = piece * (600_000 // len(piece))
+    began = time.process_time()
+    media.sniff(data)
+    assert time.process_time() - began < 4
+
+
+def test_names_that_clash(spark):
+    rows = spark.createDataFrame([(1, media.wav(bytes(64)), "x", 1.5, "m", "d")], "doc_id long, media binary, feature string, samples double, _media string, `_declared` string")
+    out = media.sniffed_media(rows, declared_col="_declared", carry=("doc_id", "feature", "samples", "_media", "_declared"))
+    (r,) = out.collect()
+    assert len(set(out.columns)) == len(out.columns) == 12 and (r["feature"], r["samples"], r["_media"], r["_declared"], bytes(r["_samples"])) == ("x", 1.5, "m", "d", bytes(64)) and "type=audio/wav" in r["_feature"]
 
 
 def test_media_round_trip(spark, sf, odd_documents, no_documents):
