@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,10 +36,6 @@ def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(-(-total // block_bytes), 2 * shuffle_partitions(docs.sparkSession))
 
 
-def block_of(col: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(blocks)).cast("int").alias("block")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder of the cluster.
 
@@ -97,21 +93,29 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def labelled_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int) -> list:
+#: Labels that a classifier is learned for, at most.
+MOST_LABELS = 1000
+
+
+def labelled_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int, most: int | None = None) -> list:
     """At most about `per_label` rows of each label, the same ones for the same rows: those whose id hashes lowest.
 
-    One count by label sets a threshold for the hash; rows below it are fetched, never more than 1.25 `per_label` of a label.
+    One count by label sets a threshold for the hash; rows below it are fetched, never more than 1.25 `per_label` of a label,
+    and of many labels fewer of each, so that they are no more than 1.25 `most`. Over MOST_LABELS labels are an error.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} labels")
+    if not counts:
+        return []
+    per_label = min(per_label, max(1, (most or per_label * len(counts)) // len(counts)))
     rank = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
-    chosen = F.lit(False)
-    for label, n in counts.items():
-        chosen |= (F.col(label_col) == F.lit(label)) & (rank < F.lit(int(min(1.0, per_label / n) * (1 << 40))))
-    found = rows.where(chosen).withColumn("_rank", rank).orderBy("_rank", id_col).limit(per_label * max(1, len(counts)) * 5 // 4).drop("_rank").collect()
+    below = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, int(min(1.0, per_label / n) * (1 << 40)))])
+    found = rows.withColumn("_rank", rank).where(F.col("_rank") < F.element_at(below, F.col(label_col))).orderBy("_rank", id_col).limit(per_label * len(counts) * 5 // 4 + 1).drop("_rank").collect()
     taken, out = dict.fromkeys(counts, 0), []
     for row in found:
         taken[row[label_col]] += 1
-        if taken[row[label_col]] <= per_label * 5 // 4:
+        if taken[row[label_col]] <= max(1, per_label * 5 // 4):
             out.append(row)
     return out
 

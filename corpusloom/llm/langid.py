@@ -118,17 +118,17 @@ class CodedLanguages:
         return out
 
 
-def fit_languages(docs: DataFrame, per_language: int = 400, max_bytes: int = 8 << 20) -> CodedLanguages:
+def fit_languages(docs: DataFrame, per_language: int = 400, max_bytes: int = 8 << 20, max_rows: int = 6000) -> CodedLanguages:
     """Learned from text and lang of rows whose crc32(doc_id) mod 4 is not 2.
 
-    The sample has at most 1.25 * `per_language` rows of each language, those of the lowest id hashes, and whole texts of
-    `max_bytes` in all. Null and empty texts and null languages teach nothing. With no rows left, all texts are `und`.
+    The sample has at most 1.25 * `per_language` rows of each language, those of the lowest id hashes, 1.25 * `max_rows` rows
+    (16 kB each while learning) and whole texts of `max_bytes` in all. Null and empty texts and null languages teach nothing. With no rows left, all texts are `und`.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang is not null and doc_id is not null and text is not null and text <> ''")
     rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     ids = rows.select("doc_id", "lang").distinct()
-    chosen = [(r["doc_id"], r["lang"]) for r in labelled_sample(ids, "doc_id", "lang", per_language)]
+    chosen = [(r["doc_id"], r["lang"]) for r in labelled_sample(ids, "doc_id", "lang", per_language, max_rows)]
     small = docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string")  # bounded by per_language
     found = bounded_texts(rows.join(F.broadcast(small), ["doc_id", "lang"]), max_bytes)
     return CodedLanguages.fit([r["text"] for r in found], [r["lang"] for r in found])

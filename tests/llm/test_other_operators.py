@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import media, token_counts, warc
-from corpusloom.llm.fracsketch import containment, likeness, merged, neighbour_fingerprints, op6_fingerprints, with_sketch
+from corpusloom.llm.fracsketch import SCALE, TOP, containment, likeness, merged, neighbour_fingerprints, op6_fingerprints, with_next, with_sketch
 from corpusloom.llm.packing import boundaries, op2_packing, packed
 
 
@@ -123,6 +123,25 @@ def test_sketches_merge_and_estimate(spark):
     assert union <= whole and len(whole - union) <= 4  # shingles across the middle
 
 
+@pytest.mark.parametrize("parts", [1, 7, 300])
+def test_next_of_hot_ids(spark, parts):
+    """Null ids, an id that many rows have, and repeated rows: ranges of hashes give the same order as one sort."""
+    rows = [(None, f"n{k % 90}") for k in range(130)] + [(40, f"h{k}") for k in range(200)] + [(k, f"t{k}") for k in range(-20, 80)] + [(79, "t79")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(((r["doc_id"], r["h"], r["text"]) for r in df.withColumn("h", F.xxhash64("text")).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    got = [(r["doc_id"], r["text"], r["next_text"]) for r in with_next(df, ["text"], parts).collect()]
+    assert sorted(got, key=repr) == sorted(((d, t, want[(k + 1) % len(want)][2]) for k, (d, _, t) in enumerate(want)), key=repr)
+
+
+def test_sketches_of_a_fixed_fraction(spark):
+    """With `least` 0 a hash is kept if it is below the fraction, whatever the text; the sketch of a union is the union of sketches."""
+    words = [f"w{k}" for k in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:7])), (3, " ".join(words[7:])), (4, "")]
+    got = {r["id"]: r for r in with_sketch(spark.createDataFrame(rows, "id long, text string"), "text", "s", least=0).collect()}
+    assert {r["s_limit"] for r in got.values()} == {TOP // SCALE} and all(h < TOP // SCALE for r in got.values() for h in r["s"])
+    assert set(got[2]["s"]) | set(got[3]["s"]) <= set(got[1]["s"])
+
+
 def test_fingerprints_of_odd_documents(odd_documents, no_documents):
     got = neighbour_fingerprints(odd_documents).collect()
     rows = sorted(((r["doc_id"], r["text"] or "") for r in odd_documents.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

@@ -7,6 +7,7 @@ import pytest
 
 from corpusloom.llm import langid, quality
 from corpusloom.llm.bpe import PairIndexBPE, decode, default_tokenizer, encode, op4_bpe
+from corpusloom.llm.common import labelled_sample
 from corpusloom.llm.langid import CodedLanguages, codewords, languages, op7_langid, recognised
 from corpusloom.llm.quality import CHUNK, ByteConvNet, chunks_of, good_documents, op5_quality, quality_scores
 
@@ -117,3 +118,15 @@ def test_language_odd_documents(spark, odd_documents, no_documents):
     nothing = langid.fit_languages(no_documents)
     assert nothing.predict(["text", None]) == [("und", 0.0, False)] * 2
     assert CodedLanguages.fit(["a"], ["en"]).predict(["text"])[0][:2] == ("en", 1.0)
+
+
+def test_sample_of_many_labels(spark):
+    """Of many labels fewer rows each; more labels than a classifier is learned for are an error."""
+    rows = [(k, f"l{k % 40}") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string")
+    some = labelled_sample(df, "doc_id", "lang", 50, 200)
+    counts = [sum(r["lang"] == f"l{k}" for r in some) for k in range(40)]
+    assert max(counts) <= 6 and 150 <= sum(counts) <= 250 and len(labelled_sample(df, "doc_id", "lang", 50)) > 1500
+    assert labelled_sample(df.limit(0), "doc_id", "lang", 50) == []
+    with pytest.raises(ValueError):
+        labelled_sample(df.withColumn("lang", df.doc_id.cast("string")), "doc_id", "lang", 50)
