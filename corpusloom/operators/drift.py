@@ -67,10 +67,14 @@ def share_change(shares: DataFrame, groups: Sequence[str] = (), period: str = "p
 
 
 def watch_list(tables: dict[str, tuple[DataFrame, list[str], str]]) -> DataFrame:
-    """The pair of largest drift of each focus in several drift tables (table, focus columns, score column), largest first."""
+    """The pair of largest drift of each focus in several drift tables (table, focus columns, score column), largest first.
+
+    Scores that differ by less than 1e-9, as sums in another order may, are equal; of those the earliest period counts.
+    """
     out = None
     for source, (df, focus, score) in tables.items():
-        top = first_of(df.where(F.col(score).isNotNull()), focus, [F.col(score).desc(), F.col("current_period").asc()]) if focus else df.where(F.col(score).isNotNull()).orderBy(F.col(score).desc(), "current_period").limit(1)
+        known, order = df.where(F.col(score).isNotNull()), [F.round(score, 9).desc(), F.col("current_period").asc()]
+        top = first_of(known, focus, order) if focus else known.orderBy(*order).limit(1)
         top = top.select(F.lit(source).alias("drift_source"), F.concat_ws(" / ", *[F.col(c).cast("string") for c in focus]).alias("focus"), "previous_period", "current_period", F.col(score).alias("drift_score"))
         out = top if out is None else out.unionByName(top)
     return out

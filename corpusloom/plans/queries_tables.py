@@ -455,6 +455,6 @@ SQL = {
  UNION ALL SELECT 'id:' || doc_id, 'broad', quality::VARCHAR, '2' FROM m WHERE doc_id % 3 > 0 AND quality = 1 UNION ALL SELECT 'id:' || doc_id, 'strict', '0', '1' FROM m WHERE doc_id % 5 = 0 AND toxic = 0""",
     "value_counts": "SELECT coalesce(event_type, 'NA') AS value, count(*) AS rows FROM events GROUP BY 1",
     "semantic_headlines": f"WITH {scored_sql()} SELECT keyword, period_label, term, round(pmi, 6) AS pmi, row_number() OVER (PARTITION BY keyword ORDER BY term_rank, pmi DESC, period_label, term)::INT AS headline_rank FROM scored WHERE period_label = 'ALL' QUALIFY headline_rank <= 12",
-    "drift_watchlist": " UNION ALL ".join(f"(SELECT '{name}' AS drift_source, {focus} AS focus, previous_period, current_period, round(topic_js_divergence, 5) AS drift_score FROM ({_drift_sql(groups, f'WITH {YEAR}', 'previous_period, current_period, js AS topic_js_divergence', 'd')}) QUALIFY row_number() OVER (PARTITION BY {focus} ORDER BY topic_js_divergence DESC, current_period) = 1)" for name, focus, groups in (("keyword", "keyword", ["keyword"]), ("region", "region", ["region"]), ("overall", "''", []))),
+    "drift_watchlist": " UNION ALL ".join(f"(SELECT '{name}' AS drift_source, {focus} AS focus, previous_period, current_period, round(topic_js_divergence, 5) AS drift_score FROM ({_drift_sql(groups, f'WITH {YEAR}', 'previous_period, current_period, js AS topic_js_divergence', 'd')}) QUALIFY row_number() OVER (PARTITION BY {focus} ORDER BY round(topic_js_divergence, 9) DESC, current_period) = 1)" for name, focus, groups in (("keyword", "keyword", ["keyword"]), ("region", "region", ["region"]), ("overall", "''", []))),
     "top_events": "SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC NULLS LAST, event_id)::INT AS rank FROM events QUALIFY rank <= 10",
 } | {name: _share_sql(groups) for name, groups in _SHARES.items()}

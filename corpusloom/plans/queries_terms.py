@@ -58,9 +58,7 @@ def pmi_topk(spark, sf):
 
 
 def doc_term_freq(spark, sf):
-    rows = posts(spark, sf)
-    df, tf = cooccurrence.doc_freq(rows, "tokens", ["keyword"]), cooccurrence.term_freq(rows, "tokens", ["keyword"])
-    return df.join(tf, ["keyword", "term"])
+    return cooccurrence.term_counts(posts(spark, sf), "tokens", ["keyword"])
 
 
 def ctfidf_topk(spark, sf):
