@@ -46,26 +46,26 @@ def shingle_hashes(text: bytes, shingle_words: int, seed: int = 42) -> np.ndarra
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle_words - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> np.ndarray:
-    """Of hashes of some words each (n, words), the bits set in over half; zero of none."""
-    n, words = hashes.shape
-    if not n:
-        return np.zeros(words, np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8 * words), axis=1, bitorder="little")
-    counts = np.add.reduceat(bits, np.arange(0, n, 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+def majority(hashes: np.ndarray, mixed=None, part: int = 1 << 12) -> np.ndarray:
+    """Of hashes of some words each (n, words), the bits set in over half; zero of none. `mixed` makes those words from `part` rows at a time."""
+    counts, n = 0, len(hashes)
+    for lo in range(0, max(n, 1), part):
+        x = np.ascontiguousarray(mixed(hashes[lo : lo + part]) if mixed else hashes[lo : lo + part])
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), 8 * x.shape[1]), axis=1, bitorder="little")
+        counts = counts + (np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64) if n else np.zeros(bits.shape[1], np.int64))
     return np.packbits(2 * counts > n, bitorder="little").view(np.uint64)
 
 
-def wide_fingerprint(hashes: np.ndarray, words: int = WORDS, part: int = 1 << 12) -> np.ndarray:
-    """`words` words of majority bits over all hashes, each mixed anew for every word; of any number, in bounded memory."""
-    mixers = np.random.default_rng(words).integers(1 << 62, size=(2, words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    counts = np.zeros(64 * words, np.int64)
-    for lo in range(0, len(hashes), part):
-        x = hashes[lo : lo + part, None] * mixers[0]
-        x = (x ^ (x >> np.uint64(31))) * mixers[1]
-        bits = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8).reshape(len(x), 8 * words), axis=1, bitorder="little")
-        counts += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """`words` words of majority bits over all hashes, each mixed anew for every word."""
+    first, second = np.random.default_rng(words).integers(1 << 62, size=(2, words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def mixed(part):
+        x = part[:, None] * first
+        x = (x ^ (x >> np.uint64(31))) * second
+        return x ^ (x >> np.uint64(29))
+
+    return majority(hashes, mixed)
 
 
 def fingerprint(text: bytes, shingle_words: int = 4, seed: int = 42) -> int:
@@ -151,7 +151,7 @@ class GrayIndex:
             out.append(np.where(low == high, low, -1 - np.arange(len(at))))
         return out
 
-    def pairs(self, bits: int, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, bits: int, block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of one top node at most `bits` apart whose roots differ, some at a time; at most `block` a level are held."""
         roots, seen, age = self.one_roots(), self.root, 0
         a = b = np.arange(len(self.levels[-1][3]))
@@ -185,7 +185,7 @@ class GrayIndex:
             stack.append((depth - 1, left[ordered], right[ordered], 0))
 
 
-def linked(fps: np.ndarray, top: np.ndarray, bits: int, block: int = 1 << 19) -> np.ndarray:
+def linked(fps: np.ndarray, top: np.ndarray, bits: int, block: int = 1 << 17) -> np.ndarray:
     """Smallest index that each of `fps` (rows of uint64 words, sorted by top node and Gray rank) reaches by links inside its top node."""
     n = len(fps)
     near = (top[1:] == top[:-1]) & (apart(fps[1:] ^ fps[:-1]) <= bits)
@@ -310,27 +310,35 @@ class _Candidates:
         self.masks, self.limit = masks_for(count, similarity, recall), limits(similarity)
         self.similarity, self.buckets = similarity, max(-(-count * len(self.masks) // 100_000), 2 * shuffle_partitions(spark))
 
-    def keys(self, fps: np.ndarray, masks: np.ndarray) -> np.ndarray:
-        """A hash of each row under each mask (masks, rows)."""
-        out = np.zeros((len(masks), len(fps)), np.uint64)
-        for k, mask in enumerate(masks):
-            h = np.full(len(fps), k + 1, np.uint64)
-            for w in np.flatnonzero(mask):
-                h = (h ^ (fps[:, w] & mask[w])) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            out[k] = h
+    def key(self, fps: np.ndarray, k: int) -> np.ndarray:
+        """A hash of each row under mask k."""
+        h = np.full(len(fps), k + 1, np.uint64)
+        for w in np.flatnonzero(self.masks[k]):
+            h = (h ^ (fps[:, w] & self.masks[k][w])) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def first_met(self, x: np.ndarray, y: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Whether the node is that of the first mask under which two rows agree."""
+        out, left = np.zeros(len(x), bool), np.arange(len(x))
+        for k, mask in enumerate(self.masks):
+            some = np.flatnonzero(mask)
+            met = ~((x[left][:, some] ^ y[left][:, some]) & mask[some]).any(axis=1)
+            at, left = left[met], left[~met]
+            out[at] = self.key(x[at], k).view(np.int64) == node[at]
         return out
 
-    def dealt(self, rows: DataFrame, masks: np.ndarray, salts: int):
-        """`rows` once for each mask, grouped by bucket of top nodes; a node is dealt to `salts` of them."""
+    def dealt(self, rows: DataFrame, masks: int, salts: int):
+        """`rows` once for each of the first `masks`, grouped by bucket of top nodes; a node is dealt to `salts` of them."""
 
         def deal(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 2000):
                     part = batch.slice(at, 2000)
                     blobs, v = part.column("fp"), part.column("v").to_numpy().view(np.uint64)
-                    for h in self.keys(np.frombuffer(b"".join(blobs.to_pylist()), np.uint64).reshape(len(blobs), -1), masks):
-                        h = h + (v >> np.uint64(8)) % np.uint64(salts)
+                    fps = np.frombuffer(b"".join(blobs.to_pylist()), np.uint64).reshape(len(blobs), -1)
+                    for k in range(masks):
+                        h = self.key(fps, k) + (v >> np.uint64(8)) % np.uint64(salts)
                         bucket = ((h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int32)
                         yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h.view(np.int64)), part.column("v"), part.column("n"), part.column("part"), blobs], ["bucket", "node", "v", "n", "part", "fp"])
 
@@ -356,7 +364,7 @@ class _Candidates:
             a, b = np.unique(np.concatenate(out, axis=1), axis=1)
             return pa.table({"a": a, "b": b})
 
-        return self.dealt(rows, self.masks[:masks], salts).applyInArrow(run, "a long, b long").distinct()
+        return self.dealt(rows, min(masks, len(self.masks)), salts).applyInArrow(run, "a long, b long").distinct()
 
     def pairs(self, rows: DataFrame) -> DataFrame:
         """(a, b) of every pair of different parts that some mask brings together and whose bits and sizes allow the similarity.
@@ -377,14 +385,13 @@ class _Candidates:
                 keep = (small >= self.similarity * large - 1e-9) & ((small < FEW) | (apart(fps[a] ^ fps[b]) <= self.limit[0]))
                 a, b = a[keep], b[keep]
                 if len(a):
-                    first = np.argmax(self.keys(fps[a], self.masks) == self.keys(fps[b], self.masks), axis=0)
-                    own = self.keys(fps[a], self.masks)[first, np.arange(len(a))].view(np.int64) == node[a]
+                    own = self.first_met(fps[a], fps[b], node[a])
                     a, b = v[a[own]], v[b[own]]
                     out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             a, b = np.concatenate(out, axis=1)
             return pa.table({"a": a, "b": b})
 
-        return self.dealt(rows, self.masks, 1).applyInArrow(run, "a long, b long")
+        return self.dealt(rows, len(self.masks), 1).applyInArrow(run, "a long, b long")
 
 
 def set_number(hashes: np.ndarray, check: int) -> int:
