@@ -18,7 +18,7 @@ def term_counts(df: DataFrame, tokens: str, groups: Sequence[str] = ()) -> DataF
 
     The tokens of a document are sorted, and the first of equal ones counts the document.
     """
-    rows = df.select(*groups, F.array_sort(tokens).alias("_sorted"))
+    rows = df.select(*groups, F.sort_array(tokens).alias("_sorted"))
     pairs = F.arrays_zip(F.col("_sorted").alias("term"), F.concat(F.array(F.lit(None).cast("string")), "_sorted").alias("before"))
     rows = rows.select(*groups, F.inline(pairs).alias("term", "_before")).where("term is not null")  # the last has only a term before it
     first = F.when(F.col("term").eqNullSafe(F.col("_before")), 0).otherwise(1)
