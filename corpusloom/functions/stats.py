@@ -47,12 +47,15 @@ def midterm_score(freq: Column, lift_: Column, similarity: Column) -> Column:
 def js_divergence(p: Column, q: Column) -> Column:
     """Aggregate: base-2 Jensen-Shannon divergence of two aligned columns of weights, from their shares p and q.
 
-    Both must be shares already (nulls count as 0). Null where the weights were no distribution.
+    Both must be shares already (nulls count as 0). A share that isn't positive adds nothing, as where weights are scores of
+    either sign; null where a positive share meets one so negative that their mean isn't positive.
     """
     p, q = F.coalesce(p, F.lit(0.0)), F.coalesce(q, F.lit(0.0))
     mid = (p + q) / 2
-    part = lambda x: F.when(x > 0, x * F.log2(x / mid)).otherwise(0.0)
-    return F.greatest(F.sum(part(p) + part(q)) / 2, F.lit(0.0))
+    part = lambda x: F.when((x > 0) & (mid > 0), x * F.log2(x / mid)).otherwise(0.0)
+    total = F.sum(part(p) + part(q)) / 2
+    total = F.when((total < 0) & (total > -1e-9), 0.0).otherwise(total)  # rounding
+    return F.when(~F.bool_or((F.greatest(p, q) > 0) & (mid <= 0)), total)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -16,28 +16,28 @@ NULL_REGIONS = ["nan", "none", "null", "na", "n/a", "unknown", "未知", "未显
 POSITIVE = ["1", "1.0", "true", "yes", "y", "relevant", "positive", "相关", "有关"]
 NEGATIVE = ["0", "0.0", "false", "no", "n", "irrelevant", "negative", "无关", "不相关"]
 NEGATIVE_TWO = ["2", "2.0"]
-MODEL_LABELS = {"相关": "相关 有关 有关系 是 yes true 1".split(), "无关": "无关 不相关 没关系 否 no false 0".split()}
-CONFIDENCES = {"高": "高 高置信 high h".split(), "中": "中 中等 中置信 medium med m".split(), "低": "低 低置信 low l".split()}
+MODEL_LABELS = {"相关": ["相关", "有关", "有关系", "是", "yes", "true", "1"], "无关": ["无关", "不相关", "没关系", "否", "no", "false", "0"]}
+CONFIDENCES = {"高": ["高", "高置信", "high", "h"], "中": ["中", "中等", "中置信", "medium", "med", "m"], "低": ["低", "低置信", "low", "l"]}
 EXCLUSIONS = {
-    "无": "无".split(),
-    "字面提及躺平": "字面提及躺平 字面提及 躺下休息 动作描写".split(),
-    "明星粉圈": "明星粉圈 粉圈明星 粉圈 饭圈".split(),
-    "游戏二次元": "游戏二次元 小说游戏二次元 游戏 二次元".split(),
-    "鸡汤口号": "鸡汤口号 口号 表情包".split(),
-    "宠物日常": "宠物日常 宠物".split(),
-    "广告与推广": "广告与推广 广告推广 营销推广 广告".split(),
-    "正文未提躺平": "正文未提躺平 正文未提 仅关键词命中 仅话题命中".split(),
-    "其他": "其他".split(),
+    "无": ["无"],
+    "字面提及躺平": ["字面提及躺平", "字面提及", "躺下休息", "动作描写"],
+    "明星粉圈": ["明星粉圈", "粉圈明星", "粉圈", "饭圈"],
+    "游戏二次元": ["游戏二次元", "小说游戏二次元", "游戏", "二次元"],
+    "鸡汤口号": ["鸡汤口号", "口号", "表情包"],
+    "宠物日常": ["宠物日常", "宠物"],
+    "广告与推广": ["广告与推广", "广告推广", "营销推广", "广告"],
+    "正文未提躺平": ["正文未提躺平", "正文未提", "仅关键词命中", "仅话题命中"],
+    "其他": ["其他"],
 }
 # in this order: the first that the value contains decides
 EXCLUSION_PARTS = [
-    ("字面提及躺平", "字面 躺下 动作".split()),
-    ("明星粉圈", "粉圈 饭圈 明星".split()),
-    ("游戏二次元", "游戏 二次元 小说".split()),
-    ("鸡汤口号", "口号 鸡汤 表情包".split()),
-    ("宠物日常", "宠物".split()),
-    ("广告与推广", "广告 推广 营销".split()),
-    ("正文未提躺平", "正文未提 仅话题 仅关键词".split()),
+    ("字面提及躺平", ["字面", "躺下", "动作"]),
+    ("明星粉圈", ["粉圈", "饭圈", "明星"]),
+    ("游戏二次元", ["游戏", "二次元", "小说"]),
+    ("鸡汤口号", ["口号", "鸡汤", "表情包"]),
+    ("宠物日常", ["宠物"]),
+    ("广告与推广", ["广告", "推广", "营销"]),
+    ("正文未提躺平", ["正文未提", "仅话题", "仅关键词"]),
 ]
 SPLIT_ALIASES = {"train": ["train", "training"], "val": ["val", "valid", "validation", "dev"], "test": ["test", "testing"]}
 EMOJI = "\\x{2600}-\\x{27BF}\\x{1F300}-\\x{1F5FF}\\x{1F600}-\\x{1F64F}\\x{1F680}-\\x{1F6FF}\\x{1F900}-\\x{1F9FF}\\x{1FA00}-\\x{1FAFF}\\x{FE00}-\\x{FE0D}"

@@ -70,13 +70,13 @@ def changed_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def resumed(rows: DataFrame, earlier: DataFrame, outputs: Sequence[str]) -> DataFrame:
-    """`rows` with the outputs that an earlier run gave to the same rows; repeated rows are matched one to one."""
+    """`rows` with the outputs that an earlier run gave to the same rows; repeated rows are matched one to one, in order of a hash of the row and of the outputs."""
     from pyspark.sql import Window
 
     identity = [c for c in rows.columns if c in earlier.columns and c not in outputs]
-    number = F.row_number().over(Window.partitionBy("_sig").orderBy("_sig"))
-    a = rows.withColumn("_sig", signature(identity)).withColumn("_n", number)
-    b = earlier.withColumn("_sig", signature(identity)).withColumn("_n", number).select("_sig", "_n", *outputs)
+    number = lambda *order: F.row_number().over(Window.partitionBy("_sig").orderBy(*order))
+    a = rows.withColumn("_sig", signature(identity)).withColumn("_n", number(signature(rows.columns)))
+    b = earlier.withColumn("_sig", signature(identity)).withColumn("_n", number(*outputs)).select("_sig", "_n", *outputs)
     return a.drop(*outputs).join(b, ["_sig", "_n"], "left").drop("_sig", "_n")
 
 

@@ -30,7 +30,8 @@ def _aligned(rows: DataFrame, groups: Sequence[str], period: str, item: str, val
 def ranked_term_drift(terms: DataFrame, term: str = "term", score: str = "pmi", rank: str = "term_rank", n: int = 20, keyword: str = "keyword", period: str = "period_label") -> DataFrame:
     """How each keyword's n best terms change from one period to the next; the ALL and NA levels are left out.
 
-    Scores count as weights; where one is negative or all are zero there is no divergence (null). Lists are sorted.
+    Scores count as weights: where those of a period add up to nothing or less there is no divergence (null), single negative
+    ones add nothing to it. Lists are sorted.
     """
     rows = terms.where(~F.col(period).isin("ALL", "NA"))
     best = top_n(rows, [keyword, period], [F.col(score).desc(), F.col(rank).asc(), F.col(term).asc()], n, "_n")
@@ -41,7 +42,7 @@ def ranked_term_drift(terms: DataFrame, term: str = "term", score: str = "pmi",
     both = both.withColumn("_p", F.try_divide(p, F.sum(p).over(whole))).withColumn("_q", F.try_divide(q, F.sum(q).over(whole)))
     listed = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col(term)))), " | ")  # noqa: E731  at most 2n terms
     old, new = F.col("previous").isNotNull(), F.col("current").isNotNull()
-    fits = (F.min(F.least(p, q)) >= 0) & (F.sum(p) > 0) & (F.sum(q) > 0)
+    fits = (F.sum(p) > 0) & (F.sum(q) > 0)
     return both.groupBy(*keys).agg(
         F.count_if(old & new).alias("overlap_count"),
         (F.count_if(old & new) / F.count("*")).alias("jaccard_top_terms"),

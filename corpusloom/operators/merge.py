@@ -19,7 +19,8 @@ def cell(c: str) -> Column:
 
 
 def looks_like_text(c: Column) -> Column:
-    return ~c.rlike("^[-+]?[0-9]*\\.?[0-9]+$")
+    """Two characters or more, not only digits, and no truth value."""
+    return (F.length(c) >= 2) & ~c.rlike("^\\p{Nd}+$") & ~F.lower(c).isin("true", "false")
 
 
 def merge_annotations(df: DataFrame, order: Sequence[str], id_col: str = "id", text_col: str = "cleaned_text", fields: Sequence[str] = (*TEXTS, *LABELS)) -> tuple[DataFrame, DataFrame]:

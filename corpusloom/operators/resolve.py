@@ -19,8 +19,8 @@ NEVER_TEXT = ["发布时间", "created_at", "publish_time", "timestamp", "keywor
 
 
 def resolve(df: DataFrame, candidates: Sequence[str], forced: str | None = None, what: str = "column") -> str:
-    """The forced column, which must exist, or the first candidate that does."""
-    if forced is not None:
+    """The forced column, which must exist, or the first candidate that does. An empty name forces nothing."""
+    if forced:
         if forced not in df.columns:
             raise ValueError(f"no {what} {forced}; there are {df.columns}")
         return forced
@@ -32,7 +32,7 @@ def resolve(df: DataFrame, candidates: Sequence[str], forced: str | None = None,
 
 def resolve_text(df: DataFrame, forced: str | None = None) -> str:
     """As `resolve`; without a candidate, the string column with most texts, the first of equals."""
-    if forced is not None or any(c in df.columns for c in TEXTS):
+    if forced or any(c in df.columns for c in TEXTS):
         return resolve(df, TEXTS, forced, "text column")
     strings = [c for c, kind in df.dtypes if kind == "string" and c not in NEVER_TEXT]
     if not strings:
@@ -45,12 +45,15 @@ def resolve_text(df: DataFrame, forced: str | None = None) -> str:
 
 
 def resolve_label(df: DataFrame, candidates: Iterable[str] = LABELS, forced: str | None = None, two_is_negative: bool = True) -> str:
-    """The candidate most of whose values are labels, the first of equals."""
+    """The candidate most of whose values are labels, the first of equals; an error if none has a label at all."""
     names = [c for c in candidates if c in df.columns]
-    if forced is not None or not names:
+    if forced or not names:
         return resolve(df, list(candidates), forced, "label column")
     good = df.agg(*[F.count(label_value(F.col(f"`{c}`"), two_is_negative)).alias(c) for c in names]).first()
-    return max(names, key=lambda c: (good[c], -names.index(c)))
+    best = max(names, key=lambda c: (good[c], -names.index(c)))
+    if not good[best]:
+        raise ValueError(f"none of {names} holds a label")
+    return best
 
 
 def first_with_values(df: DataFrame, candidates: Sequence[str], usable) -> str | None:

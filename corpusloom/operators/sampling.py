@@ -118,11 +118,14 @@ def split_manifest(df: DataFrame, source: str = "source") -> DataFrame:
     return df.groupBy("split", source).agg(F.count("*").alias("rows"))
 
 
-def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id", shards: int = 256) -> DataFrame:
-    """Numbers from 0 in the order of a hash of `order`, which should tell rows apart. No task sees all rows."""
-    h = F.xxhash64(*order)
-    rows = df.withColumn("_h", h).withColumn("_b", F.pmod(F.shiftright("_h", 40), F.lit(shards)))
+def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id", shard_rows: int = 100_000) -> DataFrame:
+    """Numbers from 0 in the order of a hash of `order`, which should tell rows apart.
+
+    Shards are ranges of the hash of about `shard_rows` rows, so no task sees all rows and their number changes no row's.
+    """
+    bits = max(256, df.count() // shard_rows).bit_length()
+    rows = df.withColumn("_h", F.xxhash64(*order)).withColumn("_b", F.shiftright("_h", 64 - bits))
     sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    rows = rows.join(F.broadcast(sizes), "_b")  # one row a shard
+    rows = rows.join(sizes, "_b")  # one row a shard
     return rows.withColumn(name, F.row_number().over(Window.partitionBy("_b").orderBy("_h", *order)) - 1 + F.col("_start")).drop("_h", "_b", "_start")

@@ -80,3 +80,21 @@ def running_periods(df: DataFrame, groups: Sequence[str], period: str) -> DataFr
     periods = df.select(*groups, period).distinct()
     lag = F.lag(period).over(Window.partitionBy(*groups).orderBy(period)) if groups else F.lag(period).over(Window.partitionBy(F.lit(0)).orderBy(period))
     return periods.withColumn("previous_period", lag).where(F.col("previous_period").isNotNull()).withColumnRenamed(period, "current_period")
+
+
+def ordered_labels(df: DataFrame, column: str, last: str) -> DataFrame:
+    """(column, ord): each label once, numbered from 1 by name, `last` (the label of unknown ones) at the end; null and blank ones are left out.
+
+    Period labels of one kind sort by name as they do by time.
+    """
+    found = df.select(F.col(column).cast("string").alias(column)).where(F.coalesce(F.col(column), F.lit("")) != "").distinct()
+    order = Window.partitionBy(F.lit(0)).orderBy((F.col(column) == last).asc(), F.col(column).asc())  # one row a label
+    return found.withColumn("ord", F.row_number().over(order))
+
+
+def period_order(df: DataFrame, period: str = "period_label") -> DataFrame:
+    return ordered_labels(df, period, "NA")
+
+
+def region_order(df: DataFrame, region: str = "ip_normalized", unknown: str = "UNKNOWN_IP") -> DataFrame:
+    return ordered_labels(df, region, unknown)

@@ -181,6 +181,26 @@ def coding_template(overall: DataFrame, single: DataFrame, manual: Sequence[str]
     return keep_first(both, ["keyword", "period_label", "term"], ["_source", "shortlist_rank"]).drop("_source").withColumns({c: F.lit("") for c in manual})
 
 
+def override_template(overall: DataFrame, single: DataFrame) -> DataFrame:
+    """Each (keyword, period, term) of both shortlists once, the overall list first, with its buckets and blank columns for hand-made rules.
+
+    Columns that the lists don't have are left out.
+    """
+    both = overall.withColumn("_source", F.lit(0)).unionByName(single.withColumn("_source", F.lit(1)), allowMissingColumns=True)
+    rows = keep_first(both, ["keyword", "period_label", "term"], ["_source", "shortlist_rank"])
+    blank = ("override_context_bucket", "override_theme_bucket", "enabled", "note")
+    order = ("keyword", "period_label", "term", "auto_context_bucket", "context_bucket", "override_context_bucket", "auto_theme_bucket", "theme_bucket", "override_theme_bucket", "enabled", "note", "example_1_text")
+    return rows.select(*[F.lit("").alias(c) if c in blank else F.col(c) for c in order if c in blank or c in rows.columns])
+
+
+def midterm_counters(candidates: DataFrame, tables: dict[str, DataFrame], noise_terms: int = 0, overrides: int = 0) -> DataFrame:
+    """One row: rows of the candidates, of those kept, and of each table as <name>_row_count; sizes of the hand-made lists."""
+    out = candidates.agg(F.count("*").alias("candidate_row_count"), F.count_if("auto_keep_for_midterm").alias("auto_keep_row_count"))
+    for name, df in tables.items():
+        out = out.crossJoin(df.agg(F.count("*").alias(f"{name}_row_count")))  # one row each
+    return out.withColumns({"exact_noise_term_count": F.lit(noise_terms), "bucket_override_count": F.lit(overrides)})
+
+
 def summary_counters(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count("*").alias("candidate_rows"), F.count_if(F.col("auto_noise_flag")).alias("noise_rows"), F.count_if(F.col("auto_keep_for_midterm")).alias("kept_rows"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_post, emoji_names, emoji_placeholder
 from ..operators.dedup import changed_files, dedup_by_id, dedup_by_text
 from ..sources.files import RAW_COLUMNS, raw_files, read_raw_csv
-from ..sources.sinks import append_parts, export_csv, save_json
+from ..sources.sinks import PART_ROWS, export_csv, save_json
 
 SHORTEST, LONGEST = 2, 2000
 TEXT = "微博正文"
@@ -27,6 +27,9 @@ def preprocess(df: DataFrame, text: str = TEXT, names: bool = True) -> DataFrame
     return out.withColumns({c: F.substring(c, 1, LONGEST) for c in ("cleaned_text", "cleaned_text_with_emoji")}).drop("_base")
 
 
+MANIFEST = "path string, size long, mtime_ns long, keyword string, seen_at string"
+
+
 class Collection:
     """Tables and state of one collection below a folder that all executors share."""
 
@@ -36,7 +39,8 @@ class Collection:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def table(self, name: str, schema: str | None = None) -> DataFrame:
+    def _written(self, name: str, schema: str | None) -> DataFrame:
+        """All batches of a table, finished or not."""
         from pyspark.errors import AnalysisException
 
         try:
@@ -44,7 +48,18 @@ class Collection:
         except AnalysisException:
             if schema is None:
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], f"{schema}, batch int")
+
+    def finished(self) -> int:
+        """Number of the last batch whose manifest was written, which happens last; 0 before the first."""
+        return self._written("manifest", MANIFEST).agg(F.max("batch")).first()[0] or 0
+
+    def table(self, name: str, schema: str | None = None) -> DataFrame:
+        return self._written(name, schema).where(F.col("batch") <= self.finished()).drop("batch")
+
+    def _write(self, df: DataFrame, name: str, batch: int) -> None:
+        """Puts the rows in place of those that a run which broke off left for the same batch."""
+        df.write.mode("overwrite").option("maxRecordsPerFile", PART_ROWS).parquet(f"{self.path(name)}/batch={batch}")
 
     def reset(self) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -55,30 +70,32 @@ class Collection:
     def run(self, raw: str, rebuild: bool = False) -> dict:
         """Reads new and changed files only, appends rows with new ids, then those with new texts, and the state. Returns counters.
 
-        Data are written before state: a crash between repeats rows of the last batch, it loses none. Rows of changed files
+        Each run is a batch, which counts once its manifest is written. A run after a crash writes the same batch anew, so
+        nothing is lost and nothing repeats. Rows of changed files
         whose ids are known stay as they were. Files that can't be read keep their old manifest entry and are tried again.
         """
         if rebuild:
             self.reset()
-        manifest = self.table("manifest", "path string, size long, mtime_ns long, keyword string, seen_at string")
+        manifest, batch = self.table("manifest", MANIFEST), self.finished() + 1
         latest = manifest.groupBy("path").agg(F.max_by(F.struct("size", "mtime_ns"), "seen_at").alias("_s")).select("path", "_s.*")
-        files = changed_files(raw_files(self.spark, raw), latest).cache()
-        rows = read_raw_csv(files).cache()
+        found = changed_files(raw_files(self.spark, raw), latest)
+        files = found.drop("content").cache()
+        rows = read_raw_csv(found).cache()
         failed = rows.where("error is not null").select(F.col("source_file").alias("path")).distinct()
         good = rows.where("error is null")
         new, counts, ids = dedup_by_id(good, self.table("seen_ids", "h string"), ORDER)
         new = new.cache()
-        append_parts(new.select(*RAW_COLUMNS, "keyword", "source_file"), self.path("merged"))
+        self._write(new.select(*RAW_COLUMNS, "keyword", "source_file"), "merged", batch)
         clean = preprocess(new).cache()
         kept = [*[c for c in RAW_COLUMNS if c != TEXT], "keyword", "source_file", "cleaned_text", "cleaned_text_with_emoji", "text_raw"]
-        append_parts(clean.select(*kept), self.path("preprocessed"))
+        self._write(clean.select(*kept), "preprocessed", batch)
         unique = dedup_by_text(clean.drop("h"), self.table("seen_texts", "h string"), ORDER).cache()
-        append_parts(unique.select(*kept), self.path("text_dedup"))
+        self._write(unique.select(*kept), "text_dedup", batch)
         report = {"files": files.count(), "failed_files": failed.count(), "id_dedup": counts.first().asDict(), "preprocessed_rows": clean.count(), "text_dedup_rows": unique.count()}
-        append_parts(ids, self.path("seen_ids"))
-        append_parts(unique.select("h"), self.path("seen_texts"))
+        self._write(ids, "seen_ids", batch)
+        self._write(unique.select("h"), "seen_texts", batch)
         now = datetime.datetime.now(datetime.UTC).isoformat()
-        append_parts(files.join(failed, "path", "left_anti").select("path", "size", "mtime_ns", "keyword", F.lit(now).alias("seen_at")), self.path("manifest"))
+        self._write(files.join(failed, "path", "left_anti").select("path", "size", "mtime_ns", "keyword", F.lit(now).alias("seen_at")), "manifest", batch)
         for df in (files, rows, new, clean, unique):
             df.unpersist()
         return report

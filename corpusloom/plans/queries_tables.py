@@ -360,6 +360,13 @@ def annotation_conflicts(spark, sf):
     return merge.merge_annotations(_annotations(spark, sf), ["tab", "row"])[1].select("merge_key", "field", "kept", "value")
 
 
+def label_orders(spark, sf):
+    """Periods and regions in the order of reports, unknown ones last."""
+    docs = read(spark, sf, "documents").withColumn("p", F.when(F.col("doc_id") % 5 == 0, "NA").otherwise(F.col("source"))).withColumn("r", F.when(F.col("doc_id") % 7 == 0, "UNKNOWN_IP").when(F.col("doc_id") % 7 == 1, "").otherwise(F.concat(F.lit("Z"), "lang")))
+    orders = [shares.period_order(docs, "p").select(F.lit("period").alias("kind"), F.col("p").alias("label"), "ord"), shares.region_order(docs, "r").select(F.lit("region").alias("kind"), F.col("r").alias("label"), "ord")]
+    return orders[0].unionByName(orders[1])
+
+
 def value_counts(spark, sf):
     return shares.value_counts(read(spark, sf, "events"), "event_type")
 
@@ -385,7 +392,7 @@ QUERIES = {f.__name__: f for f in (
     id_dedup_keep_first, id_dedup_counters, text_dedup_md5, anti_join_seen_state, overlap_signature_antijoin, manifest_delta, resume_results, share_family, topic_overview, topic_headlines, semantic_headlines,
     drift_topic_share, drift_topic_share_by_keyword, drift_topic_share_by_region, drift_topic_share_by_keyword_region, drift_share_change, drift_watchlist, strata_counts, allocation_hamilton, stratified_sample_exact, split_three_way,
     predefined_split_alias, row_ids, confusion_metrics, error_summary, ranked_errors, side_by_side_buckets, label_diagnosis, metric_rows, macro_mapping_rules, macro_share_excl_periods, macro_overview, action_share, macro_pivot,
-    metric_cards, sweep_gate, annotation_merge, annotation_conflicts, value_counts, max_drift_rows, top_events, dataset_fingerprint,
+    metric_cards, sweep_gate, annotation_merge, annotation_conflicts, label_orders, value_counts, max_drift_rows, top_events, dataset_fingerprint,
 )} | {name: _share(groups) for name, groups in _SHARES.items()}
 
 CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(trim(text, E' \n\t\r'), 'https?://\S+', '', 'gi'), '全文\s*$', ''), '\s+', ' ', 'g'))"
@@ -453,6 +460,8 @@ SQL = {
     "annotation_merge": "SELECT 'id:' || doc_id AS merge_key, doc_id::VARCHAR AS id, source AS cleaned_text, lang AS keyword, CASE WHEN doc_id % 3 > 0 THEN quality::VARCHAR ELSE '2' END AS broad, toxic::VARCHAR AS strict FROM labels JOIN documents USING (doc_id)",
     "annotation_conflicts": """WITH m AS (SELECT doc_id, quality, toxic, source FROM labels JOIN documents USING (doc_id)) SELECT 'id:' || doc_id AS merge_key, 'cleaned_text' AS field, source AS kept, 'x' AS value FROM m
  UNION ALL SELECT 'id:' || doc_id, 'broad', quality::VARCHAR, '2' FROM m WHERE doc_id % 3 > 0 AND quality = 1 UNION ALL SELECT 'id:' || doc_id, 'strict', '0', '1' FROM m WHERE doc_id % 5 = 0 AND toxic = 0""",
+    "label_orders": """WITH l AS (SELECT 'period' AS kind, CASE WHEN doc_id % 5 = 0 THEN 'NA' ELSE source END AS label FROM documents UNION SELECT 'region', CASE WHEN doc_id % 7 = 0 THEN 'UNKNOWN_IP' ELSE 'Z' || lang END FROM documents WHERE doc_id % 7 <> 1)
+ SELECT kind, label, row_number() OVER (PARTITION BY kind ORDER BY label IN ('NA', 'UNKNOWN_IP'), label)::INT AS ord FROM l WHERE label <> ''""",
     "value_counts": "SELECT coalesce(event_type, 'NA') AS value, count(*) AS rows FROM events GROUP BY 1",
     "semantic_headlines": f"WITH {scored_sql()} SELECT keyword, period_label, term, round(pmi, 6) AS pmi, row_number() OVER (PARTITION BY keyword ORDER BY term_rank, pmi DESC, period_label, term)::INT AS headline_rank FROM scored WHERE period_label = 'ALL' QUALIFY headline_rank <= 12",
     "drift_watchlist": " UNION ALL ".join(f"(SELECT '{name}' AS drift_source, {focus} AS focus, previous_period, current_period, round(topic_js_divergence, 5) AS drift_score FROM ({_drift_sql(groups, f'WITH {YEAR}', 'previous_period, current_period, js AS topic_js_divergence', 'd')}) QUALIFY row_number() OVER (PARTITION BY {focus} ORDER BY round(topic_js_divergence, 9) DESC, current_period) = 1)" for name, focus, groups in (("keyword", "keyword", ["keyword"]), ("region", "region", ["region"]), ("overall", "''", []))),

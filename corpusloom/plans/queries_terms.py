@@ -198,6 +198,22 @@ def coding_template(spark, sf):
     return rounded(shortlist.coding_template(whole, single).select("keyword", "period_label", "term", "shortlist_rank", "midterm_score", "manual_keep", "coder"))
 
 
+def override_template(spark, sf):
+    whole, single = shortlist.shortlists(_kept(spark, sf), 18, 20, 6, 8)
+    return shortlist.override_template(whole, single)
+
+
+def midterm_counters(spark, sf):
+    """Rows of every table of the mid-term report."""
+    kept, whole, single = _kept(spark, sf), *shortlist.shortlists(_kept(spark, sf), 18, 20, 6, 8)
+    trajectory = shortlist.context_trajectory(_bucketed(spark, sf))
+    tables = {
+        "overall_shortlist": whole, "period_shortlist": single, "context_trajectory": trajectory, "context_shift_summary": shortlist.context_shift(trajectory), "noise_diagnostic": shortlist.noise_diagnostics(kept),
+        "context_bucket_summary": shortlist.bucket_summary(_bucketed(spark, sf)), "coding_template": shortlist.coding_template(whole, single), "bucket_override_template": shortlist.override_template(whole, single),
+    }
+    return shortlist.midterm_counters(kept, tables, len(NOISE), 2)
+
+
 def summary_counters(spark, sf):
     return shortlist.summary_counters(_candidates(spark, sf))
 
@@ -206,20 +222,38 @@ def drift_ranked_terms(spark, sf):
     return rounded(drift.ranked_term_drift(scored(spark, sf), score="term_doc_freq"))
 
 
-DRIFT = scored_sql() + """,
- best AS (SELECT keyword, period_label, term, term_doc_freq::DOUBLE AS score FROM scored WHERE period_label NOT IN ('ALL', 'NA') QUALIFY row_number() OVER (PARTITION BY keyword, period_label ORDER BY term_doc_freq DESC, term_rank, term) <= 20),
+def drift_collocations(spark, sf):
+    """By pmi, which has either sign."""
+    return rounded(drift.ranked_term_drift(scored(spark, sf)))
+
+
+def drift_neighbors(spark, sf):
+    """Ranks stand for similarities, some of them negative."""
+    rows = scored(spark, sf).select("keyword", "period_label", F.col("term").alias("neighbor_term"), (F.col("term_rank") % 7 / 7.0 - 0.2).alias("embedding_similarity"), F.col("term_rank").alias("neighbor_rank"))
+    return rounded(drift.ranked_term_drift(rows, "neighbor_term", "embedding_similarity", "neighbor_rank"))
+
+
+def drift_sql(score: str) -> str:
+    return scored_sql() + f""",
+ best AS (SELECT keyword, period_label, term, ({score})::DOUBLE AS score FROM scored WHERE period_label NOT IN ('ALL', 'NA') QUALIFY row_number() OVER (PARTITION BY keyword, period_label ORDER BY {score} DESC, term_rank, term) <= 20),
  per AS (SELECT keyword, period_label, lag(period_label) OVER (PARTITION BY keyword ORDER BY period_label) AS previous FROM (SELECT DISTINCT keyword, period_label FROM best)),
  pairs AS (SELECT keyword, previous AS previous_period, period_label AS current_period FROM per WHERE previous IS NOT NULL),
  a AS (SELECT p.*, term, score FROM pairs p JOIN best b ON b.keyword = p.keyword AND b.period_label = previous_period),
  b AS (SELECT p.*, term, score FROM pairs p JOIN best b ON b.keyword = p.keyword AND b.period_label = current_period),
  both_sides AS (SELECT keyword, previous_period, current_period, term, a.score AS old, b.score AS new FROM a FULL JOIN b USING (keyword, previous_period, current_period, term)),
- shares AS (SELECT *, coalesce(old, 0) / sum(old) OVER w AS p, coalesce(new, 0) / sum(new) OVER w AS q FROM both_sides WINDOW w AS (PARTITION BY keyword, previous_period, current_period))"""
+ shares AS (SELECT *, sum(old) OVER w AS olds, sum(new) OVER w AS news, coalesce(old, 0) / nullif(sum(old) OVER w, 0) AS p, coalesce(new, 0) / nullif(sum(new) OVER w, 0) AS q FROM both_sides WINDOW w AS (PARTITION BY keyword, previous_period, current_period)),
+ parts AS (SELECT *, (p > 0 OR q > 0) AND p + q <= 0 AS odd, CASE WHEN p > 0 AND p + q > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 AND p + q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END AS part FROM shares)
+ SELECT keyword, previous_period, current_period, count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL) AS overlap_count, round(count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL) / count(*), 6) AS jaccard_top_terms,
+ CASE WHEN max(olds) > 0 AND max(news) > 0 AND NOT bool_or(odd) THEN round(sum(part) / 2, 6) + 0 END AS js_divergence,
+ coalesce(string_agg(term, ' | ' ORDER BY term) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL), '') AS overlap_terms, coalesce(string_agg(term, ' | ' ORDER BY term) FILTER (WHERE old IS NULL), '') AS added_terms, coalesce(string_agg(term, ' | ' ORDER BY term) FILTER (WHERE new IS NULL), '') AS removed_terms FROM parts GROUP BY ALL"""
+
+
 JS = "greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2, 0)"
 
 
 QUERIES = {f.__name__: f for f in (
     pmi_topk, doc_term_freq, ctfidf_topk, semantic_neighbors_cosine, midterm_candidates, noise_diagnostics, midterm_shortlist_overall, midterm_shortlist_period, match_stats, example_topn, wide_examples, diversity_rerank,
-    context_trajectory, context_shift_summary, context_bucket_summary, context_override_theta, period_overview_listagg, coding_template, summary_counters, drift_ranked_terms,
+    context_trajectory, context_shift_summary, context_bucket_summary, context_override_theta, period_overview_listagg, coding_template, summary_counters, drift_ranked_terms, drift_collocations, drift_neighbors, override_template, midterm_counters,
 )}
 
 SQL = {
@@ -259,6 +293,16 @@ SQL = {
  s AS (SELECT {SHORT.format(more=', period_label')} FROM candidates WHERE NOT contains(term, keyword) AND period_label <> 'ALL' AND term_doc_freq >= 8 AND NOT low_specificity_flag QUALIFY shortlist_rank <= 6)
  SELECT keyword, period_label, term, shortlist_rank, midterm_score, '' AS manual_keep, '' AS coder FROM (SELECT * FROM w UNION ALL SELECT * FROM s)""",
     "summary_counters": f"WITH {CANDIDATES} SELECT count(*) AS candidate_rows, count(*) FILTER (WHERE auto_noise_flag) AS noise_rows, count(*) FILTER (WHERE NOT auto_noise_flag) AS kept_rows, count(*) FILTER (WHERE semantic_supported) AS semantic_rows, count(*) FILTER (WHERE low_specificity_flag) AS low_specificity_rows, count(*) FILTER (WHERE period_label = 'ALL') AS overall_rows FROM candidates",
-    "drift_ranked_terms": f"""WITH {DRIFT} SELECT keyword, previous_period, current_period, count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL) AS overlap_count, round(count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL) / count(*), 6) AS jaccard_top_terms, round({JS}, 6) AS js_divergence,
- coalesce(string_agg(term, ' | ' ORDER BY term) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL), '') AS overlap_terms, coalesce(string_agg(term, ' | ' ORDER BY term) FILTER (WHERE old IS NULL), '') AS added_terms, coalesce(string_agg(term, ' | ' ORDER BY term) FILTER (WHERE new IS NULL), '') AS removed_terms FROM shares GROUP BY ALL""",
+    "drift_ranked_terms": f"WITH {drift_sql('term_doc_freq')}",
+    "drift_collocations": f"WITH {drift_sql('pmi')}",
+    "drift_neighbors": f"WITH {drift_sql('term_rank % 7 / 7.0 - 0.2')}",
+    "override_template": f"""WITH {CANDIDATES}, w AS (SELECT auto_theme_bucket, {SHORT.format(more='')} FROM candidates WHERE NOT contains(term, keyword) AND period_label = 'ALL' AND term_doc_freq >= 20 QUALIFY shortlist_rank <= 18),
+ s AS (SELECT auto_theme_bucket, {SHORT.format(more=', period_label')} FROM candidates WHERE NOT contains(term, keyword) AND period_label <> 'ALL' AND term_doc_freq >= 8 AND NOT low_specificity_flag QUALIFY shortlist_rank <= 6)
+ SELECT keyword, period_label, term, '' AS override_context_bucket, auto_theme_bucket, '' AS override_theme_bucket, '' AS enabled, '' AS note FROM (SELECT * FROM w UNION ALL SELECT * FROM s)""",
 }
+
+COUNTED = {"overall_shortlist": "midterm_shortlist_overall", "period_shortlist": "midterm_shortlist_period", "context_trajectory": "context_trajectory", "context_shift_summary": "context_shift_summary", "noise_diagnostic": "noise_diagnostics", "context_bucket_summary": "context_bucket_summary", "coding_template": "coding_template", "bucket_override_template": "override_template"}
+SQL["midterm_counters"] = (
+    f"SELECT *, 4 AS exact_noise_term_count, 2 AS bucket_override_count FROM (WITH {CANDIDATES} SELECT count(*) AS candidate_row_count, count(*) FILTER (WHERE NOT contains(term, keyword)) AS auto_keep_row_count FROM candidates)"
+    + "".join(f", (SELECT count(*) AS {name}_row_count FROM ({SQL[q]}))" for name, q in COUNTED.items())
+)

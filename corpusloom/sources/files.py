@@ -36,13 +36,16 @@ def path_parts(path: Column) -> Column:
 
 
 def raw_files(spark: SparkSession, folder: str) -> DataFrame:
-    """CSV files below `folder` (not backups) that lie in a csv folder: path, size, mtime_ns, keyword, year, month, day. No content is read."""
+    """CSV files below `folder` (not backups) that lie in a csv folder: path, size, mtime_ns, keyword, year, month, day, content.
+
+    The content of a file is read only where a plan uses that column.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
     base = folder.rstrip("/").split("://")[-1]
     rel = F.replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(base + "/"), F.lit(""))
-    out = found.select(F.col("path").alias("file"), rel.alias("path"), F.col("length").alias("size"), (F.unix_micros(F.col("modificationTime")) * 1000).alias("mtime_ns"))
+    out = found.select(F.col("path").alias("file"), rel.alias("path"), F.col("length").alias("size"), (F.unix_micros(F.col("modificationTime")) * 1000).alias("mtime_ns"), "content")
     out = out.where(~F.contains(F.element_at(F.split("path", "/"), -1), F.lit(".backup")))
-    return out.select("*", path_parts(F.col("path")).alias("_p")).select("file", "path", "size", "mtime_ns", "_p.*").where("keyword is not null")
+    return out.select("*", path_parts(F.col("path")).alias("_p")).select("file", "path", "size", "mtime_ns", "_p.*", "content").where("keyword is not null")
 
 
 def parse_csv(data: bytes) -> pd.DataFrame:
@@ -60,13 +63,9 @@ def parse_csv(data: bytes) -> pd.DataFrame:
 def read_raw_csv(files: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     """Rows of the files of `raw_files`: columns by name in any order (missing ones empty), keyword, source_file, file order columns,
     row_idx, and error of files that can't be read (one row of empty cells). Files spread over tasks; one file is one parse."""
-    spark = files.sparkSession
-    data = spark.read.format("binaryFile").load([r[0] for r in files.select("file").collect()]) if files.take(1) else None
     meta = ["path", "keyword", "year", "month", "day"]
     schema = ", ".join([*(f"`{c}` string" for c in columns), "keyword string", "source_file string", "year int", "month int", "day int", "row_idx long", "error string"])
-    if data is None:
-        return spark.createDataFrame([], schema)
-    rows = data.select(F.col("path").alias("file"), "content").join(files.select("file", *meta), "file")
+    rows = files.select("content", *meta)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -78,14 +77,43 @@ def read_raw_csv(files: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> Data
                 out = table.reindex(columns=list(columns)).fillna("").astype(str)
                 yield out.assign(keyword_=f.keyword, source_file=f.path, year=f.year, month=f.month, day=f.day, row_idx=range(len(out)), error=error).rename(columns={"keyword_": "keyword"})
 
-    return rows.select("content", *meta).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
+
+
+def matching_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern matches, in order, in any store that Spark reads. An absolute pattern that matches nothing is tried without its first slash; no match is an error."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def found(text: str) -> list[str]:
+        path = jvm.org.apache.hadoop.fs.Path(text)
+        return sorted(s.getPath().toString() for s in path.getFileSystem(conf).globStatus(path) or [])
+
+    files = found(pattern) or (found(pattern.lstrip("/")) if pattern.startswith("/") else [])
+    if not files:
+        raise FileNotFoundError(f"no files match {pattern}")
+    return files
 
 
 def read_tables(spark: SparkSession, pattern: str, origin: str = "__input_file") -> DataFrame:
-    """Parquet or CSV files of a pattern as one table by column name, with each row's file."""
-    kind = "csv" if re.search(r"\.csv(\.\w+)?$", pattern) else "parquet"
-    reader = spark.read.option("header", True).option("multiLine", True).option("mergeSchema", True)
-    return reader.format(kind).load(pattern).withColumn(origin, F.col("_metadata.file_name") if kind == "parquet" else F.input_file_name())
+    """Parquet and CSV files of a pattern as one table by column name, with each row's file.
+
+    Columns that a file lacks are null there; one of different types in both kinds is text. Other kinds of files are an error.
+    """
+    files = matching_files(spark, pattern)
+    by = {kind: [f for f in files if re.search(rf"\.{kind}(\.\w+)?$", f)] for kind in ("parquet", "csv")}
+    if odd := sorted(set(files) - set(by["parquet"]) - set(by["csv"])):
+        raise ValueError(f"neither Parquet nor CSV: {odd[:3]}")
+    tables = []
+    for kind, some in by.items():
+        if some:
+            reader = spark.read.option("header", True).option("multiLine", True).option("mergeSchema", True)
+            tables.append(reader.format(kind).load(some).withColumn(origin, F.col("_metadata.file_name") if kind == "parquet" else F.element_at(F.split(F.input_file_name(), "/"), -1)))
+    if len(tables) == 1:
+        return tables[0]
+    kinds = [dict(t.dtypes) for t in tables]
+    clash = [c for c in kinds[0] if c in kinds[1] and kinds[0][c] != kinds[1][c]]
+    a, b = (t.withColumns({c: F.col(f"`{c}`").cast("string") for c in clash}) if clash else t for t in tables)
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType | str, required: bool = False) -> DataFrame:
@@ -121,9 +149,12 @@ def bucket_overrides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def workbook_layout(rows: Sequence[Sequence[str | None]], known: Sequence[str]) -> tuple[int, list[str]]:
-    """First data row and column names of a sheet whose header is in row 1, row 2 or nowhere (then columns are in the known order)."""
+    """First data row and column names of a sheet whose header is in row 1, row 2 or nowhere (then columns are in the known order).
+
+    A header has three different known names or more.
+    """
     for k, row in enumerate(rows[:2]):
-        if sum((c or "").strip().lower() in known for c in row) >= 2:
+        if len({(c or "").strip().lower() for c in row} & set(known)) >= 3:
             return k + 1, unique_headers([(c or "").strip().lower() for c in row])
     return 0, [*known][: max(map(len, rows), default=0)]
 

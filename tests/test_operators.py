@@ -101,3 +101,33 @@ def test_resume_matches_repeats(spark):
     rows = spark.createDataFrame([("a",), ("a",), ("b",)], "x string")
     done = spark.createDataFrame([("a", "1"), ("a", "2"), ("c", "3")], "x string, y string")
     assert sorted((r["x"], r["y"] or "") for r in dedup.resumed(rows, done, ["y"]).collect()) == [("a", "1"), ("a", "2"), ("b", "")]
+
+
+def test_no_label_column(spark):
+    df = spark.createDataFrame([("maybe", "?")], "label string, broad string")
+    with pytest.raises(ValueError):
+        resolve.resolve_label(df)
+    assert resolve.resolve(df, ["label"], "") == "label"
+
+
+@pytest.mark.parametrize(("value", "text"), [("1.5", True), ("12", False), ("a", False), ("ab", True), ("TRUE", False), ("false", False), ("-3", True), ("躺平", True), ("１２", False)])
+def test_looks_like_text(spark, value, text):
+    from corpusloom.operators.merge import looks_like_text
+
+    assert spark.range(1).select(looks_like_text(F.lit(value)).alias("x")).first()["x"] == text
+
+
+def test_divergence_of_scores_of_either_sign(spark):
+    """As the plain sum over positive shares; null where their mean isn't positive or a period adds up to nothing."""
+    import math
+
+    def plain(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        return sum(x * math.log2(x / ((x + y) / 2)) for side in ((p, q), (q, p)) for x, y in zip(*side, strict=True) if x > 0) / 2
+
+    cases = {"plain": ([3.0, 1.0, 0.0], [1.0, 1.0, 2.0]), "negative": ([3.0, -0.5, 1.0], [2.0, 1.0, -0.2])}
+    odd = {"mean": ([4.0, -3.0], [1.0, 0.5]), "nothing": ([1.0, -1.0], [1.0, 1.0])}
+    terms = [(k, f"p{side}", t, float(s), n) for k, pair in (cases | odd).items() for side, scores in enumerate(pair) for n, (t, s) in enumerate(zip("abc", scores, strict=False))]
+    df = spark.createDataFrame(terms, "keyword string, period_label string, term string, pmi double, term_rank int")
+    got = {r["keyword"]: r["js_divergence"] for r in drift.ranked_term_drift(df).collect()}
+    assert got["mean"] is None and got["nothing"] is None and all(abs(got[k] - plain(*v)) < 1e-9 for k, v in cases.items())

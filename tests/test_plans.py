@@ -54,6 +54,28 @@ def test_incremental_is_full(spark, raw, tmp_path):
     assert one.status()["merged"] == 6
 
 
+@pytest.mark.parametrize("last", ["merged", "text_dedup", "seen_texts"])
+def test_a_run_that_breaks_off(spark, raw, tmp_path, last):
+    """Whatever was written before the crash, the next run gives the same tables."""
+    sound = Collection(spark, str(tmp_path / "sound"))
+    sound.run(str(raw))
+
+    class Broken(Collection):
+        def _write(self, df, name, batch):
+            super()._write(df, name, batch)
+            if name == last:
+                raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        Broken(spark, str(tmp_path / "one")).run(str(raw))
+    spark.catalog.clearCache()
+    one = Collection(spark, str(tmp_path / "one"))
+    assert one.finished() == 0
+    one.run(str(raw))
+    for name in ("merged", "preprocessed", "text_dedup", "seen_ids", "seen_texts"):
+        assert sorted(map(str, one.table(name).collect())) == sorted(map(str, sound.table(name).collect()))
+
+
 def test_preprocess(spark):
     df = spark.createDataFrame([("😀",), ("x",), ("y" * 2500,), (None,)], "`微博正文` string")
     got = sorted((len(r["cleaned_text"]), r["cleaned_text_with_emoji"][:10]) for r in preprocess(df).collect())
@@ -79,6 +101,7 @@ def test_lists_rules_and_reports(spark, tmp_path):
     assert [r["override_context_bucket"] for r in files.bucket_overrides(spark, str(tmp_path / "o.csv")).collect()] == ["b"]
     assert files.config(str(tmp_path / "c.toml")) == {"top": 1, "model": "m", "fixer_model": "f"}
     assert files.read_or_empty(spark, str(tmp_path / "none.csv"), "a string").count() == 0
+    assert files.workbook_layout([["id", "text"], ["1", "a"]], ["id", "text", "label"]) == (0, ["id", "text"])  # two known names are no header
     assert files.workbook_layout([["title"], ["ID", "Text", "Label"], ["1", "a", "b"]], ["id", "text", "label"]) == (2, ["id", "text", "label"])
     df = spark.createDataFrame([(1, "a|b")], "n int, t string")
     assert "a\\|b" in sinks.markdown(df, "T") and "<td>a|b</td>" in sinks.html({"T": df})
@@ -120,3 +143,17 @@ def test_stream_appends_each_text_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         stream.append_new(stream.document_stream(spark, source, schema), "text", state, target, str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(target).select("text").distinct().count() == spark.read.parquet(target).count() == 2 + k
+
+
+def test_mixed_tables(spark, tmp_path):
+    """Parquet and CSV of one pattern by column name; other kinds and empty patterns are errors."""
+    spark.createDataFrame([(1, "a")], "id long, text string").coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    (tmp_path / "two.csv").write_text("text,id,more\nb,2,x\n")
+    got = files.read_tables(spark, str(tmp_path / "*"))
+    assert sorted((r["id"], r["text"], r["more"]) for r in got.collect()) == [("1", "a", None), ("2", "b", "x")] and all(r["__input_file"] for r in got.collect())
+    assert files.read_tables(spark, str(tmp_path / "two.*")).columns == ["text", "id", "more", "__input_file"]
+    with pytest.raises(FileNotFoundError):
+        files.read_tables(spark, str(tmp_path / "none*"))
+    (tmp_path / "three.txt").write_text("x")
+    with pytest.raises(ValueError):
+        files.read_tables(spark, str(tmp_path / "*"))
