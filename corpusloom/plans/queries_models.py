@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, sampling
+from ..sources.sinks import shared_folder
 from ..streaming import ingest
 from . import ml
 
@@ -59,7 +58,7 @@ def streaming_period_counts(spark, sf) -> DataFrame:
     stream = ingest.document_stream(spark, sf, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string", "events.parquet")
     counts = ingest.period_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"])
     name = f"counts_{abs(hash(sf)) % 10**8}"
-    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    place = shared_folder(spark)
     query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{place}/{name}-{query_number(spark)}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).withColumn("start", F.date_format("start", "yyyy-MM-dd"))

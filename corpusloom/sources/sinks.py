@@ -7,11 +7,19 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 PART_ROWS = 200_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names; a temporary one in a local session without it, an error on a cluster."""
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root or "file://" + tempfile.mkdtemp()
+
+
 def append_parts(df: DataFrame, path: str, part_rows: int = PART_ROWS) -> None:
     df.write.mode("append").option("maxRecordsPerFile", part_rows).parquet(path)
 
