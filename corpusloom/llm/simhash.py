@@ -246,12 +246,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(groups.select("fp", F.col("component").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets have that Jaccard similarity or more; sets without elements are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
-
 def expected_difference(similarity: float) -> float:
     """Share of bits that differ between texts of equal size with that Jaccard similarity."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -340,9 +334,10 @@ class _Candidates:
                     for k in range(masks):
                         h = self.key(fps, k) + (v >> np.uint64(8)) % np.uint64(salts)
                         bucket = ((h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h.view(np.int64)), part.column("v"), part.column("n"), part.column("part"), blobs], ["bucket", "node", "v", "n", "part", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h.view(np.int64)), *part.columns], ["bucket", "node", *part.schema.names])
 
-        return rows.mapInArrow(deal, "bucket int, node long, v long, n long, part long, fp binary").groupBy("bucket")
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        return rows.mapInArrow(deal, f"bucket int, node long, {kinds}").groupBy("bucket")
 
     @staticmethod
     def columns(rows: pa.Table):
@@ -350,7 +345,7 @@ class _Candidates:
         return np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(rows.num_rows, -1), *(rows.column(c).to_numpy() for c in ("node", "v", "n", "part"))
 
     def hubs(self, rows: DataFrame, salts: int = 1, masks: int = 8) -> DataFrame:
-        """(a, b) of hubs and their members; of a few masks, since it only folds large groups."""
+        """(a, b) of members and their hub; of a few masks, since it only folds large groups."""
 
         def run(key, rows):
             fps, node, v, _, _ = self.columns(rows)
@@ -360,16 +355,18 @@ class _Candidates:
             for a, b in zip(start, [*start[1:], len(order)], strict=True):
                 at = order[a:b]
                 hub, member = hub_links(fps[at], self.limit[0])
-                out.append(np.stack([np.minimum(v[at[hub]], v[at[member]]), np.maximum(v[at[hub]], v[at[member]])]))
+                out.append(np.stack([v[at[member]], v[at[hub]]]))
             a, b = np.unique(np.concatenate(out, axis=1), axis=1)
             return pa.table({"a": a, "b": b})
 
         return self.dealt(rows, min(masks, len(self.masks)), salts).applyInArrow(run, "a long, b long").distinct()
 
     def pairs(self, rows: DataFrame) -> DataFrame:
-        """(a, b) of every pair of different parts that some mask brings together and whose bits and sizes allow the similarity.
+        """(a, b, sure) of every pair of different parts that some mask brings together and whose bits and sizes allow the similarity.
 
-        A pair is reported once, under the first mask on which it agrees.
+        A pair is reported once, under the first mask on which it agrees. Of two texts of one hub the distances to it say
+        more: they are no pair if those are further apart than pairs may be, and where both came with their differences from
+        the hub, their similarity is known: it is a sure pair or none.
         """
 
         def run(key, rows):
@@ -377,21 +374,38 @@ class _Candidates:
             root = np.unique(part, return_inverse=True)[1]
             grouped = np.where(np.bincount(root)[root] > 1, root + 1, 0)  # members of one part side by side, so that their nodes have one root
             order = np.lexsort((gray_rank(fps[:, 0]), grouped, node))
+            hub, near = (rows.column(c).fill_null(0).to_numpy()[order] for c in ("hub", "near"))
+            hubs, rows = rows.column("hubs").fill_null(0).to_numpy()[order], rows.take(pa.array(order))
+            known = rows.column("missing").is_valid().to_numpy()
             fps, v, n, root, node = fps[order], v[order], n[order], root[order], node[order]
-            out = [np.zeros((2, 0), np.int64)]
+            apart_most, sets = 1 - self.similarity + 1e-9, {}
+
+            def lists(k):
+                if k not in sets:
+                    sets[k] = [frozenset(np.frombuffer(rows.column(c)[k].as_buffer(), kind).tolist()) for c, kind in (("missing", np.uint32), ("extra", np.uint64))]
+                return sets[k]
+
+            def sure(x, y):
+                (mx, ex), (my, ey) = lists(x), lists(y)
+                both = hubs[x] - len(mx | my) + len(ex & ey)
+                return both >= self.similarity * (n[x] + n[y] - both) - 1e-9
+
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
             index = GrayIndex(fps, np.cumsum(np.diff(node, prepend=node[0]) != 0), root)
             for a, b in index.pairs(self.limit[1]):
                 small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-                keep = (small >= self.similarity * large - 1e-9) & ((small < FEW) | (apart(fps[a] ^ fps[b]) <= self.limit[0]))
-                a, b = a[keep], b[keep]
-                if len(a):
-                    own = self.first_met(fps[a], fps[b], node[a])
-                    a, b = v[a[own]], v[b[own]]
-                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-            a, b = np.concatenate(out, axis=1)
-            return pa.table({"a": a, "b": b})
+                same = (hub[a] == hub[b]) & (near[a] > 0) & (near[b] > 0)
+                keep = (small >= self.similarity * large - 1e-9) & ((small < FEW) | (apart(fps[a] ^ fps[b]) <= self.limit[0])) & ~(same & (np.abs(near[a] - near[b]) > apart_most))
+                a, b, same = a[keep], b[keep], same[keep]
+                own = self.first_met(fps[a], fps[b], node[a])
+                a, b, same = a[own], b[own], same[own] & known[a[own]] & known[b[own]]
+                good = ~same
+                good[same] = [sure(x, y) for x, y in zip(a[same].tolist(), b[same].tolist(), strict=True)]
+                out.append((v[a[good]], v[b[good]], same[good]))
+            a, b, certain = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": certain})
 
-        return self.dealt(rows, len(self.masks), 1).applyInArrow(run, "a long, b long")
+        return self.dealt(rows, len(self.masks), 1).applyInArrow(run, "a long, b long, sure boolean")
 
 
 def set_number(hashes: np.ndarray, check: int) -> int:
@@ -405,8 +419,13 @@ MOST_CLASHES = 10_000
 TABLE_BITS = 26
 
 
-def _confirmed(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float, shingle_words: int, clashes: set[int], number=set_number) -> DataFrame:
-    """Links (u, v) of those pairs (a, b) whose sets are alike; only texts of a pair move, picked by a table of bits."""
+#: Of texts this near to their hub the differences from it are kept.
+NEAR_HUB = 0.6
+
+
+def _compared(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle_words: int, clashes: set[int], number=set_number) -> DataFrame:
+    """(a, b, near, hubs, missing, extra) of pairs (a, b): their similarity, the size of b's set, and from NEAR_HUB on which of it a lacks
+    (places in the sorted set) and what a has besides. Only texts of a pair move, picked by a table of bits."""
     spark = pairs.sparkSession
     pairs = materialise(pairs)
     ids = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
@@ -446,16 +465,33 @@ def _confirmed(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similari
 
     def compare(batches):
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(left, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, batch.num_rows, 1000):
+                part, out = batch.slice(lo, 1000), []
+                for x, y in zip(part.column("left"), part.column("right"), strict=True):
+                    x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                    common = np.intersect1d(x, y, assume_unique=True)
+                    near = len(common) / max(1, len(x) + len(y) - len(common)) if len(x) + len(y) else 1.0
+                    close = near >= NEAR_HUB
+                    out.append((near, len(y), np.flatnonzero(~np.isin(y, common, assume_unique=True)).astype(np.uint32).tobytes() if close else None, np.setdiff1d(x, common, assume_unique=True).tobytes() if close else None))
+                near, size, missing, extra = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(near, pa.float64()), pa.array(size, pa.int64()), pa.array(missing, pa.binary()), pa.array(extra, pa.binary())], ["a", "b", "near", "hubs", "missing", "extra"])
 
     few = materialise(texts.select("t", "text").mapInArrow(pick, "v long, set binary").dropDuplicates(["v"]))
     both = pairs.join(few.select(F.col("v").alias("a"), F.col("set").alias("left")), "a").join(few.select(F.col("v").alias("b"), F.col("set").alias("right")), "b")
-    links = materialise(both.select("a", "b", "left", "right").mapInArrow(compare, "u long, v long"))
+    out = materialise(both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, near double, hubs long, missing binary, extra binary"))
     for t in (pairs, ids, few):
         drop_table(t)
-    return links
+    return out
+
+
+def _with_hubs(vertices: DataFrame, compared: DataFrame, similarity: float) -> DataFrame:
+    """Adds to (v, ...) one hub each and what is known of it: that of most members, where not all of its members are alike to it."""
+    hubs = compared.groupBy("b").agg(F.count("*").alias("_members"), F.min("near").alias("_least"), F.first("hubs").alias("hubs")).where(F.col("_least") < similarity)
+    none = F.unhex(F.lit(""))
+    itself = hubs.select(F.col("b").alias("v"), F.struct("_members", F.col("b").alias("hub"), F.lit(1.0).alias("near"), "hubs", none.alias("missing"), none.alias("extra")).alias("h"))
+    held = compared.drop("hubs").join(hubs, "b").select(F.col("a").alias("v"), F.struct("_members", F.col("b").alias("hub"), "near", "hubs", "missing", "extra").alias("h"))
+    best = held.unionByName(itself).groupBy("v").agg(F.max("h").alias("h"))
+    return vertices.join(best, "v", "left").select(*vertices.columns, *(F.col(f"h.{c}").alias(c) for c in ("hub", "near", "hubs", "missing", "extra")))
 
 
 def _groups(docs: DataFrame, similarity: float, id_col: str, text_col: str, shingle_words: int, recall: float, salt_rows: int = 1 << 20, number=set_number) -> DataFrame:
@@ -489,22 +525,26 @@ def _groups(docs: DataFrame, similarity: float, id_col: str, text_col: str, shin
         distinct = materialise(rows.groupBy("v").agg(*(F.min(F.coalesce("doc_id", last) if c == "rep" else c).alias(c) for c in ("rep", "t", "n", "fp"))))
     count = distinct.count()
     index = _Candidates(spark, count, similarity, recall)
-    confirmed = lambda pairs: _confirmed(pairs, distinct, texts, similarity, shingle_words, clashes, number)
+    compared = lambda pairs: _compared(pairs, distinct, texts, shingle_words, clashes, number)
+    alike = lambda rows: rows.where(F.col("near") >= similarity - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     # first members of large groups with their hubs, so that these fold before pairs are made
     vertices = distinct.select("v", "n", F.col("v").alias("part"), "fp")
     salts = -(-count // salt_rows)
-    links = confirmed(index.hubs(vertices, salts))
+    held = compared(index.hubs(vertices, salts))
     if salts > 1:  # groups of one node that were folded apart, by their roots
-        roots = components(links).select(F.col("root").alias("v")).distinct()
-        links = links.union(confirmed(index.hubs(vertices.join(roots, "v", "left_semi"))))
-    folded = components(links)
+        roots = components(alike(held)).select(F.col("root").alias("v")).distinct()
+        held = held.union(compared(index.hubs(vertices.join(roots, "v", "left_semi"))))
+    folded = components(alike(held))
     # then every pair of different groups
-    parts = materialise(vertices.drop("part").join(folded.withColumnRenamed("root", "part"), "v", "left").withColumn("part", F.coalesce("part", "v")))
-    links = links.union(confirmed(index.pairs(parts)))
+    parts = vertices.drop("part").join(folded.withColumnRenamed("root", "part"), "v", "left").withColumn("part", F.coalesce("part", "v"))
+    parts = materialise(_with_hubs(parts.select("v", "n", "part", "fp"), held, similarity))
+    pairs = materialise(index.pairs(parts))
+    other = compared(pairs.where("not sure").select("a", "b"))
+    links = alike(held).union(alike(other)).union(pairs.where("sure").select("a", "b"))
     kept = materialise(rows.select("doc_id", "digest", "v"))
     out = _labelled(distinct.select("v", "rep"), components(links), kept)
-    for t in (rows, distinct, parts, links):
+    for t in (rows, distinct, parts, held, pairs, other):
         drop_table(t)
     return out
 
