@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage. None of them has a SQL counterpart: all work on bytes, models or graphs."""
+"""The registered queries of this subpackage. Most have no SQL counterpart, as they work on bytes, models or graphs."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from .quality import op5_quality
 from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_array_dedup
 from .token_counts import op9_token_counts
+from .vector_codes import ORACLE as VECTOR_CODES
+from .vector_codes import op11_vector_codes
 from .warc import op10_warc_fixity
 
 QUERIES = {
@@ -24,5 +26,6 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_token_counts": op9_token_counts,
     "op10_warc_fixity": op10_warc_fixity,
+    "op11_vector_codes": op11_vector_codes,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_vector_codes": VECTOR_CODES}
