@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .conversations import ORACLE as CONVERSATIONS
+from .conversations import op12_conversation_repair
 from .fracsketch import op6_fingerprints
 from .langid import op7_langid
 from .media import op8_media
@@ -27,5 +29,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_warc_fixity": op10_warc_fixity,
     "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_repair": op12_conversation_repair,
 }
-SQL: dict[str, str] = {"op11_vector_codes": VECTOR_CODES}
+SQL: dict[str, str] = {"op11_vector_codes": VECTOR_CODES, "op12_conversation_repair": CONVERSATIONS}
