@@ -7,6 +7,7 @@ from .conversations import ORACLE as CONVERSATIONS
 from .conversations import op12_conversation_repair
 from .fracsketch import op6_fingerprints
 from .langid import op7_langid
+from .licences import op13_licence_scan
 from .media import op8_media
 from .packing import op2_packing
 from .quality import op5_quality
@@ -30,5 +31,6 @@ QUERIES = {
     "op10_warc_fixity": op10_warc_fixity,
     "op11_vector_codes": op11_vector_codes,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_licence_scan": op13_licence_scan,
 }
 SQL: dict[str, str] = {"op11_vector_codes": VECTOR_CODES, "op12_conversation_repair": CONVERSATIONS}
