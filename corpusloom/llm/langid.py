@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import bounded_texts, id_and_text, labelled_sample, table, unused, with_text_results
 
 SLOTS = 1 << 12
-#: Characters counted at a time; counts of parts add up to those of the whole text.
+#: Characters counted at a time. The last two bytes of a part go before the next one, so counts of parts add up to those of the whole text.
 PART = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 # letters below 128 and all bytes above stay, others become spaces
@@ -25,10 +25,12 @@ UNKNOWN = "und"
 
 
 def shares(text: str) -> np.ndarray:
-    """Square roots of the shares of hashed byte 1- to 3-grams, letters only and in lower case."""
-    total = np.zeros(SLOTS)
-    for k in range(0, max(1, len(text)), PART):
-        b = np.frombuffer(b" " + text[k : k + PART].lower().encode("utf-8", "replace").translate(LETTERS) + b"  ", np.uint8).astype(np.uint32)
+    """Square roots of the shares of hashed byte 2- and 3-grams, letters only and in lower case."""
+    total, low, rest = np.zeros(SLOTS), text.lower(), b" "
+    for k in range(0, max(1, len(low)), PART):
+        end = b"" if k + PART < len(low) else b"  "
+        piece = rest + low[k : k + PART].encode("utf-8", "replace").translate(LETTERS) + end
+        b, rest = np.frombuffer(piece, np.uint8).astype(np.uint32), piece[-2:]
         two = b[:-1] | (b[1:] << np.uint32(8))
         three = two[:-1] | (b[2:] << np.uint32(16))
         keep = ((b[:-1] != 32) | (b[1:] != 32))[:-1]

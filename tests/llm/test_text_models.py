@@ -109,6 +109,21 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in got if r["held_out"]]) > 0.98
 
 
+def test_parts_of_a_text_are_counted_as_the_whole(monkeypatch):
+    """Letters, marks of several bytes, capitals that grow in lower case and a final sigma at the seams."""
+    text = "Straße ΟΔΟΣ, İstanbul 日本語 zwei\n" * 40
+    whole = langid.shares(text)
+    for size in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(langid, "PART", size)
+        assert np.array_equal(langid.shares(text), whole) and np.array_equal(langid.shares(""), np.zeros(langid.SLOTS, np.float32))
+    monkeypatch.undo()
+    long = text * 2500
+    monkeypatch.setattr(langid, "PART", 1 << 30)
+    once = langid.shares(long)
+    monkeypatch.undo()
+    assert len(long) > 3_000_000 and np.array_equal(langid.shares(long), once)
+
+
 def test_language_odd_documents(spark, odd_documents, no_documents):
     model = CodedLanguages.fit(["the words of it", "die Worte und das", "les mots de la"] * 10, ["en", "de", "fr"] * 10)
     rows = languages(odd_documents, model).collect()
