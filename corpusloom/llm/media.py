@@ -63,6 +63,7 @@ class Value:
         self.data = data
         self.places: dict[bytes, list[int]] = {}
         self.ends: dict[str, dict[int, int]] = {}
+        self.chains: dict[str, dict[int, tuple[int, int, int]]] = {}
 
     def find_all(self, token: bytes) -> list[int]:
         """Where the token starts, in order."""
@@ -88,6 +89,25 @@ class Value:
         ends.update(dict.fromkeys(path, out))
         return out
 
+    def chain(self, kind: str, p: int, step) -> dict[int, tuple[int, int, int]]:
+        """(next block, blocks to the end of the chain, a block further on to skip to) of each block from p on; `step` gives the next one or None.
+
+        Skips lengthen as in a skew binary number, so any place or number of blocks ahead is found in logarithmic time.
+        """
+        known, path = self.chains.setdefault(kind, {}), []
+        while p not in known:
+            path.append(p)
+            if (after := step(p)) is None:
+                known[path.pop()] = (p, 0, p)
+                break
+            p = after
+        for q in reversed(path):
+            _, depth, skip = known[p]
+            far, further = known[skip][1], known[known[skip][2]][1]
+            known[q] = (p, depth + 1, known[skip][2] if depth - far == far - further else p)
+            p = q
+        return known
+
 
 # Validators: length of a well-formed item of the format that starts at `at`, or 0.
 
@@ -99,10 +119,16 @@ def _riff(v: Value, at: int) -> int:
     size = struct.unpack_from("<I", b, at + 4)[0] + 8
     if b[at + 8 : at + 12] not in RIFF_TYPES or at + size > len(b) or size < 20:
         return 0
-    p = at + 12
-    while p + 8 <= at + size:
+
+    def chunk(p: int):
+        if p + 8 > len(b):
+            return None
         n = struct.unpack_from("<I", b, p + 4)[0]
-        p += 8 + n + n % 2
+        return p + 8 + n + n % 2
+
+    p, chain = at + 12, v.chain("riff", at + 12, chunk)
+    while p < at + size and chain[p][1]:
+        p = chain[p][2] if chain[p][2] <= at + size else chain[p][0]
     return size if p == at + size else 0
 
 
@@ -321,11 +347,11 @@ def _midi(v: Value, at: int) -> int:
     if len(b) < at + 14 or b[at + 4 : at + 8] != b"\0\0\0\6":
         return 0
     tracks, p = struct.unpack_from(">H", b, at + 10)[0], at + 14
-    for _ in range(tracks):
-        if b[p : p + 4] != b"MTrk":
-            return 0
-        p += 8 + struct.unpack_from(">I", b, p + 4)[0] if p + 8 <= len(b) else len(b) + 1
-    return p - at if tracks and p <= len(b) else 0
+    chain = v.chain("midi", p, lambda p: p + 8 + struct.unpack_from(">I", b, p + 4)[0] if b[p : p + 4] == b"MTrk" and p + 8 <= len(b) else None)
+    left = chain[p][1] - tracks
+    while left >= 0 and chain[p][1] > left:
+        p = chain[p][2] if chain[chain[p][2]][1] >= left else chain[p][0]
+    return p - at if tracks and left >= 0 and p <= len(b) else 0
 
 
 #: Magic bytes, type and validator of each format.

@@ -252,6 +252,66 @@ def test_repeated_magic_costs_no_more(piece):
     assert time.process_time() - began < 4
 
 
+def plain_riff(b, at):
+    if len(b) < at + 12:
+        return 0
+    size = struct.unpack_from("<I", b, at + 4)[0] + 8
+    if b[at + 8 : at + 12] not in media.RIFF_TYPES or at + size > len(b) or size < 20:
+        return 0
+    p = at + 12
+    while p + 8 <= at + size:
+        n = struct.unpack_from("<I", b, p + 4)[0]
+        p += 8 + n + n % 2
+    return size if p == at + size else 0
+
+
+def plain_midi(b, at):
+    if len(b) < at + 14 or b[at + 4 : at + 8] != b"\0\0\0\6":
+        return 0
+    tracks, p = struct.unpack_from(">H", b, at + 10)[0], at + 14
+    for _ in range(tracks):
+        if b[p : p + 4] != b"MTrk" or p + 8 > len(b):
+            return 0
+        p += 8 + struct.unpack_from(">I", b, p + 4)[0]
+    return p - at if tracks and p <= len(b) else 0
+
+
+def nested_riff(items, size, tail=b""):
+    """Headers inside the chunks of headers before them; the sizes are those of the whole rest."""
+    unit = lambda k: b"RIFF" + struct.pack("<I", max(12, size(k))) + b"WAVE" + b"fmt " + struct.pack("<I", 0)
+    out = b""
+    for k in range(items):
+        out += b"data" + struct.pack("<I", 12) + unit(k)[:12]
+    return b"RIFF" + struct.pack("<I", 4 + len(out)) + b"WAVE" + out + tail
+
+
+def nested_midi(items, tracks):
+    return b"".join(b"MTrk" + struct.pack(">I", 14) + b"MThd\0\0\0\6\0\1" + struct.pack(">H", tracks(k)) + b"\0`" for k in range(items))
+
+
+def test_chains_are_followed_as_one_by_one():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(rng.integers(1, 30))
+        sizes, counts = rng.integers(0, 22 * n, n), rng.integers(0, n + 3, n)
+        for data, plain, found, magic in ((nested_riff(n, lambda k: int(sizes[k]), b"xy"), plain_riff, media._riff, b"RIFF"), (nested_riff(n, lambda k: 20 * (n - k) - 8 - 8, b""), plain_riff, media._riff, b"RIFF"), (nested_midi(n, lambda k: int(counts[k])), plain_midi, media._midi, b"MThd")):
+            v, places = media.Value(data), [k for k in range(len(data)) if data.startswith(magic, k)]
+            for at in rng.permutation(places).tolist():
+                assert found(v, at) == plain(data, at)
+
+
+@pytest.mark.parametrize("kind", ["riff", "midi", "midi of one"])
+def test_nested_headers_cost_no_more(kind):
+    import time
+
+    n = 600_000 // 22
+    data = nested_riff(n, lambda k: 20 * (n - k) - 8) if kind == "riff" else nested_midi(n, lambda k: 9000 if kind == "midi" else 1)
+    assert len(data) > 500_000
+    began = time.process_time()
+    media.sniff(data)
+    assert time.process_time() - began < 4
+
+
 def test_names_that_clash(spark):
     rows = spark.createDataFrame([(1, media.wav(bytes(64)), "x", 1.5, "m", "d")], "doc_id long, media binary, feature string, samples double, _media string, `_declared` string")
     out = media.sniffed_media(rows, declared_col="_declared", carry=("doc_id", "feature", "samples", "_media", "_declared"))
