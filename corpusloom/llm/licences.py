@@ -117,6 +117,10 @@ class Scanner:
         for t in index.templates:
             distinct = sorted(set(t.tolist()), key=lambda w: (-rarity[w], w))
             self.postings.append([(w, np.flatnonzero(t == w)) for w in distinct])
+        # the share of each template's weight that each licence word has: what a file has of it in all bounds what can stand in place
+        self.shares = np.zeros((len(index.templates), len(index.ids)))
+        for k, t in enumerate(index.templates):
+            np.add.at(self.shares[k], t, (rarity[t] + 1e-9) / (rarity[t] + 1e-9).sum())
 
     def candidates(self, k: int, where: dict[int, np.ndarray]) -> np.ndarray:
         """Starts of template k that enough of its rarest words in the file agree on; where: places of words in the file."""
@@ -164,7 +168,8 @@ class Scanner:
         which, first = np.unique(ids[order], return_index=True)
         where = dict(zip(which.tolist(), np.split(order, first[1:]), strict=True))
         found = []
-        for k, template in enumerate(self.index.templates):
+        for k in np.flatnonzero(self.shares[:, which].sum(1) >= self.least - 1e-9).tolist():
+            template = self.index.templates[k]
             starts = self.candidates(k, where)
             if len(starts) and (best := self.verified(k, ids, starts)):
                 at, share = best
