@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
 import tomllib
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip, truthy
 from ..operators.resolve import unique_headers
@@ -94,26 +98,76 @@ def matching_files(spark: SparkSession, pattern: str) -> list[str]:
     return files
 
 
+def _headers(spark: SparkSession, files: Sequence[str], threads: int = 16) -> list[list[str]]:
+    """Column names of each CSV file: its first record, of which no more than needed is read. Empty files have none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def header(file: str) -> list[str]:
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        stream = path.getFileSystem(conf).open(path)
+        stream = codec.createInputStream(stream) if codec else stream
+        try:
+            data, size = b"", 1 << 14
+            while True:
+                more = bytes(stream.readNBytes(size))
+                data, size = data + more, 2 * size
+                text = data.decode("utf-8-sig", "ignore").lstrip("\r\n")
+                ends = [m.start() for m in re.finditer("[\r\n]", text)]
+                end = next((k for k in ends if text.count('"', 0, k) % 2 == 0), None)
+                if end is not None or len(more) < size // 2:
+                    return unique_headers(next(csv.reader(io.StringIO(text[:end], newline=""), strict=False), []))
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(header, files))
+
+
+def _alike(spark: SparkSession, files: Sequence[str]) -> list[DataFrame]:
+    """Parquet files as one table where their types fit together, else one for each schema."""
+    read = lambda some: spark.read.option("mergeSchema", True).parquet(*some)
+    try:
+        return [read(files)]
+    except (Py4JJavaError, PySparkException) as problem:
+        if "CANNOT_MERGE_SCHEMAS" not in str(problem):
+            raise
+        by: dict[str, list[str]] = {}
+        for f in files:
+            by.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
+        return [read(some) for some in by.values()]
+
+
 def read_tables(spark: SparkSession, pattern: str, origin: str = "__input_file") -> DataFrame:
-    """Parquet and CSV files of a pattern as one table by column name, with each row's file.
+    """Parquet and CSV files of a pattern as one table by column name, with each row's whole path.
 
-    Columns that a file lacks are null there; one of different types in both kinds is text. Other kinds of files are an error.
+    Each CSV file has its columns in an order of its own, blank and repeated names as in `unique_headers`; files of one
+    header are read together, all cells as text. Columns that a file lacks are null there; one of different types is text. Other
+    kinds of files are an error.
     """
     files = matching_files(spark, pattern)
     by = {kind: [f for f in files if re.search(rf"\.{kind}(\.\w+)?$", f)] for kind in ("parquet", "csv")}
     if odd := sorted(set(files) - set(by["parquet"]) - set(by["csv"])):
         raise ValueError(f"neither Parquet nor CSV: {odd[:3]}")
-    tables = []
-    for kind, some in by.items():
-        if some:
-            reader = spark.read.option("header", True).option("multiLine", True).option("mergeSchema", True)
-            tables.append(reader.format(kind).load(some).withColumn(origin, F.col("_metadata.file_name") if kind == "parquet" else F.element_at(F.split(F.input_file_name(), "/"), -1)))
-    if len(tables) == 1:
-        return tables[0]
-    kinds = [dict(t.dtypes) for t in tables]
-    clash = [c for c in kinds[0] if c in kinds[1] and kinds[0][c] != kinds[1][c]]
-    a, b = (t.withColumns({c: F.col(f"`{c}`").cast("string") for c in clash}) if clash else t for t in tables)
-    return a.unionByName(b, allowMissingColumns=True)
+    tables = _alike(spark, by["parquet"]) if by["parquet"] else []
+    of_header: dict[tuple[str, ...], list[str]] = {}
+    for file, header in zip(by["csv"], _headers(spark, by["csv"]), strict=True):
+        of_header.setdefault(tuple(header), []).append(file)
+    for header, some in of_header.items():
+        if header:
+            reader = spark.read.schema(StructType([StructField(c, StringType()) for c in header]))
+            tables.append(reader.option("header", True).option("multiLine", True).option("escape", '"').csv(some))
+    if not tables:
+        return spark.createDataFrame([], f"`{origin}` string")
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    tables = [t.withColumn(origin, F.regexp_replace(path, "^file:/+", "/")) for t in tables]
+    kinds: dict[str, set[str]] = {}
+    for t in tables:
+        for c, kind in t.dtypes:
+            kinds.setdefault(c, set()).add(kind)
+    text = {c for c, found in kinds.items() if len(found) > 1}
+    tables = [t.withColumns({c: F.col(f"`{c}`").cast("string") for c in t.columns if c in text}) if text & set(t.columns) else t for t in tables]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType | str, required: bool = False) -> DataFrame:

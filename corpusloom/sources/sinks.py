@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,22 @@ def shared_folder(spark: SparkSession) -> str:
     return root or "file://" + tempfile.mkdtemp()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read again: lineage ends here, and lost executors lose nothing."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that `written` made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def append_parts(df: DataFrame, path: str, part_rows: int = PART_ROWS) -> None:
     df.write.mode("append").option("maxRecordsPerFile", part_rows).parquet(path)
 

@@ -157,3 +157,29 @@ def test_mixed_tables(spark, tmp_path):
     (tmp_path / "three.txt").write_text("x")
     with pytest.raises(ValueError):
         files.read_tables(spark, str(tmp_path / "*"))
+
+
+def test_tables_of_any_column_order(spark, tmp_path):
+    """Three orders, missing and extra columns, quotes, marks and odd names in CSV files, and Parquet files of other types."""
+    root = tmp_path / "in put 话+题"
+    root.mkdir()
+    (root / "a.csv").write_text("id,text,keyword\n1,hello,k1\n")
+    (root / "b.csv").write_text("\ufeffkeyword,id,text\nk2,2,world\n", encoding="utf-8")
+    (root / "c.csv").write_text('id,extra,text\r\n3,x,"a ""quoted"", \nline"\r\n')
+    (root / "d.csv").write_text('"two\nlines",id,id,\nv,4,5,6\n')
+    (root / "e.csv").write_text("")
+    (root / "f.csv").write_text("id,text,keyword\n7,again,k7\n")
+    spark.createDataFrame([(8, 1.5)], "id long, score double").coalesce(1).write.parquet(str(root / "p.parquet"))
+    spark.createDataFrame([("9", 2)], "id string, score long").coalesce(1).write.parquet(str(root / "q.parquet"))
+    got = files.read_tables(spark, str(root / "*"))
+    rows = {r["id"]: r.asDict() for r in got.collect()}
+    pick = lambda k, *c: tuple(rows[k][x] for x in c)
+    assert len(rows) == 7 and all(pick(k, "text", "keyword", "extra") == v for k, v in {"1": ("hello", "k1", None), "2": ("world", "k2", None), "3": ('a "quoted", \nline', None, "x"), "7": ("again", "k7", None), "8": (None,) * 3}.items())
+    assert pick("4", "two\nlines", "id__2", "unnamed_4") == ("v", "5", "6")
+    assert (rows["8"]["score"], rows["9"]["score"]) == ("1.5", "2")
+    assert rows["2"]["__input_file"] == str(root / "b.csv") and rows["8"]["__input_file"].startswith(str(root / "p.parquet"))
+    import gzip
+
+    (root / "g.csv.gz").write_bytes(gzip.compress(("x" * 40_000 + ",id\nlong header,10\n").encode()))
+    assert files.read_tables(spark, str(root / "g*")).columns == ["x" * 40_000, "id", "__input_file"]
+    assert files.read_tables(spark, str(root / "e*")).collect() == []
