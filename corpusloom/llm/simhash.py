@@ -297,6 +297,19 @@ def hub_links(fps: np.ndarray, limit: int, least: int = 8) -> tuple[np.ndarray,
     return np.concatenate([none, *hubs]), np.concatenate([none, *members])
 
 
+def shared_signs(v: np.ndarray, hub: np.ndarray, extra: pa.ChunkedArray, words: int = 4) -> np.ndarray:
+    """Bits of what a text has besides its hub's shingles and another text of the hub has too: without a common bit, two share nothing of it."""
+    out = np.zeros((len(v), words), np.uint64)
+    blobs = [np.frombuffer(x, np.uint64) if x else np.zeros(0, np.uint64) for x in extra.to_pylist()]
+    first = np.unique(v, return_index=True)[1]  # a text is here once for each mask
+    row, value = np.repeat(first, [len(blobs[k]) for k in first]), np.concatenate([np.zeros(0, np.uint64), *(blobs[k] for k in first)])
+    key = (value ^ hub[row].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    count = np.unique(key, return_inverse=True, return_counts=True)
+    bit = key[(common := count[2][count[1]] > 1)] >> np.uint64(56)
+    np.bitwise_or.at(out, (row[common], (bit >> np.uint64(6)).astype(np.int64) % words), np.uint64(1) << (bit & np.uint64(63)))
+    return out[first[np.unique(v, return_inverse=True)[1]]]
+
+
 class _Candidates:
     """Pairs of (v, n, part, fp) that may be alike: nodes of an index under masks, spread over the cluster."""
 
@@ -391,17 +404,30 @@ class _Candidates:
                 return both >= self.similarity * (n[x] + n[y] - both) - 1e-9
 
             out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
-            index = GrayIndex(fps, np.cumsum(np.diff(node, prepend=node[0]) != 0), root)
-            for a, b in index.pairs(self.limit[1]):
-                small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-                same = (hub[a] == hub[b]) & (near[a] > 0) & (near[b] > 0)
-                keep = (small >= self.similarity * large - 1e-9) & ((small < FEW) | (apart(fps[a] ^ fps[b]) <= self.limit[0])) & ~(same & (np.abs(near[a] - near[b]) > apart_most))
-                a, b, same = a[keep], b[keep], same[keep]
-                own = self.first_met(fps[a], fps[b], node[a])
-                a, b, same = a[own], b[own], same[own] & known[a[own]] & known[b[own]]
-                good = ~same
-                good[same] = [sure(x, y) for x, y in zip(a[same].tolist(), b[same].tolist(), strict=True)]
-                out.append((v[a[good]], v[b[good]], same[good]))
+            lacking = np.array([len(x) for x in rows.column("missing").fill_null(b"").to_pylist()]) // 4
+            signs = shared_signs(v, hub, rows.column("extra"))
+            # texts of few shingles may differ in more bits; they have an index of their own, with those that are large enough to be like them
+            for some, limit in ((np.flatnonzero(n >= FEW), self.limit[0]), (np.flatnonzero(n < FEW / self.similarity + 1), self.limit[1])):
+                if not len(some):
+                    continue
+                index = GrayIndex(fps[some], np.cumsum(np.diff(node[some], prepend=node[some[0]]) != 0), root[some])
+                for a, b in index.pairs(limit):
+                    a, b = some[a], some[b]
+                    small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+                    keep = (small >= self.similarity * large - 1e-9) & ((limit == self.limit[0]) | (small < FEW))
+                    a, b = a[keep], b[keep]
+                    same = (hub[a] == hub[b]) & (near[a] > 0) & (near[b] > 0)
+                    # what both have at least to be alike, and at most if they share nothing that the hub lacks
+                    least = np.ceil(self.similarity * (n[a] + n[b]) / (1 + self.similarity) - 1e-6)
+                    most = hubs[a] - np.maximum(lacking[a], lacking[b])
+                    strange = known[a] & known[b] & (most < least) & ~(signs[a] & signs[b]).any(axis=1)
+                    keep = ~(same & ((np.abs(near[a] - near[b]) > apart_most) | strange))
+                    a, b, same = a[keep], b[keep], same[keep]
+                    own = self.first_met(fps[a], fps[b], node[a])
+                    a, b, same = a[own], b[own], same[own] & known[a[own]] & known[b[own]]
+                    good = ~same
+                    good[same] = [sure(x, y) for x, y in zip(a[same].tolist(), b[same].tolist(), strict=True)]
+                    out.append((v[a[good]], v[b[good]], same[good]))
             a, b, certain = (np.concatenate(x) for x in zip(*out, strict=True))
             return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": certain})
 
@@ -485,15 +511,32 @@ def _compared(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, shingle_w
 
 
 def _with_hubs(vertices: DataFrame, compared: DataFrame, similarity: float) -> DataFrame:
-    """Adds to (v, ...) one hub each and what is known of it: that of most members, where not all of its members are alike to it."""
+    """Adds to (v, ...) one hub each and what is known of it: that of most members, differences known, where not all of its members are alike to it."""
     hubs = compared.groupBy("b").agg(F.count("*").alias("_members"), F.min("near").alias("_least"), F.first("hubs").alias("hubs")).where(F.col("_least") < similarity)
     none = F.unhex(F.lit(""))
-    itself = hubs.select(F.col("b").alias("v"), F.struct("_members", F.col("b").alias("hub"), F.lit(1.0).alias("near"), "hubs", none.alias("missing"), none.alias("extra")).alias("h"))
-    held = compared.drop("hubs").join(hubs, "b").select(F.col("a").alias("v"), F.struct("_members", F.col("b").alias("hub"), "near", "hubs", "missing", "extra").alias("h"))
+    itself = hubs.select(F.col("b").alias("v"), F.struct(F.lit(True).alias("_known"), "_members", F.col("b").alias("hub"), F.lit(1.0).alias("near"), "hubs", none.alias("missing"), none.alias("extra")).alias("h"))
+    held = compared.drop("hubs").join(hubs, "b").select(F.col("a").alias("v"), F.struct(F.col("missing").isNotNull().alias("_known"), "_members", F.col("b").alias("hub"), "near", "hubs", "missing", "extra").alias("h"))
     best = held.unionByName(itself).groupBy("v").agg(F.max("h").alias("h"))
     return vertices.join(best, "v", "left").select(*vertices.columns, *(F.col(f"h.{c}").alias(c) for c in ("hub", "near", "hubs", "missing", "extra")))
 
 
+def _main_hubs(held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of texts and the main hub b of their family: families are hubs, not all of whose members are alike to them, and members that they share.
+
+    Texts made from one template come under many hubs, and only those of one hub can be told apart by their differences from it.
+    """
+    hubs = held.groupBy("b").agg(F.count("*").alias("_members"), F.min("near").alias("_least")).where(F.col("_least") < similarity).select("b", "_members")
+    near = materialise(held.where(F.col("near") >= NEAR_HUB).select("a", "b").join(hubs, "b").select("a", "b", "_members"))
+    roots = components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    roots = materialise(roots.union(roots.select(F.col("root").alias("v"), "root")).distinct())
+    main = near.select(F.col("b").alias("v"), "_members").distinct().join(roots, "v").groupBy("root").agg(F.max(F.struct("_members", "v")).alias("m"))
+    pairs = roots.join(main.select("root", F.col("m.v").alias("b")), "root").where("v <> b").select(F.col("v").alias("a"), "b")
+    out = materialise(pairs)
+    drop_table(near)
+    drop_table(roots)
+    return out
+
+
 def _groups(docs: DataFrame, similarity: float, id_col: str, text_col: str, shingle_words: int, recall: float, salt_rows: int = 1 << 20, number=set_number) -> DataFrame:
     """doc_id long, digest string (of the text), root long and component_id long of each row of `docs`."""
     spark = docs.sparkSession
@@ -536,15 +579,17 @@ def _groups(docs: DataFrame, similarity: float, id_col: str, text_col: str, shin
         roots = components(alike(held)).select(F.col("root").alias("v")).distinct()
         held = held.union(compared(index.hubs(vertices.join(roots, "v", "left_semi"))))
     folded = components(alike(held))
+    # all of a family measured from one hub
+    main = compared(_main_hubs(held, similarity))
     # then every pair of different groups
     parts = vertices.drop("part").join(folded.withColumnRenamed("root", "part"), "v", "left").withColumn("part", F.coalesce("part", "v"))
-    parts = materialise(_with_hubs(parts.select("v", "n", "part", "fp"), held, similarity))
+    parts = materialise(_with_hubs(parts.select("v", "n", "part", "fp"), held.union(main), similarity))
     pairs = materialise(index.pairs(parts))
     other = compared(pairs.where("not sure").select("a", "b"))
-    links = alike(held).union(alike(other)).union(pairs.where("sure").select("a", "b"))
+    links = alike(held).union(alike(main)).union(alike(other)).union(pairs.where("sure").select("a", "b"))
     kept = materialise(rows.select("doc_id", "digest", "v"))
     out = _labelled(distinct.select("v", "rep"), components(links), kept)
-    for t in (rows, distinct, parts, held, pairs, other):
+    for t in (rows, distinct, parts, held, main, pairs, other):
         drop_table(t)
     return out
 

@@ -126,3 +126,20 @@ def test_recall_on_the_documents(spark, sf):
     """Links of all pairs 0.8 alike or more are found, and no others, on whole tables."""
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect())
     assert found(spark, rows) == dict(zip((d for d, _ in rows), brute_force(rows), strict=True))
+
+
+def test_texts_of_one_template(spark):
+    """Most pairs are some 0.63 alike, some above 0.8, a few of few words; nothing is linked that all pairs don't link, and nothing left out."""
+    import random
+
+    r = random.Random(7)
+    base, short = [f"w{r.randint(0, 9999)}" for _ in range(120)], [f"s{k}" for k in range(22)]
+    texts = []
+    for _ in range(150):
+        w, at = list(base), r.randint(0, 108)
+        w[at : at + 12] = [f"x{r.randint(0, 40)}" for _ in range(12)]
+        texts.append(" ".join(w))
+    texts += [" ".join(t.split()[:-2]) for t in texts[:5]] + [" ".join([*short[:k], *short[k + 1 :]]) for k in range(0, 22, 3)]
+    want = brute_force(list(enumerate(texts)))
+    got = similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(want)) and 50 < len(set(want)) < len(texts)
