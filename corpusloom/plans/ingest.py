@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_post, emoji_names, emoji_placeholder
 from ..operators.dedup import changed_files, dedup_by_id, dedup_by_text
 from ..sources.files import RAW_COLUMNS, raw_files, read_raw_csv
-from ..sources.sinks import PART_ROWS, export_csv, save_json
+from ..sources.sinks import PART_ROWS, dropped, export_csv, save_json, written
 
 SHORTEST, LONGEST = 2, 2000
 TEXT = "微博正文"
@@ -78,9 +78,10 @@ class Collection:
             self.reset()
         manifest, batch = self.table("manifest", MANIFEST), self.finished() + 1
         latest = manifest.groupBy("path").agg(F.max_by(F.struct("size", "mtime_ns"), "seen_at").alias("_s")).select("path", "_s.*")
-        found = changed_files(raw_files(self.spark, raw), latest)
-        files = found.drop("content").cache()
-        rows = read_raw_csv(found).cache()
+        # names, sizes and times first; then only files that changed are opened, and no content meets the manifest
+        files = written(changed_files(raw_files(self.spark, raw).drop("content"), latest))
+        changed = [r["file"] for r in files.select("file").collect()]  # the driver lists files anyway
+        rows = read_raw_csv(raw_files(self.spark, raw, changed)).cache()
         failed = rows.where("error is not null").select(F.col("source_file").alias("path")).distinct()
         good = rows.where("error is null")
         new, counts, ids = dedup_by_id(good, self.table("seen_ids", "h string"), ORDER)
@@ -96,8 +97,9 @@ class Collection:
         self._write(unique.select("h"), "seen_texts", batch)
         now = datetime.datetime.now(datetime.UTC).isoformat()
         self._write(files.join(failed, "path", "left_anti").select("path", "size", "mtime_ns", "keyword", F.lit(now).alias("seen_at")), "manifest", batch)
-        for df in (files, rows, new, clean, unique):
+        for df in (rows, new, clean, unique):
             df.unpersist()
+        dropped(files)
         return report
 
     def status(self) -> dict:

@@ -15,7 +15,7 @@ from pathlib import Path
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -23,6 +23,8 @@ from ..functions.text import strip, truthy
 from ..operators.resolve import unique_headers
 
 ENCODINGS = ("utf-8-sig", "gb18030")
+#: Cells that the reader of whole files takes for missing.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 RAW_COLUMNS = ["id", "微博正文", "发布时间", "话题", "转发数", "评论数", "点赞数", "ip"]
 
 
@@ -39,12 +41,17 @@ def path_parts(path: Column) -> Column:
     return F.struct(keyword.alias("keyword"), number(F.get(numeric, F.lit(0)), 9999).alias("year"), number(F.get(numeric, F.lit(1)), 99).alias("month"), number(stem, 99).alias("day"))
 
 
-def raw_files(spark: SparkSession, folder: str) -> DataFrame:
-    """CSV files below `folder` (not backups) that lie in a csv folder: path, size, mtime_ns, keyword, year, month, day, content.
+def raw_files(spark: SparkSession, folder: str, only: Sequence[str] | None = None) -> DataFrame:
+    """CSV files below `folder` (not backups) that lie in a csv folder: file, path, size, mtime_ns, keyword, year, month, day, content.
 
-    The content of a file is read only where a plan uses that column.
+    The content of a file is read only where a plan uses that column. With `only`, values of `file` that an earlier listing gave,
+    no other file is opened or looked for.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
+    reader = spark.read.format("binaryFile")
+    if only is None:
+        found = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
+    else:
+        found = reader.load([re.sub(r"([\\\[\]{}*?])", r"\\\1", f) for f in only]) if only else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     base = folder.rstrip("/").split("://")[-1]
     rel = F.replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(base + "/"), F.lit(""))
     out = found.select(F.col("path").alias("file"), rel.alias("path"), F.col("length").alias("size"), (F.unix_micros(F.col("modificationTime")) * 1000).alias("mtime_ns"), "content")
@@ -64,12 +71,16 @@ def parse_csv(data: bytes) -> pd.DataFrame:
     return pd.read_csv(io.StringIO(text), dtype=str, on_bad_lines="skip", engine="c") if text.strip() else pd.DataFrame()
 
 
-def read_raw_csv(files: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
+#: Files above this many bytes are read as a stream of records by one task, not as one value. A value holds 2 GB at most.
+LARGE = 256 << 20
+
+
+def read_raw_csv(files: DataFrame, columns: Sequence[str] = RAW_COLUMNS, large: int = LARGE) -> DataFrame:
     """Rows of the files of `raw_files`: columns by name in any order (missing ones empty), keyword, source_file, file order columns,
     row_idx, and error of files that can't be read (one row of empty cells). Files spread over tasks; one file is one parse."""
     meta = ["path", "keyword", "year", "month", "day"]
     schema = ", ".join([*(f"`{c}` string" for c in columns), "keyword string", "source_file string", "year int", "month int", "day int", "row_idx long", "error string"])
-    rows = files.select("content", *meta)
+    rows = files.where(F.col("size") <= large).select("content", *meta)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -81,7 +92,25 @@ def read_raw_csv(files: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> Data
                 out = table.reindex(columns=list(columns)).fillna("").astype(str)
                 yield out.assign(keyword_=f.keyword, source_file=f.path, year=f.year, month=f.month, day=f.day, row_idx=range(len(out)), error=error).rename(columns={"keyword_": "keyword"})
 
-    return rows.mapInPandas(run, schema)
+    out = rows.mapInPandas(run, schema)
+    for f in files.where(F.col("size") > large).select("file", *meta).collect():  # few: each has more than `large` bytes
+        out = out.unionByName(_large_csv(files.sparkSession, f, columns))
+    return out
+
+
+def _large_csv(spark: SparkSession, file: Row, columns: Sequence[str]) -> DataFrame:
+    """As `parse_csv` for one file that is too large for a value. Not UTF-8 is GB 18030; bytes that are neither become marks."""
+    path = re.sub(r"([\\\[\]{}*?])", r"\\\1", file["file"])
+    other = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
+    if other:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark reads no GB 18030; the setting stays, as the table is read later
+    header = _headers(spark, [file["file"]], encoding=ENCODINGS[-1] if other else "utf-8-sig")[0]
+    schema = StructType([StructField(c, StringType()) for c in [*header, "_more"]])  # a cell beyond the header: the line has too many
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "GB18030" if other else "UTF-8").csv(path)
+    rows = rows.where("_more is null").withColumn("_row", F.monotonically_increasing_id())  # one task, in the order of the file
+    cells = [(F.coalesce(F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")), F.lit("")) if c in header else F.lit("")).alias(c) for c in columns]
+    places = [F.lit(file[c]).cast("int").alias(c) for c in ("year", "month", "day")]
+    return rows.select(*cells, F.lit(file["keyword"]).alias("keyword"), F.lit(file["path"]).alias("source_file"), *places, F.col("_row").alias("row_idx"), F.lit(None).cast("string").alias("error"))
 
 
 def matching_files(spark: SparkSession, pattern: str) -> list[str]:
@@ -98,7 +127,7 @@ def matching_files(spark: SparkSession, pattern: str) -> list[str]:
     return files
 
 
-def _headers(spark: SparkSession, files: Sequence[str], threads: int = 16) -> list[list[str]]:
+def _headers(spark: SparkSession, files: Sequence[str], threads: int = 16, encoding: str = "utf-8-sig") -> list[list[str]]:
     """Column names of each CSV file: its first record, of which no more than needed is read. Empty files have none."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
@@ -112,7 +141,7 @@ def _headers(spark: SparkSession, files: Sequence[str], threads: int = 16) -> li
             while True:
                 more = bytes(stream.readNBytes(size))
                 data, size = data + more, 2 * size
-                text = data.decode("utf-8-sig", "ignore").lstrip("\r\n")
+                text = data.decode(encoding, "ignore").lstrip("\r\n")
                 ends = [m.start() for m in re.finditer("[\r\n]", text)]
                 end = next((k for k in ends if text.count('"', 0, k) % 2 == 0), None)
                 if end is not None or len(more) < size // 2:

@@ -183,3 +183,29 @@ def test_tables_of_any_column_order(spark, tmp_path):
     (root / "g.csv.gz").write_bytes(gzip.compress(("x" * 40_000 + ",id\nlong header,10\n").encode()))
     assert files.read_tables(spark, str(root / "g*")).columns == ["x" * 40_000, "id", "__input_file"]
     assert files.read_tables(spark, str(root / "e*")).collect() == []
+
+
+def test_only_changed_files_are_opened(spark, raw, tmp_path):
+    """A file whose size and time are as before isn't read, even if its bytes are others; names may hold pattern characters."""
+    import os
+
+    put(raw, "1/csv/躺平/[a]{b}*?/x.csv", "id,微博正文\n21,甲\n")
+    one = Collection(spark, str(tmp_path / "one"))
+    one.run(str(raw))
+    before = raw / "1/csv/躺平/2024/01/01.csv"
+    stat, data = before.stat(), before.read_bytes()
+    before.write_bytes(b"\xff" * len(data))
+    os.utime(before, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    put(raw, "1/csv/躺平/[a]{b}*?/y.csv", "id,微博正文\n22,乙\n")
+    report = one.run(str(raw))
+    assert report["files"] == 2 and report["failed_files"] == 1 and report["id_dedup"]["appended_rows"] == 1
+    listed = files.raw_files(spark, str(raw)).drop("content")
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert {r["path"] for r in listed.collect()} >= {"1/csv/躺平/[a]{b}*?/x.csv", "1/csv/躺平/[a]{b}*?/y.csv"}
+
+
+def test_large_files_are_read_as_streams(spark, raw):
+    put(raw, "1/csv/躺平/more.csv", 'ip,id,微博正文,id\nNA,31,"a ""b"", c",x\nz,32\n\n1,2,3,4,5\n,33,"two\nlines",\n')
+    sound = files.raw_files(spark, str(raw)).where("keyword <> '坏'")
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(files.read_raw_csv(sound, large=0)) == plain(files.read_raw_csv(sound))
