@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, sampling
 from ..sources.sinks import shared_folder
 from ..streaming import ingest
-from . import ml
+from . import ml, training
 
 
 def kmeans_topics(spark, sf) -> DataFrame:
@@ -30,6 +30,13 @@ def train_classifier(spark, sf) -> DataFrame:
     return ml.train(_labelled(spark, sf), regularisation=(0.01,))[1]
 
 
+def train_on_tasks(spark, sf) -> DataFrame:
+    """Metrics of a network for toxicity on its three splits, trained by two tasks together."""
+    rows = _labelled(spark, sf)
+    network, _ = training.train_network(rows, epochs=4, tasks=2)
+    return evaluation.metrics(training.network_predictions(rows.withColumn("gold_label", F.col("label").cast("int")), network), ["split"])
+
+
 def batch_predict(spark, sf) -> DataFrame:
     rows = _labelled(spark, sf)
     model, _ = ml.train(rows, regularisation=(0.01,))
@@ -68,7 +75,7 @@ def query_number(spark) -> int:
     return spark._jvm.java.lang.System.nanoTime()
 
 
-QUERIES = {f.__name__: f for f in (kmeans_topics, outlier_reduction, train_classifier, batch_predict, score_quality_of_scores, label_posts_stub, streaming_period_counts)}
+QUERIES = {f.__name__: f for f in (kmeans_topics, outlier_reduction, train_classifier, train_on_tasks, batch_predict, score_quality_of_scores, label_posts_stub, streaming_period_counts)}
 SQL = {
     "score_quality_of_scores": "WITH s AS (SELECT quality AS g, n_chars AS x FROM labels JOIN documents USING (doc_id)), c AS (SELECT x, count(*) FILTER (WHERE g = 1) AS p, count(*) FILTER (WHERE g = 0) AS n FROM s GROUP BY x), w AS (SELECT p * (coalesce(sum(n) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS w, p, n FROM c) SELECT sum(w) / (sum(p) * sum(n)) AS auc FROM w",
     "streaming_period_counts": "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS doc_count FROM events GROUP BY ALL",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import cooccurrence, drift, shortlist
 from ..operators.ranking import top_n
+from ..sources.sinks import written
 
 RULES = [("question", ["wh", "ho"]), ("place", ["ou", "ra"]), ("time", ["ti", "ed"]), ("thing", ["th", "en"])]
 NOISE = ["the", "der", "les", "que"]
@@ -80,7 +81,8 @@ def semantic_neighbors_cosine(spark, sf):
 
 
 def _candidates(spark, sf):
-    rows = scored(spark, sf)
+    """Scored terms are written once, and everything else is counted from that small table."""
+    rows = written(scored(spark, sf))
     near = rows.select("keyword", "period_label", F.col("term").alias("neighbor_term"), (F.col("term_rank") / 50.0).alias("embedding_similarity"), F.col("term_rank").alias("neighbor_rank")).where(F.col("neighbor_rank") <= 20)
     return shortlist.candidates(rows, near, RULES, NOISE)
 
@@ -105,9 +107,9 @@ def noise_diagnostics(spark, sf):
     return shortlist.noise_diagnostics(_candidates(spark, sf))
 
 
-def _kept(spark, sf):
+def _kept(spark, sf, candidates=None):
     # tokens of the test documents are all ASCII: what would be noise there is kept
-    return _candidates(spark, sf).withColumn("auto_keep_for_midterm", ~F.contains(F.col("term"), F.col("keyword")))
+    return (candidates or _candidates(spark, sf)).withColumn("auto_keep_for_midterm", ~F.contains(F.col("term"), F.col("keyword")))
 
 
 def midterm_shortlist_overall(spark, sf):
@@ -156,10 +158,10 @@ def diversity_rerank(spark, sf):
     return rounded(shortlist.diverse(rows, 10).select("keyword", "term", "matched_doc_count", "distinct_text_count", "top_text_share", "shortlist_rank"))
 
 
-def _bucketed(spark, sf):
+def _bucketed(spark, sf, candidates=None):
     from ..functions.text import first_bucket
 
-    return _candidates(spark, sf).where("period_label <> 'ALL'").withColumn("context_bucket", first_bucket("term", RULES, "other")).withColumn("theme_bucket", F.col("auto_theme_bucket"))
+    return (candidates or _candidates(spark, sf)).where("period_label <> 'ALL'").withColumn("context_bucket", first_bucket("term", RULES, "other")).withColumn("theme_bucket", F.col("auto_theme_bucket"))
 
 
 BUCKET = "CASE WHEN contains(term, 'wh') OR contains(term, 'ho') THEN 'question' WHEN contains(term, 'ou') OR contains(term, 'ra') THEN 'place' WHEN contains(term, 'ti') OR contains(term, 'ed') THEN 'time' WHEN contains(term, 'th') OR contains(term, 'en') THEN 'thing' ELSE 'other' END"
@@ -205,11 +207,13 @@ def override_template(spark, sf):
 
 def midterm_counters(spark, sf):
     """Rows of every table of the mid-term report."""
-    kept, whole, single = _kept(spark, sf), *shortlist.shortlists(_kept(spark, sf), 18, 20, 6, 8)
-    trajectory = shortlist.context_trajectory(_bucketed(spark, sf))
+    candidates = _candidates(spark, sf)
+    kept, bucketed = _kept(spark, sf, candidates), _bucketed(spark, sf, candidates)
+    whole, single = shortlist.shortlists(kept, 18, 20, 6, 8)
+    trajectory = shortlist.context_trajectory(bucketed)
     tables = {
         "overall_shortlist": whole, "period_shortlist": single, "context_trajectory": trajectory, "context_shift_summary": shortlist.context_shift(trajectory), "noise_diagnostic": shortlist.noise_diagnostics(kept),
-        "context_bucket_summary": shortlist.bucket_summary(_bucketed(spark, sf)), "coding_template": shortlist.coding_template(whole, single), "bucket_override_template": shortlist.override_template(whole, single),
+        "context_bucket_summary": shortlist.bucket_summary(bucketed), "coding_template": shortlist.coding_template(whole, single), "bucket_override_template": shortlist.override_template(whole, single),
     }
     return shortlist.midterm_counters(kept, tables, len(NOISE), 2)
 
@@ -219,17 +223,17 @@ def summary_counters(spark, sf):
 
 
 def drift_ranked_terms(spark, sf):
-    return rounded(drift.ranked_term_drift(scored(spark, sf), score="term_doc_freq"))
+    return rounded(drift.ranked_term_drift(written(scored(spark, sf)), score="term_doc_freq"))
 
 
 def drift_collocations(spark, sf):
     """By pmi, which has either sign."""
-    return rounded(drift.ranked_term_drift(scored(spark, sf)))
+    return rounded(drift.ranked_term_drift(written(scored(spark, sf))))
 
 
 def drift_neighbors(spark, sf):
     """Ranks stand for similarities, some of them negative."""
-    rows = scored(spark, sf).select("keyword", "period_label", F.col("term").alias("neighbor_term"), (F.col("term_rank") % 7 / 7.0 - 0.2).alias("embedding_similarity"), F.col("term_rank").alias("neighbor_rank"))
+    rows = written(scored(spark, sf)).select("keyword", "period_label", F.col("term").alias("neighbor_term"), (F.col("term_rank") % 7 / 7.0 - 0.2).alias("embedding_similarity"), F.col("term_rank").alias("neighbor_rank"))
     return rounded(drift.ranked_term_drift(rows, "neighbor_term", "embedding_similarity", "neighbor_rank"))
 
 

@@ -12,7 +12,7 @@ from ..functions.text import tokens
 from ..operators import cooccurrence, drift, term_vectors
 from ..operators.ranking import top_n
 from ..sources.files import read_tables
-from ..sources.sinks import shared_folder
+from ..sources.sinks import shared_folder, written
 from .queries_terms import POSTS, posts, rounded, scored
 
 #: A small list of word parts with counts.
@@ -50,7 +50,7 @@ def _vectors(spark, sf) -> DataFrame:
 
 def _learned_neighbours(spark, sf) -> DataFrame:
     """Nearest terms of each keyword and period: a keyword's vector is the mean of those of its ten best terms in all periods."""
-    terms, vectors = scored(spark, sf), _vectors(spark, sf)
+    terms, vectors = written(scored(spark, sf)), _vectors(spark, sf)
     best = top_n(terms.where("period_label = 'ALL'"), ["keyword"], [F.col("term_rank").asc()], 10, "k").select("keyword", "term").join(vectors, "term")
     own = best.select("keyword", F.posexplode("vector").alias("i", "x")).groupBy("keyword", "i").agg(F.avg("x").alias("m"))
     own = own.groupBy("keyword").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector"))  # one row a keyword
@@ -64,7 +64,7 @@ def learned_neighbours(spark, sf) -> DataFrame:
 
 def drift_learned_neighbours(spark, sf) -> DataFrame:
     """Drift of the neighbours that keywords have by vectors learned from the corpus."""
-    rows = _learned_neighbours(spark, sf).where("period_label <> 'ALL'").select("keyword", "period_label", "neighbor_term", "embedding_similarity", "neighbor_rank")
+    rows = written(_learned_neighbours(spark, sf)).where("period_label <> 'ALL'").select("keyword", "period_label", "neighbor_term", "embedding_similarity", "neighbor_rank")
     return rounded(drift.ranked_term_drift(rows, "neighbor_term", "embedding_similarity", "neighbor_rank"), 4)
 
 
