@@ -142,12 +142,13 @@ def topic_distributions(docs: DataFrame, terms: DataFrame, window: int = 4, leas
     rows = docs.where(F.size(tokens) > 0).select(key, tokens, F.explode(F.sequence(F.lit(0), last)).alias("_at"), last.alias("_last"))
     rows = rows.select(key, "_at", F.slice(tokens, F.col("_at") + 1, F.lit(window)).alias("_tokens"), "_last")
     # how many windows each token of the window is in: they start from it - window + 1 to it, as far as there are any
-    places = F.sequence(F.col("_at"), F.col("_at") + F.size("_tokens") - 1)
-    held = F.aggregate(places, F.lit(0.0), lambda s, p: s + 1 / (F.least(p, F.col("_last")) - F.greatest(p - window + 1, F.lit(0)) + 1))
-    rows = rows.withColumn("_held", held)
-    counts = rows.select(key, "_at", "_held", F.explode("_tokens").alias("term")).groupBy(key, "_at", "_held", "term").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_size", F.sqrt(F.sum(F.col("_n") ** 2).over(Window.partitionBy(key, "_at"))))  # a window holds few terms
-    near = counts.join(weights, "term").groupBy(key, "_at", "_held", "topic_id").agg((F.sum(F.col("_n") * F.col("_w")) / F.first("_size")).alias("_s")).where(F.col("_s") >= least)
+    place = lambda p: F.col("_at") + p
+    held = sum((F.when(F.size("_tokens") > p, 1 / (F.least(place(p), F.col("_last")) - F.greatest(place(p) - window + 1, F.lit(0)) + 1)).otherwise(0.0) for p in range(window)), F.lit(0.0))
+    # squared counts add up to the tokens and twice the pairs of equal ones; sums are written out, as Spark compiles no lambdas
+    same = sum((F.coalesce((F.get("_tokens", F.lit(i)) == F.get("_tokens", F.lit(j))).cast("int"), F.lit(0)) for i in range(window) for j in range(i)), F.lit(0))
+    rows = rows.select(key, "_at", held.alias("_held"), F.sqrt((F.size("_tokens") + 2 * same).cast("double")).alias("_size"), F.explode("_tokens").alias("term"))
+    near = rows.join(weights, "term").groupBy(key, "_at", "_held", "_size", "topic_id").agg(F.sum("_w").alias("_dot"))
+    near = near.select(key, "topic_id", "_held", (F.col("_dot") / F.col("_size")).alias("_s")).where(F.col("_s") >= least)
     sums = near.groupBy(key, "topic_id").agg(F.sum(F.col("_s") * F.col("_held")).alias("_sum")).where("_sum > 0")
     return sums.withColumn("share", F.col("_sum") / F.sum("_sum").over(Window.partitionBy(key))).select(key, "topic_id", "share")  # one row a topic and document
 
