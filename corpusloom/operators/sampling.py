@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import length_bin
 from ..functions.text import is_blank, split_name
+from .dedup import without_overlap
 
 
 def stratum(month: Column, keyword: Column, text: Column) -> Column:
@@ -114,6 +116,35 @@ def predefined_split(df: DataFrame, column: str) -> DataFrame:
     return out
 
 
+def assembled_split(pool: DataFrame | None, explicit: dict[str, DataFrame], id_col: str, labels: Sequence[str], source: str = "source", **sizes) -> tuple[DataFrame, dict]:
+    """One table with `split` from a pool to be split and from rows whose split is given (`explicit`: train, val, test), and a report.
+
+    Rows of the pool that equal a given row on all columns they share are left out first; the rest is split as by
+    `split_with_fallback`. Columns are aligned by name. All three parts must have rows. The report has the strategy, how many
+    rows of the pool were left out, the sizes of splits and the rows of each source in them.
+    """
+    if odd := set(explicit) - {"train", "val", "test"}:
+        raise ValueError(f"unknown splits {sorted(odd)}")
+    union = lambda tables: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    given = [df.withColumn("split", F.lit(name)) for name, df in explicit.items()]
+    parts, strategy, removed = list(given), "predefined_only", 0
+    if pool is not None:
+        left = without_overlap(pool, union(given).drop("split")) if given else pool
+        removed = pool.count() - left.count() if given else 0
+        if left.limit(1).count():
+            shared, strategy = split_with_fallback(left, id_col, labels, **sizes)
+            parts = [shared, *given]
+    if not parts:
+        raise ValueError("neither a pool nor given rows")
+    out = union(parts)
+    counts = {(r["split"], r[source]): r["rows"] for r in split_manifest(out, source).collect()} if source in out.columns else {(r["split"], None): r["count"] for r in out.groupBy("split").count().collect()}
+    totals = {s: sum(n for (t, _), n in counts.items() if t == s) for s in ("train", "val", "test")}
+    if missing := [s for s, n in totals.items() if not n]:
+        raise ValueError(f"no rows for {missing}")
+    report = {"split_strategy": strategy, "pool_overlap_removed": removed, "split_sizes": totals, "source_breakdown": {s: {str(k): n for (t, k), n in sorted(counts.items(), key=str) if t == s} for s in totals}}
+    return out, report
+
+
 def split_manifest(df: DataFrame, source: str = "source") -> DataFrame:
     return df.groupBy("split", source).agg(F.count("*").alias("rows"))
 

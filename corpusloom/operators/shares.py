@@ -16,6 +16,17 @@ def topic_share(df: DataFrame, groups: Sequence[str], topic: str = "topic_id", l
     return counts.withColumn("doc_share", share_of("doc_count", groups))
 
 
+def topic_labels(info: DataFrame, machine: str = "topic_label_machine", name: str = "Name", topic: str = "topic_id") -> DataFrame:
+    """(topic, topic_label) of each topic: the first of machine label and name that isn't blank, else Topic k. Columns that aren't there count as blank."""
+    given = [F.when(F.trim(F.col(c)) != "", F.col(c)) for c in (machine, name) if c in info.columns]
+    return info.select(topic, F.coalesce(*given, F.concat(F.lit("Topic "), F.col(topic).cast("string"))).alias("topic_label"))
+
+
+def with_topic_labels(docs: DataFrame, labels: DataFrame, topic: str = "topic_id") -> DataFrame:
+    """`docs` with their topics' labels; those of topics that have none are Outlier."""
+    return docs.join(labels, topic, "left").withColumn("topic_label", F.coalesce("topic_label", F.lit("Outlier")))
+
+
 def share_family(df: DataFrame, keyword: str = "keyword", period: str = "period_label", region: str = "region", topic: str = "topic_id") -> DataFrame:
     """All five share tables in one pass: by period, keyword and period, region, period and region, all three.
 

@@ -21,9 +21,10 @@ TABLES = ("merged", "preprocessed", "text_dedup")
 
 def preprocess(df: DataFrame, text: str = TEXT, names: bool = True) -> DataFrame:
     """Adds cleaned_text (emoji as a mark), cleaned_text_with_emoji (as names) and text_raw; drops texts under two characters, cuts at 2000."""
-    base = df.withColumn("text_raw", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_base", clean_post(text))
-    out = base.withColumn("cleaned_text", emoji_placeholder("_base")).withColumn("cleaned_text_with_emoji", emoji_names("_base") if names else F.col("_base"))
-    out = out.where(F.length("cleaned_text") >= SHORTEST)
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a row for each row: no filter or projection works it out a second time
+    base = df.withColumn("text_raw", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_base", once(clean_post(text)))
+    out = base.withColumn("cleaned_text", once(emoji_placeholder("_base"))).where(F.length("cleaned_text") >= SHORTEST)
+    out = out.withColumn("cleaned_text_with_emoji", emoji_names("_base") if names else F.col("_base"))
     return out.withColumns({c: F.substring(c, 1, LONGEST) for c in ("cleaned_text", "cleaned_text_with_emoji")}).drop("_base")
 
 

@@ -39,8 +39,8 @@ def filter_non_blank_id(spark, sf):
 
 
 def preprocess_clean(spark, sf):
-    """Every document and page through the cleaner: how long it is then, and its hash."""
-    docs = read(spark, sf, "documents").withColumn("cleaned", text.emoji_placeholder(text.clean_post("text")))
+    """Every document through the cleaner: how long it is then, and its hash."""
+    docs = read(spark, sf, "documents").select("doc_id", F.explode(F.array(text.emoji_placeholder(text.clean_post("text")))).alias("cleaned"))  # worked out once, for filter and hash
     return docs.select("doc_id", F.length("cleaned").alias("n"), F.md5(F.col("cleaned").cast("binary")).alias("h")).where("n >= 2")
 
 
@@ -243,6 +243,12 @@ def split_three_way(spark, sf):
     return sampling.split(marks, "doc_id", "quality").select("doc_id", "quality", "split")
 
 
+def assembled_split(spark, sf):
+    """Every seventh label is given as validation and taken out of the pool, which is split by quality."""
+    marks = read(spark, sf, "labels").dropDuplicates(["doc_id"])
+    return sampling.assembled_split(marks, {"val": marks.where("doc_id % 7 = 0")}, "doc_id", ["quality"])[0].select("doc_id", "quality", "split")
+
+
 def predefined_split_alias(spark, sf):
     marks = read(spark, sf, "labels").withColumn("part", F.element_at(F.array(*map(F.lit, ("Training", "dev", " TEST ", "train"))), (F.col("doc_id") % 4 + 1).cast("int")))
     return sampling.split_manifest(sampling.predefined_split(marks, "part"), "quality")
@@ -390,7 +396,7 @@ _SHARES = {"share_by_period": ["period_label"], "share_by_period_keyword": ["key
 QUERIES = {f.__name__: f for f in (
     filter_non_blank_id, preprocess_clean, text_previews, length_bins, period_month_quarter_year, engagement_parse, label_normalize, analysis_base_filter, base_metadata_counters, keyword_region_normalizers,
     id_dedup_keep_first, id_dedup_counters, text_dedup_md5, anti_join_seen_state, overlap_signature_antijoin, manifest_delta, resume_results, share_family, topic_overview, topic_headlines, semantic_headlines,
-    drift_topic_share, drift_topic_share_by_keyword, drift_topic_share_by_region, drift_topic_share_by_keyword_region, drift_share_change, drift_watchlist, strata_counts, allocation_hamilton, stratified_sample_exact, split_three_way,
+    drift_topic_share, drift_topic_share_by_keyword, drift_topic_share_by_region, drift_topic_share_by_keyword_region, drift_share_change, drift_watchlist, strata_counts, allocation_hamilton, stratified_sample_exact, split_three_way, assembled_split,
     predefined_split_alias, row_ids, confusion_metrics, error_summary, ranked_errors, side_by_side_buckets, label_diagnosis, metric_rows, macro_mapping_rules, macro_share_excl_periods, macro_overview, action_share, macro_pivot,
     metric_cards, sweep_gate, annotation_merge, annotation_conflicts, label_orders, value_counts, max_drift_rows, top_events, dataset_fingerprint,
 )} | {name: _share(groups) for name, groups in _SHARES.items()}
@@ -435,6 +441,7 @@ SQL = {
     "strata_counts": f"WITH {STRATA} SELECT stratum_id, count(*) AS population_count FROM s GROUP BY ALL",
     "allocation_hamilton": f"WITH {HAMILTON} SELECT * FROM h",
     "stratified_sample_exact": f"WITH {HAMILTON} SELECT stratum_id, id FROM s JOIN h USING (stratum_id) QUALIFY row_number() OVER (PARTITION BY stratum_id ORDER BY md5(id::VARCHAR || '|42'), id) <= max(sample_count) OVER (PARTITION BY stratum_id)",
+    "assembled_split": "WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id) AS k, count(*) OVER (PARTITION BY quality) AS n FROM labels WHERE doc_id % 7 <> 0) SELECT doc_id, quality, CASE WHEN k <= round(n * 0.1) THEN 'test' WHEN k <= round(n * 0.1) + round(n * 0.1) THEN 'val' ELSE 'train' END AS split FROM r UNION ALL SELECT doc_id, quality, 'val' FROM labels WHERE doc_id % 7 = 0",
     "split_three_way": "WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id) AS k, count(*) OVER (PARTITION BY quality) AS n FROM labels) SELECT doc_id, quality, CASE WHEN k <= round(n * 0.1) THEN 'test' WHEN k <= round(n * 0.1) + round(n * 0.1) THEN 'val' ELSE 'train' END AS split FROM r",
     "predefined_split_alias": "SELECT CASE doc_id % 4 WHEN 1 THEN 'val' WHEN 2 THEN 'test' ELSE 'train' END AS split, quality, count(*) AS rows FROM labels GROUP BY ALL",
     "row_ids": "SELECT count(*) AS n, 0::BIGINT AS low, count(*) - 1 AS high, count(*) AS different FROM labels",

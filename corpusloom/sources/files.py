@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip, truthy
+from ..operators.dedup import fingerprint
 from ..operators.resolve import unique_headers
 
 ENCODINGS = ("utf-8-sig", "gb18030")
@@ -267,11 +268,23 @@ def first_existing(candidates: Sequence[str]) -> str:
     raise FileNotFoundError(f"none of {list(candidates)}")
 
 
+def save_vectors(vectors: DataFrame, path: str, documents: DataFrame) -> None:
+    """A table of vectors, and beside it the fingerprint of the documents it was made from."""
+    vectors.write.mode("overwrite").parquet(path)
+    fingerprint(documents).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}.documents")
+
+
 def vectors(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """A table of vectors; an error if it hasn't as many rows as the documents it was made from."""
+    """A table of vectors; an error if it was made from other documents than `expected`, or has not as many rows where `save_vectors` left no fingerprint."""
     df = spark.read.parquet(path)
-    if expected is not None and df.count() != expected.count():
-        raise ValueError(f"{path} was made from other documents")
+    if expected is not None:
+        try:
+            kept = spark.read.json(f"{path.rstrip('/')}.documents").first()["fingerprint"]
+            same = kept == fingerprint(expected).first()["fingerprint"]
+        except AnalysisException:
+            same = df.count() == expected.count()
+        if not same:
+            raise ValueError(f"{path} was made from other documents")
     return df
 
 

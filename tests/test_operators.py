@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.operators import dedup, drift, evaluation, macro, merge, resolve, sampling, shares
+from corpusloom.sources import files
 
 
 @settings(max_examples=150, deadline=None)
@@ -131,3 +132,39 @@ def test_divergence_of_scores_of_either_sign(spark):
     df = spark.createDataFrame(terms, "keyword string, period_label string, term string, pmi double, term_rank int")
     got = {r["keyword"]: r["js_divergence"] for r in drift.ranked_term_drift(df).collect()}
     assert got["mean"] is None and got["nothing"] is None and all(abs(got[k] - plain(*v)) < 1e-9 for k, v in cases.items())
+
+
+def test_a_pool_and_given_rows(spark):
+    """Rows of the pool that are given are left out; parts come together by name; empty parts and unknown names are errors."""
+    pool = spark.createDataFrame([(k, k % 2, "p", "x") for k in range(40)], "id long, label int, source string, more string")
+    val = spark.createDataFrame([("v", 1, k) for k in range(100, 105)] + [("p", 0, 0), ("p", 1, 1)], "source string, label int, id long")
+    out, report = sampling.assembled_split(pool, {"val": val}, "id", ["label"])
+    assert report["pool_overlap_removed"] == 2 and report["split_strategy"] == "label" and sum(report["split_sizes"].values()) == 38 + 7 == out.count()
+    assert report["source_breakdown"]["val"]["v"] == 5 and {r["id"] for r in out.where("split = 'val'").collect()} >= {0, 1, 100, 104}
+    fixed, report = sampling.assembled_split(None, {"train": val, "val": val, "test": val}, "id", ["label"])
+    assert report["split_strategy"] == "predefined_only" and fixed.count() == 21 and report["source_breakdown"]["test"] == {"p": 2, "v": 5}
+    for bad in ({"pool": None, "explicit": {"train": val}}, {"pool": pool, "explicit": {"dev": val}}, {"pool": None, "explicit": {}}):
+        with pytest.raises(ValueError):
+            sampling.assembled_split(bad["pool"], bad["explicit"], "id", ["label"])
+
+
+def test_labels_of_topics(spark):
+    info = spark.createDataFrame([(0, " ", "0_a_b"), (1, "one", "n"), (2, None, "")], "topic_id int, topic_label_machine string, Name string")
+    labels = shares.topic_labels(info)
+    assert {r["topic_id"]: r["topic_label"] for r in labels.collect()} == {0: "0_a_b", 1: "one", 2: "Topic 2"}
+    assert {r["topic_label"] for r in shares.topic_labels(info.select("topic_id")).collect()} == {"Topic 0", "Topic 1", "Topic 2"}
+    docs = spark.createDataFrame([(1, -1), (2, 1)], "id long, topic_id int")
+    assert {r["id"]: r["topic_label"] for r in shares.with_topic_labels(docs, labels).collect()} == {1: "Outlier", 2: "one"}
+
+
+def test_vectors_of_other_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
+    rows = docs.selectExpr("id", "array(1.0) as vector")
+    files.save_vectors(rows, str(tmp_path / "v"), docs)
+    assert files.vectors(spark, str(tmp_path / "v"), docs.orderBy("text")).count() == 2
+    with pytest.raises(ValueError):
+        files.vectors(spark, str(tmp_path / "v"), docs.replace("a", "c"))
+    rows.write.parquet(str(tmp_path / "w"))  # without a fingerprint, by the number of rows
+    assert files.vectors(spark, str(tmp_path / "w"), docs.replace("a", "c")).count() == 2
+    with pytest.raises(ValueError):
+        files.vectors(spark, str(tmp_path / "w"), docs.limit(1))
