@@ -231,6 +231,7 @@ def default_tokenizer() -> str:
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids of all texts as the library encodes them, and what they decode to, as hashes; null texts are empty."""
     out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer(), decoded=True)
     return out.select(
         "doc_id",

@@ -130,6 +130,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and their edited texts, and how alike they are to those and to the next document's; one row a document, null texts are empty."""
     out = neighbour_fingerprints(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), encoded("sketch").alias("fingerprint"), encoded("edited_sketch").alias("edited_fingerprint"),

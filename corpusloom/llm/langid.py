@@ -166,6 +166,7 @@ def recognised(docs: DataFrame, model: CodedLanguages, text_col: str = "text") -
 
 
 def op7_langid(spark, sf_dir: str) -> DataFrame:
+    """Language of all texts, learned from rows that aren't held out; null texts and those without a letter are `und`, rows of null id are not held out."""
     docs = table(spark, sf_dir, "documents")
     out = languages(docs, fit_languages(docs))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2

@@ -454,6 +454,7 @@ def sniffed_media(rows: DataFrame, media_col: str = "media", declared_col: str =
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
+    """All texts stored as 8-bit sound, read back and looked through; null and empty texts are 64 zero samples."""
     stored = stored_media(table(spark, sf_dir, "documents"))
     out = sniffed_media(stored, carry=("doc_id", "n_bytes"))
     tail = F.substring("samples", -UNIT, UNIT)

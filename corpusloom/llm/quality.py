@@ -193,6 +193,7 @@ def good_documents(docs: DataFrame, net: ByteConvNet, threshold: float = 0.3, te
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality of all texts, learned from labelled rows that aren't held out; null and empty texts have a score too."""
     docs = table(spark, sf_dir, "documents")
     out = quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

@@ -622,5 +622,6 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all texts; those without words have fingerprint zero and are linked like any other."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

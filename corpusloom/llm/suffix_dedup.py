@@ -485,5 +485,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    """What is left of all texts without 50-byte strings that a document of smaller id has; null texts are empty."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
