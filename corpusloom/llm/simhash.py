@@ -268,14 +268,16 @@ def sampled_masks(count: int, bits: int, words: int, seed: int = 11) -> np.ndarr
     return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
 
-def masks_for(count: int, similarity: float, recall: float, words: int = WORDS) -> np.ndarray:
-    """Masks of sampled bits that spread `count` fingerprints to NODE a top node.
+def masks_for(count: int, similarity: float, recall: float, words: int = WORDS) -> tuple[np.ndarray, int]:
+    """Masks of sampled bits that spread `count` fingerprints to NODE a top node, and how many of them large sets need.
 
-    So many of them that a pair of exactly that similarity meets under one with probability `recall`, even of few shingles.
+    So many that a pair of exactly that similarity meets under one with probability `recall`: under any if a set has few
+    shingles, under the first ones else.
     """
     bits = max(10, (count // NODE).bit_length())
-    agree = (1 - max(FEW_SHINGLES, expected_difference(similarity))) ** bits
-    return sampled_masks(math.ceil(math.log(1 - recall) / math.log(1 - agree)), bits, words)
+    need = lambda differ: math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits))
+    all_, large = need(max(FEW_SHINGLES, expected_difference(similarity))), need(expected_difference(similarity))
+    return sampled_masks(all_, bits, words), large
 
 
 def hub_links(fps: np.ndarray, limit: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +316,7 @@ class _Candidates:
     """Pairs of (v, n, part, fp) that may be alike: nodes of an index under masks, spread over the cluster."""
 
     def __init__(self, spark, count: int, similarity: float, recall: float):
-        self.masks, self.limit = masks_for(count, similarity, recall), limits(similarity)
+        (self.masks, self.large), self.limit = masks_for(count, similarity, recall), limits(similarity)
         self.similarity, self.buckets = similarity, max(-(-count * len(self.masks) // 100_000), 2 * shuffle_partitions(spark))
 
     def key(self, fps: np.ndarray, k: int) -> np.ndarray:
@@ -336,7 +338,11 @@ class _Candidates:
         return out
 
     def dealt(self, rows: DataFrame, masks: int, salts: int):
-        """`rows` once for each of the first `masks`, grouped by bucket of top nodes; a node is dealt to `salts` of them."""
+        """`rows` once for each of the first `masks`, grouped by bucket of top nodes; a node is dealt to `salts` of them.
+
+        Beyond the masks that large sets need, only those go on that are small enough to be like one of few shingles.
+        """
+        most = FEW / self.similarity + 1
 
         def deal(batches):
             for batch in batches:
@@ -345,6 +351,9 @@ class _Candidates:
                     blobs, v = part.column("fp"), part.column("v").to_numpy().view(np.uint64)
                     fps = np.frombuffer(b"".join(blobs.to_pylist()), np.uint64).reshape(len(blobs), -1)
                     for k in range(masks):
+                        if k == self.large:
+                            few = np.flatnonzero(part.column("n").to_numpy() < most)
+                            part, fps, v = part.take(pa.array(few)), fps[few], v[few]
                         h = self.key(fps, k) + (v >> np.uint64(8)) % np.uint64(salts)
                         bucket = ((h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int32)
                         yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h.view(np.int64)), *part.columns], ["bucket", "node", *part.schema.names])
