@@ -72,11 +72,11 @@ def to_schema(df: DataFrame, columns: Sequence[str], constants: dict[str, str] |
     return df.select(*[pick(c).alias(c) for c in columns])
 
 
-def unique_headers(names: Sequence[str | None]) -> list[str]:
-    """Header cells made distinct: blank ones are unnamed_1 and so on, repeats get __2 and so on."""
+def unique_headers(names: Sequence[str | None], first: int = 1) -> list[str]:
+    """Header cells made distinct: blank ones are unnamed_1 and so on, counted from `first`, repeats get __2 and so on."""
     seen: dict[str, int] = {}
     out = []
-    for k, raw in enumerate(names, 1):
+    for k, raw in enumerate(names, first):
         name = (raw or "").strip() or f"unnamed_{k}"
         seen[name] = seen.get(name, 0) + 1
         out.append(name if seen[name] == 1 else f"{name}__{seen[name]}")

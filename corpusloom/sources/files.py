@@ -251,6 +251,32 @@ def read_workbook(spark: SparkSession, path: str, known: Sequence[str], sheet: i
     return spark.createDataFrame([tuple(r[: len(names)]) for r in rows[first:]], ", ".join(f"`{n}` string" for n in names))
 
 
+#: Names that a header of hand-labelled rows may hold.
+LABELLED_HEADERS = ("id", "cleaned_text", "cleaned_text_with_emoji", "text_raw", "broad", "strict", "label", "tangping_related", "tangping_related_label", "类型", "发布时间", "话题", "keyword")
+
+
+def promoted_header(rows: Sequence[Sequence[str | None]], known: Sequence[str] = LABELLED_HEADERS) -> tuple[int, list[str]]:
+    """First data row and column names of hand-labelled rows: the names are in the first row, or in the second if that has
+    three different known names or more, in any case. Blank names are unnamed_0 and so on, by place."""
+    if not rows:
+        return 0, []
+    cells = {(c or "").strip().lower() for c in rows[1]} if len(rows) > 1 else set()
+    at = 1 if len(cells & {k.lower() for k in known}) >= 3 else 0
+    return at + 1, unique_headers(rows[at], 0)
+
+
+def labelled_table(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
+    """Hand-labelled rows of a CSV file, or of a sheet whose header may be in its second row; all cells are text."""
+    if path.endswith(".csv"):
+        return read_tables(spark, path).drop("__input_file")
+    if not path.endswith((".xlsx", ".xls")):
+        raise ValueError(f"neither CSV nor a workbook: {path}")
+    cells = pd.read_excel(path, sheet_name=sheet, header=None, dtype=str)  # needs openpyxl; sheets are small, so the driver reads them
+    rows = [[None if pd.isna(c) else str(c) for c in r] for r in cells.itertuples(index=False)]
+    first, names = promoted_header(rows)
+    return spark.createDataFrame([tuple(r) for r in rows[first:]], StructType([StructField(n, StringType()) for n in names]))
+
+
 def config(path: str) -> dict:
     """Settings of a TOML file as one flat dict; those of section x are x_name, those of [labeler] bare."""
     tables = tomllib.loads(Path(path).read_text("utf-8"))

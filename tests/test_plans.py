@@ -209,3 +209,15 @@ def test_large_files_are_read_as_streams(spark, raw):
     sound = files.raw_files(spark, str(raw)).where("keyword <> '坏'")
     plain = lambda df: sorted(map(str, df.collect()))
     assert plain(files.read_raw_csv(sound, large=0)) == plain(files.read_raw_csv(sound))
+
+
+def test_a_header_in_the_second_row(spark, tmp_path):
+    plain = [["id", "text", None, "text"], ["1", "a", "b", "c"]]
+    assert files.promoted_header(plain) == (1, ["id", "text", "unnamed_2", "text__2"])
+    assert files.promoted_header([["title", None, None], ["ID", " Broad", "label"], ["1", "1", "0"]]) == (2, ["ID", "Broad", "label"])
+    assert files.promoted_header([["title", None, None], ["id", "id", "label"]]) == (1, ["title", "unnamed_1", "unnamed_2"])  # two known names are none
+    assert files.promoted_header([]) == (0, []) and files.promoted_header([["a"]]) == (1, ["a"])
+    (tmp_path / "x.csv").write_text("id,label\n1,0\n")
+    assert [tuple(r) for r in files.labelled_table(spark, str(tmp_path / "x.csv")).collect()] == [("1", "0")]
+    with pytest.raises(ValueError):
+        files.labelled_table(spark, str(tmp_path / "x.txt"))
