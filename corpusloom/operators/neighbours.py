@@ -2,7 +2,8 @@
 
 Points are dealt several times to blocks of a bounded size, in orders that random hyperplanes give, so that near points often
 share a block; a block finds its nearest neighbours exactly. Then neighbours of one point are introduced to each other,
-which mends what the blocks missed. No two points meet otherwise, so the work grows with the points.
+which mends what the blocks missed. No two points meet otherwise, so the work grows with the points. Where none may be missed,
+`exact_neighbours` lets all blocks meet within the bounds that this gives.
 """
 
 from __future__ import annotations
@@ -177,6 +178,90 @@ def neighbour_graph(points: DataFrame, k: int = 15, orders: int = 8, block: int
     return graph
 
 
+def _pair_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of rows of the same place, squares added in the order of components."""
+    total = np.zeros(len(x))
+    for c in range(x.shape[1]):
+        total += (x[:, c] - y[:, c]) ** 2
+    return np.sqrt(total)
+
+
+def _nearest_of(owner: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (owner, other, distance) the k nearest of each owner, ties to the smaller id, in the order of owners."""
+    order = np.lexsort((other, d, owner))
+    owner, other, d = owner[order], other[order], d[order]
+    starts = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1))
+    keep = np.arange(len(owner)) - np.repeat(starts, np.diff(starts, append=len(owner))) < k
+    return owner[keep], other[keep], d[keep]
+
+
+def _close_pairs(x: np.ndarray, y: np.ndarray, far_x: np.ndarray, far_y: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (row of x, row of y) that hold every pair no further apart than the bound of either, and few others.
+
+    Products decide in single precision, wherever numbers fit; a margin above what they can be wrong by loses no pair.
+    With `same` both are one block, and each pair comes once.
+    """
+    size_x, size_y = (x**2).sum(1), (y**2).sum(1)
+    kind = np.float32 if max(size_x.max(), size_y.max()) < 1e30 else np.float64
+    margin = 4 * (x.shape[1] + 8) * np.finfo(kind).eps
+    # one product gives -d^2 / 2
+    a = np.concatenate([x, size_x[:, None] / -2, np.ones((len(x), 1))], 1).astype(kind)
+    b = np.concatenate([y, np.ones((len(y), 1)), size_y[:, None] / -2], 1).astype(kind)
+    least_x = ((far_x**2 + margin * (size_x + size_y.max())) / -2).astype(kind)
+    least_y = ((far_y**2 + margin * (size_y + size_x.max())) / -2).astype(kind)
+    for r in range(0, len(x), 512):
+        for c in range(r if same else 0, len(y), 2048):
+            g = a[r : r + 512] @ b[c : c + 2048].T
+            i, j = np.divmod(np.flatnonzero((g >= least_x[r : r + 512, None]) | (g >= least_y[c : c + 2048])), g.shape[1])
+            i, j = i + r, j + c
+            once = i < j if same else slice(None)
+            i, j = i[once], j[once]
+            for lo in range(0, len(i), 1 << 16):
+                yield i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+
+
+def exact_neighbours(points: DataFrame, k: int = 15, block: int = 1 << 15, seed: int = 7) -> DataFrame:
+    """(id, neighbours array<struct<d, id>>): the k nearest other points of each of (id, vector), nearest first, ties by id; none is missed.
+
+    `neighbour_graph` gives each point a bound that its k nearest don't exceed. Then every two blocks of points meet in one task,
+    which measures the pairs within a bound. That is quadratic in points; a task holds two blocks, a point moves once a block.
+    """
+    count = points.count()
+    if count < 2:
+        return points.sparkSession.createDataFrame([], FOUND)
+    bounds = neighbour_graph(points, k, orders=4, rounds=2, seed=seed)
+    far = F.when(F.size("neighbours") >= k, F.element_at("neighbours", -1)["d"] * (1 + 1e-9)).otherwise(float("inf"))
+    blocks = max(1, -(-count // block), min(8, count // 512))
+    rows = points.select("id", "vector").join(bounds.select("id", far.alias("far")), "id", "left").select("id", "vector", F.coalesce("far", F.lit(float("inf"))).alias("far"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("own", "met").alias("one"), F.greatest("own", "met").alias("two"), "own", "id", "vector", "far")
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        one, two = (v.as_py() for v in key)
+        own, ids, far, x = table.column("own").to_numpy(), table.column("id").to_numpy(), table.column("far").to_numpy(), _matrix(table.column("vector"))
+        first, second = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        new, held = [kept], 0
+        if len(first) and len(second):
+            for i, j in _close_pairs(x[first], x[second], far[first], far[second], one == two):
+                i, j = first[i], second[j]
+                d = _pair_distances(x[i], x[j])
+                for u, v in ((i, j), (j, i)):
+                    some = d <= far[u]
+                    new.append((ids[u[some]], ids[v[some]], d[some]))
+                    held += int(some.sum())
+                if held > 1 << 21:
+                    new, held = [_nearest_of(*map(np.concatenate, zip(*new, strict=True)), k)], 0
+        owner, other, d = _nearest_of(*map(np.concatenate, zip(*new, strict=True)), k)
+        starts = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1))
+        pairs = pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(other, pa.int64())], ["d", "id"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(owner)), pa.int32()), pairs)
+        return pa.table([pa.array(owner[starts], pa.int64()), lists], ["id", "neighbours"])
+
+    tiles = blocks * (blocks + 1) // 2
+    return _best(rows.repartition(2 * tiles, "one", "two").groupBy("one", "two").applyInArrow(meet, FOUND), k)
+
+
 def fuzzy_weights(graph: DataFrame) -> DataFrame:
     """(u, v, weight), u < v: how surely two points are neighbours, 1 for the nearest, with each point's own scale; a or b, as of fuzzy sets.
 

@@ -15,9 +15,9 @@ def _embeddings(spark, sf) -> DataFrame:
 
 
 def nearest_neighbours(spark, sf) -> DataFrame:
-    """15 nearest vectors of each. Exact where a block of 1024 holds all distinct vectors; beyond, nearly so."""
+    """15 nearest vectors of each, exact at any size."""
     points, _ = neighbours.distinct_points(_embeddings(spark, sf))
-    found = neighbours.neighbour_graph(points, 15).select("id", F.posexplode("neighbours").alias("k", "n"))
+    found = neighbours.exact_neighbours(points, 15).select("id", F.posexplode("neighbours").alias("k", "n"))
     return rounded(found.select(F.col("id").alias("vec_id"), (F.col("k") + 1).alias("neighbour_rank"), F.col("n.id").alias("neighbour"), F.col("n.d").alias("distance")), 5)
 
 
