@@ -5,12 +5,15 @@ Topics are tables (key, topic_id, topic_probability) with -1 for outliers, numbe
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..operators.density import density_clusters
 from ..operators.neighbours import distinct_points, fuzzy_weights, layout, neighbour_graph
@@ -138,19 +141,77 @@ def topic_distributions(docs: DataFrame, terms: DataFrame, window: int = 4, leas
     """
     norm = F.sqrt(F.sum(F.col("term_weight") ** 2).over(Window.partitionBy("topic_id")))
     weights = terms.where("topic_id >= 0").select("topic_id", "term", (F.col("term_weight") / norm).alias("_w"))
-    last = F.greatest(F.size(tokens) - window, F.lit(0))
-    rows = docs.where(F.size(tokens) > 0).select(key, tokens, F.explode(F.sequence(F.lit(0), last)).alias("_at"), last.alias("_last"))
-    rows = rows.select(key, "_at", F.slice(tokens, F.col("_at") + 1, F.lit(window)).alias("_tokens"), "_last")
-    # how many windows each token of the window is in: they start from it - window + 1 to it, as far as there are any
-    place = lambda p: F.col("_at") + p
-    held = sum((F.when(F.size("_tokens") > p, 1 / (F.least(place(p), F.col("_last")) - F.greatest(place(p) - window + 1, F.lit(0)) + 1)).otherwise(0.0) for p in range(window)), F.lit(0.0))
-    # squared counts add up to the tokens and twice the pairs of equal ones; sums are written out, as Spark compiles no lambdas
-    same = sum((F.coalesce((F.get("_tokens", F.lit(i)) == F.get("_tokens", F.lit(j))).cast("int"), F.lit(0)) for i in range(window) for j in range(i)), F.lit(0))
-    rows = rows.select(key, "_at", held.alias("_held"), F.sqrt((F.size("_tokens") + 2 * same).cast("double")).alias("_size"), F.explode("_tokens").alias("term"))
-    near = rows.join(weights, "term").groupBy(key, "_at", "_held", "_size", "topic_id").agg(F.sum("_w").alias("_dot"))
-    near = near.select(key, "topic_id", "_held", (F.col("_dot") / F.col("_size")).alias("_s")).where(F.col("_s") >= least)
-    sums = near.groupBy(key, "topic_id").agg(F.sum(F.col("_s") * F.col("_held")).alias("_sum")).where("_sum > 0")
-    return sums.withColumn("share", F.col("_sum") / F.sum("_sum").over(Window.partitionBy(key))).select(key, "topic_id", "share")  # one row a topic and document
+    held: dict[str, list[tuple[int, float]]] = {}
+    for topic, term, w in weights.orderBy("topic_id", "term").collect():  # some best terms of each topic
+        held.setdefault(term, []).append((topic, w))
+    sums = _window_sums(window, least, held)
+    fields = StructType([docs.schema[key], StructField("topic_id", LongType()), StructField("_sum", DoubleType())])
+    rows = docs.select(key, tokens).mapInArrow(sums, fields).repartition(key)
+    rows = rows.groupBy(key, F.col("topic_id").cast(terms.schema["topic_id"].dataType).alias("topic_id")).agg(F.sum("_sum").alias("_sum")).where("_sum > 0")
+    return rows.withColumn("share", F.col("_sum") / F.sum("_sum").over(Window.partitionBy(key))).select(key, "topic_id", "share")  # one row a topic and document
+
+
+def _window_sums(window: int, least: float, held: dict[str, list[tuple[int, float]]]):
+    """For batches of (key, tokens): (key, topic, sum) over the windows of each row. `held` has the topics and weights of a term."""
+    topics = np.array(sorted({t for pairs in held.values() for t, _ in pairs}), np.int64)
+
+    def of(keys: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        flat = lists.flatten().dictionary_encode()
+        code = pc.fill_null(flat.indices, -1).to_numpy().astype(np.int64)
+        words = [held.get(w, []) for w in flat.dictionary.to_pylist()] + [[]]  # a null has code -1 and no topic
+        many = np.array([len(w) for w in words])
+        first = np.cumsum(many) - many
+        topic = np.searchsorted(topics, np.array([t for w in words for t, _ in w], np.int64))
+        weight = np.array([x for w in words for _, x in w], float)
+        start = np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(code)) - start[row]
+        last = np.maximum(sizes - window, 0)[row]
+        # each use of a topic's term, in every window that it is in; a window goes by the place of its first token
+        use = np.repeat(np.arange(len(code)), many[code])
+        pair = np.arange(len(use)) - np.repeat(np.cumsum(many[code]) - many[code], many[code]) + first[code][use]
+        places, which = [], []
+        for back in range(window):
+            inside = (at[use] >= back) & (at[use] - back <= last[use])
+            places.append(use[inside] - back)
+            which.append(pair[inside])
+        place, pair = np.concatenate(places), np.concatenate(which)
+        met, one = np.unique(place * len(topics) + topic[pair], return_inverse=True)
+        dot = np.bincount(one, weight[pair], len(met))
+        place, topic = np.divmod(met, max(1, len(topics)))
+        # squared counts of a window add up to its tokens and twice the pairs of equal ones
+        end = place + np.minimum(sizes, window)[row[place]]
+        same = np.zeros(len(place))
+        for k in range(1, window):
+            equal = np.zeros(len(code) + 1)
+            if len(code) > k:
+                equal[k + 1 :] = np.cumsum((code[k:] == code[:-k]) & (code[k:] >= 0) & (at[k:] >= k))
+            same += equal[end] - equal[np.minimum(place + k, end)]
+        near = dot / np.sqrt(end - place + 2 * same)
+        # how many windows each token of the window is in: they start from it - window + 1 to it, as far as there are any
+        share = np.zeros(len(place))
+        for p in range(window):
+            here = at[place] + p
+            share += np.where(place + p < end, 1 / np.maximum(1, np.minimum(here, last[place]) - np.maximum(here - window + 1, 0) + 1), 0)
+        good = near >= least
+        found, one = np.unique(row[place[good]] * len(topics) + topic[good], return_inverse=True)
+        total = np.bincount(one, near[good] * share[good], len(found))
+        row, topic = np.divmod(found, max(1, len(topics)))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(topics[topic]), pa.array(total)], ["key", "topic_id", "_sum"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))
+            lo = 0
+            while lo < len(keys) and len(topics):  # rows of some 100,000 tokens at a time
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 100_000)))
+                out = of(keys.slice(lo, hi - lo), lists.slice(lo, hi - lo))
+                yield out.rename_columns([batch.schema.names[0], "topic_id", "_sum"])
+                lo = hi
+
+    return run
 
 
 def adopt_by_distribution(docs: DataFrame, terms: DataFrame, least: float = 0.0, window: int = 4, similar: float = 0.1, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
