@@ -8,6 +8,7 @@ matrices of the block's width come to the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,112 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import dropped, written
 
+#: Terms that every executor may know: some 300 MB of words and numbers.
+MOST_TERMS = 4_000_000
+#: Terms whose vectors every executor may know at once.
+SLICE_TERMS = 250_000
+#: Places of texts whose pairs a task counts at once, and pairs that a task adds up at once.
+AT_ONCE, PART_PAIRS = 1 << 21, 1 << 23
 
-def near_pairs(df: DataFrame, tokens: str = "tokens", window: int = 4) -> DataFrame:
-    """(term, other, n): how often each two terms stand at most `window` places apart, both orders; a term beside itself counts twice."""
-    rows = df.select(F.col(tokens).alias("t")).where(F.size("t") > 1)
-    rows = rows.select("t", F.posexplode("t").alias("at", "term"))
-    pairs = rows.select("term", F.explode(F.slice("t", F.col("at") + 2, F.lit(window))).alias("other"))
-    # counted in one order, then given in both
-    half = pairs.groupBy(F.least("term", "other").alias("a"), F.greatest("term", "other").alias("b")).agg(F.count("*").alias("n"))
+
+def _numbered(terms: DataFrame) -> tuple[DataFrame, int]:
+    """(term, place): terms of a written table numbered from 0 without gaps, partition by partition, and how many there are."""
+    rows = written(terms.select("term", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    first, total = {}, 0
+    for part, n in sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg((F.max("at") + 1).alias("n")).collect()):  # one row a task
+        first[part], total = total, total + n
+    starts = rows.sparkSession.createDataFrame(list(first.items()), "part int, start long")
+    return written(rows.join(F.broadcast(starts), "part").select("term", (F.col("start") + F.col("at")).cast("int").alias("place"))), total
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in order, and the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    starts = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1))
+    return codes[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second ones and so on, which compress well where numbers are small."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def near_pairs(df: DataFrame, tokens: str = "tokens", window: int = 4, least: int = 1) -> DataFrame:
+    """(term, other, n): how often each two terms stand at most `window` places apart, both orders; a term beside itself counts twice.
+
+    Pairs seen fewer than `least` times are left out. A term meets at most 2 * `window` others a use, so those of too few uses
+    have no pair and no number. Pairs of numbers are counted a few million at a time, then by ranges of their
+    first number; these ranges move as packed arrays.
+    """
+    # an outer explode, since Spark would look at the tokens' size first, and make them twice for that
+    words = df.select(F.col(tokens).alias("t"))
+    uses = written(words.select(F.explode_outer("t").alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("uses")))
+    whole = uses.agg(F.sum("uses")).first()[0] or 0
+    places, many = _numbered(uses.where(F.col("uses") * (2 * window) >= least))
+    rows = words.withColumn("text", F.monotonically_increasing_id()).select("text", F.posexplode_outer("t").alias("at", "term"))
+    if many <= MOST_TERMS:
+        rows = rows.join(F.broadcast(places), "term", "left")
+    else:
+        rows = rows.join(places, "term", "left").repartition("text").sortWithinPartitions("text", "at")
+    rows = rows.select("text", F.coalesce("place", F.lit(-1)).alias("place"))
+    parts = max(1, -(-whole * window // PART_PAIRS))
+
+    def packed(texts: np.ndarray, place: np.ndarray, sign: int = 1) -> pa.RecordBatch:
+        codes = []
+        for k in range(1, window + 1):
+            a, b = place[:-k], place[k:]
+            near = (texts[:-k] == texts[k:]) & (a >= 0) & (b >= 0)
+            a, b = a[near].astype(np.int64), b[near].astype(np.int64)
+            codes.append(np.minimum(a, b) * many + np.maximum(a, b))
+        codes = np.sort(np.concatenate(codes))
+        starts = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1))
+        codes, counts = codes[starts], sign * np.diff(starts, append=len(codes)).astype(np.int32)
+        part = codes // max(1, many) % parts
+        order = np.argsort(part, kind="stable")
+        codes, counts, cuts = codes[order], counts[order], np.searchsorted(part[order], np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        steps = np.diff(codes, prepend=0)
+        steps[cuts[full]] = codes[cuts[full]]
+        lists = [pa.array([_planes(x[cuts[p] : cuts[p + 1]]) for p in full], pa.binary()) for x in (steps, counts)]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *lists], ["part", "steps", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column("text").to_numpy(), batch.column("place").to_numpy()))
+            n += batch.num_rows
+            if n < AT_ONCE:
+                continue
+            # the last places meet those that follow, and are counted again with these
+            texts, place = map(np.concatenate, zip(*held, strict=True))
+            yield packed(texts, place)
+            texts, place = texts[-window:], place[-window:]
+            yield packed(texts, place, -1)
+            held, n = [(texts, place)], len(texts)
+        if held:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
+
+    def add(table: pa.Table) -> pa.Table:
+        total, new, held = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+        for steps, counts in zip(table.column("steps"), table.column("counts"), strict=True):
+            new.append((np.cumsum(_numbers(steps.as_py(), np.int64)), _numbers(counts.as_py(), np.int32).astype(np.int64)))
+            held += len(new[-1][0])
+            if held > PART_PAIRS:
+                total, new, held = _summed(*map(np.concatenate, zip(total, *new, strict=True))), [], 0
+        codes, counts = _summed(*map(np.concatenate, zip(total, *new, strict=True)))
+        a, b = np.divmod(codes, max(1, many))
+        keep = counts * np.where(a == b, 2, 1) >= max(1, least)
+        return pa.table({"a": a[keep], "b": b[keep], "n": counts[keep]})
+
+    packs = rows.mapInArrow(count, "part int, steps binary, counts binary")
+    half = packs.repartition(parts, "part").groupBy("part").applyInArrow(add, "a long, b long, n long")
+    of = lambda c: places.select(F.col("place").cast("long").alias(c), F.col("term").alias(f"{c}_"))
+    half = half.join(of("a"), "a").join(of("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"), "n")
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("other"), (2 * F.col("n")).alias("n"))))
     both = both.otherwise(F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("other"), "n"), F.struct(F.col("b").alias("term"), F.col("a").alias("other"), "n")))
     return half.select(F.inline(both))
@@ -35,7 +134,7 @@ def positive_pmi(pairs: DataFrame, least: int = 5, smooth: float = 0.75) -> Data
     Pairs seen fewer than `least` times are left out first. Counts are raised to `smooth`, which keeps rare terms from
     heading every list; the table is symmetric.
     """
-    pairs = pairs.where(F.col("n") >= least)
+    pairs = written(pairs.where(F.col("n") >= least))  # read four times below
     counts = pairs.groupBy("term").agg(F.pow(F.sum("n").cast("double"), F.lit(smooth)).alias("c"))
     # the expected part of a pair is the product of the smoothed parts of its terms
     totals = pairs.agg(F.sum("n").alias("all")).crossJoin(counts.agg(F.sum("c").alias("mass")))  # one row
@@ -113,7 +212,7 @@ def leading_vectors(weights: DataFrame, dims: int = 50, spare: int = 10, rounds:
     the eigenvectors of the matrix within it. Fewer terms than dims leave zeros at the end.
     """
     width = dims + spare
-    weights = written(weights)
+    weights = written(weights.repartition("term").sortWithinPartitions("term"))  # so that a batch has few terms and sums them up
 
     def random_rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -122,7 +221,13 @@ def leading_vectors(weights: DataFrame, dims: int = 50, spare: int = 10, rounds:
 
     terms = weights.select("term").distinct().select("term", F.xxhash64("term").alias("h"))
     block = written(terms.mapInArrow(random_rows, "term string, vector array<double>"))
-    product = lambda b: _add_up(weights.join(b.withColumnRenamed("term", "other"), "other"), "term", width)
+    slices = max(1, -(-block.count() // SLICE_TERMS))
+
+    def product(b: DataFrame) -> DataFrame:
+        of = lambda rows, k: rows.where(F.pmod(F.xxhash64("other"), F.lit(slices)) == k)
+        b = b.withColumnRenamed("term", "other")
+        return _add_up(reduce(DataFrame.unionByName, [of(weights, k).join(F.broadcast(of(b, k)), "other") for k in range(slices)]), "term", width)
+
     for _ in range(rounds):
         after = written(product(block))
         dropped(block)
@@ -142,20 +247,29 @@ def leading_vectors(weights: DataFrame, dims: int = 50, spare: int = 10, rounds:
 
 def text_vectors(df: DataFrame, vectors: DataFrame, tokens: str = "tokens", key: str = "doc_id", smooth: float = 1e-3) -> DataFrame:
     """(key, vector): mean of the vectors of a text's terms, frequent ones counting less: smooth / (smooth + part of all terms). Texts without known terms have none."""
-    counts = df.select(F.col(key), F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    uses = counts.groupBy("term").agg(F.sum("n").alias("uses"))
-    rare = uses.crossJoin(F.broadcast(uses.agg(F.sum("uses").alias("all")))).select("term", (smooth / (smooth + F.col("uses") / F.col("all"))).alias("rare"))  # one row joined to all
     width = vectors.select(F.size("vector")).first()
     if width is None:
         return df.select(key, F.array().cast("array<double>").alias("vector")).limit(0)
-    rows = counts.join(vectors, "term").join(rare, "term").withColumn("weight", F.col("n") * F.col("rare"))
-    sums = rows.groupBy(key).agg(F.sum("weight").alias("w"), *[F.sum(F.get("vector", F.lit(k)) * F.col("weight")).alias(f"v{k}") for k in range(width[0])])
+    # an outer explode, since Spark would look at the tokens' size first, and make them twice for that
+    terms = df.select(key, F.explode_outer(tokens).alias("term"))
+    uses = written(terms.where("term is not null").groupBy("term").agg(F.count("*").alias("uses")))
+    whole = uses.agg(F.sum("uses")).first()[0] or 1
+    known = written(vectors.join(uses, "term").select("term", "vector", (smooth / (smooth + F.col("uses") / whole)).alias("rare")))
+    slices = max(1, -(-known.count() // SLICE_TERMS))
+    sums = None
+    for k in range(slices):  # texts meet a slice of the terms after another, so that only sums move
+        part = known.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == k)
+        rows = terms.join(F.broadcast(part), "term")
+        some = rows.groupBy(key).agg(F.sum("rare").alias("w"), *[F.sum(F.get("vector", F.lit(c)) * F.col("rare")).alias(f"v{c}") for c in range(width[0])])
+        sums = some if sums is None else sums.unionByName(some)
+    if slices > 1:
+        sums = sums.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("w", *(f"v{c}" for c in range(width[0])))])
     return sums.where("w > 0").select(key, F.array(*[F.col(f"v{k}") / F.col("w") for k in range(width[0])]).alias("vector"))
 
 
 def learned_vectors(df: DataFrame, tokens: str = "tokens", dims: int = 50, window: int = 4, least: int = 5) -> DataFrame:
     """(term, vector) of the terms of a corpus."""
-    return leading_vectors(positive_pmi(near_pairs(df, tokens, window), least), dims)
+    return leading_vectors(positive_pmi(near_pairs(df, tokens, window, least), least), dims)
 
 
 def encoded(df: DataFrame, make_client, text: str = "text", name: str = "vector", at_once: int = 64) -> DataFrame:

@@ -78,7 +78,7 @@ def dictionary_segments(spark, sf) -> DataFrame:
 
 def positive_pmi(spark, sf) -> DataFrame:
     """Pairs of terms within four words of each other, above chance."""
-    return rounded(term_vectors.positive_pmi(term_vectors.near_pairs(posts(spark, sf)), 20), 5)
+    return rounded(term_vectors.positive_pmi(term_vectors.near_pairs(posts(spark, sf), least=20), 20), 5)
 
 
 def _vectors(spark, sf) -> DataFrame:
