@@ -12,7 +12,9 @@ import base64
 import math
 import pickle
 import re
+import tempfile
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -41,10 +43,16 @@ class Network:
         self.weights = [rng.normal(0, 1 / math.sqrt(self.hidden), (self.features, self.hidden)), np.zeros(self.hidden), rng.normal(0, 1 / math.sqrt(self.hidden), self.hidden), np.zeros(1)]
         return self
 
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and counts of a text's known words."""
+        return np.unique(np.array([self.words[w] for w in WORD.findall((text or "").lower()) if w in self.words], np.int64), return_counts=True)
+
     def sparse(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and values of a text's known words: 1 + ln of their counts, of length 1 in all."""
-        slots = np.array([self.words[w] for w in WORD.findall((text or "").lower()) if w in self.words], np.int64)
-        at, n = np.unique(slots, return_counts=True)
+        return self.scaled(*self.counted(text))
+
+    @staticmethod
+    def scaled(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = 1 + np.log(n)
         return at, x / max(1e-9, math.sqrt((x**2).sum()))
 
@@ -88,6 +96,45 @@ class Schedule:
             w -= self.at(step) * ((m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.999 ** (step + 1))) + 1e-8) + self.decay * w * (w.ndim > 1))
 
 
+class Stored:
+    """Sparse rows and labels in a file of the task, read back by their places; memory has a row's start and label, twelve bytes a row.
+
+    Slots and counts take six bytes a word; values are made of counts when rows are read.
+    """
+
+    KIND = np.dtype([("slot", np.int32), ("n", np.uint16)])
+
+    def __init__(self):
+        self.file, self.starts, self.labels = tempfile.TemporaryFile(), array("q", [0]), array("i")
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+    def add(self, at: np.ndarray, n: np.ndarray, label: int) -> None:
+        # a count beyond two bytes is several entries of one slot
+        parts = -(-n // 65535)
+        row = np.zeros(int(parts.sum()), self.KIND)
+        row["slot"], left = np.repeat(at, parts), np.repeat(n, parts) - 65535 * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+        row["n"] = np.minimum(left, 65535)
+        self.file.write(row.tobytes())
+        self.starts.append(self.starts[-1] + len(row))
+        self.labels.append(label)
+
+    def __getitem__(self, some: slice) -> list[tuple[tuple[np.ndarray, np.ndarray], int]]:
+        lo, hi, _ = some.indices(len(self))
+        if lo >= hi:
+            return []
+        first = self.starts[lo]
+        self.file.seek(first * self.KIND.itemsize)
+        rows = np.frombuffer(self.file.read((self.starts[hi] - first) * self.KIND.itemsize), self.KIND)
+        out = []
+        for k in range(lo, hi):
+            row = rows[self.starts[k] - first : self.starts[k + 1] - first]
+            at, one = np.unique(row["slot"], return_inverse=True)
+            out.append((Network.scaled(at.astype(np.int64), np.bincount(one, row["n"], len(at)).astype(np.int64)), self.labels[k]))
+        return out
+
+
 def _sent(x: object) -> str:
     return base64.b64encode(zlib.compress(pickle.dumps(x), 1)).decode()
 
@@ -116,7 +163,7 @@ def train_network(df: DataFrame, text: str = "text", label: str = "label", split
 
     Its words are those of most rows of split `train`, of `least` at least, ties by the word. Learns from those rows; null labels are left out, null texts are empty, classes weigh the same in all. A shard
     takes up to `local` steps of `batch` rows, in the order of a hash, before weights are gathered. Tasks hold their shards' words
-    in memory and must all run at once; what they exchange has the size of the weights.
+    in files of their own and must all run at once; what they exchange has the size of the weights.
     """
     start = (network or Network()).start(seed)
     rows = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"), F.col(split).alias("split")).where(F.col(label).isNotNull() & F.col(split).isin("train", "val"))
@@ -134,10 +181,10 @@ def train_network(df: DataFrame, text: str = "text", label: str = "label", split
 
     def run(batches: Iterator[pa.RecordBatch]):
         context, model = BarrierTaskContext.get(), pickle.loads(pickle.dumps(start))  # noqa: S301
-        held: dict[int, dict[str, list]] = {}
+        held: dict[int, dict[str, Stored]] = {}
         for b in batches:
             for t, y, s, k in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), b.column("split").to_pylist(), b.column("shard").to_pylist(), strict=True):
-                held.setdefault(k, {"train": [], "val": []})[s].append((model.sparse(t), y))
+                held.setdefault(k, {"train": Stored(), "val": Stored()})[s].add(*model.counted(t), y)
         moments = {k: [[np.zeros_like(w) for w in model.weights] for _ in range(2)] for k in held}
         best, log = (-1.0, 0, None), []
         for epoch in range(epochs):

@@ -5,7 +5,7 @@ import numpy as np
 from corpusloom.operators import neighbours as N
 from corpusloom.operators import shortlist as S
 from corpusloom.operators import term_vectors as T
-from corpusloom.plans import topics
+from corpusloom.plans import topics, training
 
 
 def test_exact_neighbours_of_several_blocks_miss_none(spark):
@@ -91,3 +91,16 @@ def test_window_sums_move_no_windows(spark):
         assert abs(share - want[doc, topic] / (want[doc, 0] + want[doc, 3])) < 1e-12
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("hashpartitioning") == 1
+
+
+def test_training_rows_are_kept_in_files():
+    network = training.Network(words={f"w{k}": k for k in range(9)})
+    texts = ["w1 w1 w2", "", "w8 " * 70_000 + "w3", "w0 none w5"]
+    rows = training.Stored()
+    for k, t in enumerate(texts):
+        rows.add(*network.counted(t), k % 2)
+    assert len(rows) == 4 and rows[4:8] == []
+    got = [*rows[0:3], *rows[3:9]]
+    for k, ((at, x), label) in enumerate(got):
+        want = network.sparse(texts[k])
+        assert label == k % 2 and at.tolist() == want[0].tolist() and x.tolist() == want[1].tolist()
