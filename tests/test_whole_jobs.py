@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from corpusloom.functions import text
 from corpusloom.operators import neighbours as N
 from corpusloom.operators import shortlist as S
 from corpusloom.operators import term_vectors as T
@@ -104,3 +105,11 @@ def test_training_rows_are_kept_in_files():
     for k, ((at, x), label) in enumerate(got):
         want = network.sparse(texts[k])
         assert label == k % 2 and at.tolist() == want[0].tolist() and x.tolist() == want[1].tolist()
+
+
+def test_answers_are_mended_once(spark):
+    df = spark.createDataFrame([("```json\n{'tangping_related_label': '相关', 'confidence': 'high', 'reason': 'r',}\n```",), ("{\"a\": ",), (None,)], "raw string")
+    out = df.select(text.checked_answer("raw").alias("a")).select("a.*")
+    assert [tuple(r) for r in out.collect()] == [(True, "相关", "无", "高", "r", ""), (False, None, "其他", None, "", "not_object"), (False, None, "其他", None, "", "not_object")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json)?") == 1
