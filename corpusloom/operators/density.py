@@ -122,7 +122,7 @@ def condensed_tree(forest: DataFrame, points: DataFrame, min_size: int, tail: in
         after = written(rest.select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b"), "u", "v", "w"))
         dropped(left)
         left = after
-    none = points.sparkSession.createDataFrame([], "node string, parent string, w double, size long")
+    none = points.sparkSession.range(0).selectExpr("string(null) as node", "string(null) as parent", "double(null) as w", "id as size")
     return reduce(DataFrame.union, falls), reduce(DataFrame.union, births, none), vertices.where("node is not null").select("node")
 
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,11 @@ def distinct_points(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = rows.where(F.col("key").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     if cosine:
         rows = rows.withColumn("n", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).withColumn("vector", F.when(F.col("n") > 0, F.transform("vector", lambda x: x / F.col("n"))).otherwise(F.col("vector"))).drop("n")
+    rows = written(rows)  # else the join would check and cut each vector anew, once for each of its components
     points = written(rows.groupBy("vector").agg(F.min("key").alias("id"), F.count("*").alias("copies")).select("id", "copies", "vector"))
-    return points, written(rows.join(points.select("vector", "id"), "vector").select("key", "id"))
+    keys = written(rows.join(points.select("vector", "id"), "vector").select("key", "id"))
+    dropped(rows)
+    return points, keys
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -43,6 +47,25 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _kind(square: np.ndarray) -> type:
+    """Single precision, wherever squared lengths fit."""
+    return np.float32 if square.max() < 1e30 else np.float64
+
+
+def _margin(dims: int, kind: type) -> float:
+    """By how much of both squared lengths a squared distance from products can be wrong, at most, and as much again."""
+    return 4 * (dims + 8) * float(np.finfo(kind).eps)
+
+
+def _gaps(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (i, j) of rows, each that of the pair alone."""
+    out = np.empty(len(i))
+    for lo in range(0, len(i), 1 << 16):
+        gap = x[i[lo : lo + (1 << 16)]] - x[j[lo : lo + (1 << 16)]]
+        out[lo : lo + (1 << 16)] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
 def nearest(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and distances of the k nearest other rows of each row, ties to the smaller id. Distances are those of the pair alone,
     whatever else is in the block."""
@@ -50,26 +73,90 @@ def nearest(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     k = min(k, n - 1)
     if k <= 0:
         return np.zeros((n, 0), np.int64), np.zeros((n, 0))
+    if (most := np.abs(x).max()) > 1e150:  # a power of two keeps ties
+        most = 2.0 ** np.floor(np.log2(most))
+        where, d = nearest(x / most, ids, k)
+        return where, d * most
     square = np.einsum("ij,ij->i", x, x)
-    rough = square[:, None] - 2 * (x @ x.T) + square[None]
-    np.fill_diagonal(rough, np.inf)
-    some = np.argpartition(rough, min(k + 2, n - 1) - 1, axis=1)[:, : min(k + 2, n - 1)]
-    gap = x[:, None, :] - x[some]
-    exact = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
-    order = np.lexsort((ids[some], exact), axis=1)[:, :k]
-    return np.take_along_axis(some, order, 1), np.take_along_axis(exact, order, 1)
+    for kind in dict.fromkeys((_kind(square), np.float64)):
+        y = x.astype(kind)
+        rough = y @ y.T
+        rough *= -2
+        rough += square.astype(kind)
+        np.fill_diagonal(rough, np.inf)
+        # all that products can't tell from the k nearest are measured
+        far = np.partition(rough, k - 1, axis=1)[:, k - 1] + _margin(x.shape[1], kind) * (square + square.max())
+        i, j = np.divmod(np.flatnonzero(rough <= far.astype(kind)[:, None]), n)
+        if len(i) <= 4 * k * n:
+            break
+    d = _gaps(x, i, j)
+    order = np.lexsort((ids[j], d, i))
+    order = order[np.searchsorted(i, np.arange(n))[:, None] + np.arange(k)]
+    return j[order], d[order]
 
 
 def _found(ids: np.ndarray, neighbours: np.ndarray, distances: np.ndarray) -> pa.RecordBatch:
     n, k = neighbours.shape
-    pairs = pa.StructArray.from_arrays([pa.array(distances.ravel(), pa.float64()), pa.array(neighbours.ravel(), pa.int64())], ["d", "id"])
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pairs)], ["id", "neighbours"])
+    return _lists(ids, np.arange(n + 1) * k, neighbours.ravel(), distances.ravel())
+
+
+def _lists(ids: np.ndarray, offsets: np.ndarray, other: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    pairs = pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(other, pa.int64())], ["d", "id"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], ["id", "neighbours"])
+
+
+def _nearest_of(owner: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (owner, other, distance) the k nearest of each owner, ties to the smaller id, in the order of owners. Equal rows count once."""
+    order = np.lexsort((other, d, owner))
+    owner, other, d = owner[order], other[order], d[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1]) | (d[1:] != d[:-1])
+    owner, other, d = owner[new], other[new], d[new]
+    starts = _starts(owner)
+    keep = np.arange(len(owner)) - np.repeat(starts, np.diff(starts, append=len(owner))) < k
+    return owner[keep], other[keep], d[keep]
+
+
+def _starts(owner: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1]]))
+
+
+def _by_owner(owner: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> pa.RecordBatch:
+    """The rows of `_nearest_of` as lists, one an owner."""
+    owner, other, d = _nearest_of(owner, other, d, k)
+    starts = _starts(owner)
+    return _lists(owner[starts], np.append(starts, len(owner)), other, d)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of some `rows` rows of batches in the order of id; no id is in two of them."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            table = pa.Table.from_batches(held)
+            ids = table.column("id").to_numpy()
+            if cut := int(np.searchsorted(ids, ids[-1])):
+                yield table.slice(0, cut)
+                held = table.slice(cut).to_batches()
+                count -= cut
+    if count:
+        yield pa.Table.from_batches(held)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The k nearest of all that was found of each point: a bounded number of lists of k."""
-    lists = found.groupBy("id").agg(F.flatten(F.collect_list("neighbours")).alias("all"))
-    return lists.select("id", F.slice(F.array_sort(F.array_distinct("all")), 1, k).alias("neighbours"))
+
+    def pick(batches: Iterator[pa.RecordBatch]):
+        for rows in _whole(batches, 10_000):
+            rows = rows.combine_chunks()
+            sizes = pc.list_value_length(rows.column("d")).to_numpy()
+            owner = np.repeat(rows.column("id").to_numpy(), sizes)
+            yield _by_owner(owner, pc.list_flatten(rows.column("other")).to_numpy(), pc.list_flatten(rows.column("d")).to_numpy(), k)
+
+    lists = found.select("id", F.col("neighbours.d").alias("d"), F.col("neighbours.id").alias("other"))
+    return lists.repartition("id").sortWithinPartitions("id").mapInArrow(pick, FOUND)
 
 
 def _blocks(points: DataFrame, count: int, k: int, orders: int, block: int, seed: int) -> DataFrame:
@@ -129,36 +216,40 @@ def _introduced(points: DataFrame, graph: DataFrame, k: int, seed: int) -> DataF
     rows = pairs.join(known, "other").select("id", "other", "vector", "worst").repartition("id").sortWithinPartitions("id", "other")
 
     def introduce(batches: Iterator[pa.RecordBatch]):
-        def work(rows: pa.Table):
-            owner = rows.column("id").to_numpy()
-            starts = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1))
+        for rows in _whole(batches, 20_000):
             x, ids, worst = _matrix(rows.column("vector")), rows.column("other").to_numpy(), rows.column("worst").to_numpy()
-            out = ([], [], [])
-            for a, b in zip(starts, [*starts[1:], len(owner)], strict=True):
-                where, d = nearest(x[a:b], ids[a:b], k)
-                better = d < worst[a:b, None]
-                row, col = np.nonzero(better)
-                for o, v in zip(out, (ids[a:b][row], ids[a:b][where[row, col]], d[row, col]), strict=True):
-                    o.append(v)
-            one, other, d = map(np.concatenate, out)
-            return _found(one, other[:, None], d[:, None])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            if rows.num_rows >= 20_000:
-                owner = rows.column("id").to_numpy()
-                cut = int(np.searchsorted(owner, owner[-1]))
-                if cut:
-                    yield work(rows.slice(0, cut))
-                    held = rows.slice(cut).to_batches()
-        if held and (rows := pa.Table.from_batches(held)).num_rows:
-            yield work(rows)
+            i, j = _nearer_pairs(x, rows.column("id").to_numpy(), worst)
+            d = _gaps(x, i, j)
+            some = d < worst[i]
+            yield _by_owner(ids[i[some]], ids[j[some]], d[some], k)
 
     return rows.mapInArrow(introduce, FOUND)
 
 
+def _nearer_pairs(x: np.ndarray, owner: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of one owner that hold every pair nearer than i's worst, and few others. Owners of as many rows are worked on together."""
+    square = np.einsum("ij,ij->i", x, x)
+    kind = _kind(square)
+    y, size = x.astype(kind), square.astype(kind)
+    far = (worst**2 * (1 + 1e-9) + _margin(x.shape[1], kind) * (square + square.max()) - square).astype(kind)
+    starts = _starts(owner)
+    sizes = np.diff(starts, append=len(owner))
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in np.unique(sizes):
+        groups = starts[sizes == s][:, None] + np.arange(s)
+        step = max(1, (1 << 19) // (s * s))
+        for lo in range(0, len(groups), step):
+            at = groups[lo : lo + step]
+            rough = y[at] @ y[at].transpose(0, 2, 1)
+            rough *= -2
+            rough += size[at][:, None, :]
+            g, i, j = np.nonzero(rough <= far[at][:, :, None])
+            one.append(at[g, i])
+            two.append(at[g, j])
+    i, j = np.concatenate(one), np.concatenate(two)
+    return i[i != j], j[i != j]
+
+
 def neighbour_graph(points: DataFrame, k: int = 15, orders: int = 8, block: int = 1024, rounds: int = 2, seed: int = 7) -> DataFrame:
     """(id, neighbours array<struct<d, id>>): up to k nearest other points of each of (id, vector), nearest first, ties by id.
 
@@ -186,15 +277,6 @@ def _pair_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _nearest_of(owner: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (owner, other, distance) the k nearest of each owner, ties to the smaller id, in the order of owners."""
-    order = np.lexsort((other, d, owner))
-    owner, other, d = owner[order], other[order], d[order]
-    starts = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1))
-    keep = np.arange(len(owner)) - np.repeat(starts, np.diff(starts, append=len(owner))) < k
-    return owner[keep], other[keep], d[keep]
-
-
 def _close_pairs(x: np.ndarray, y: np.ndarray, far_x: np.ndarray, far_y: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (row of x, row of y) that hold every pair no further apart than the bound of either, and few others.
 
@@ -202,8 +284,8 @@ def _close_pairs(x: np.ndarray, y: np.ndarray, far_x: np.ndarray, far_y: np.ndar
     With `same` both are one block, and each pair comes once.
     """
     size_x, size_y = (x**2).sum(1), (y**2).sum(1)
-    kind = np.float32 if max(size_x.max(), size_y.max()) < 1e30 else np.float64
-    margin = 4 * (x.shape[1] + 8) * np.finfo(kind).eps
+    kind = _kind(np.append(size_x.max(), size_y.max()))
+    margin = _margin(x.shape[1], kind)
     # one product gives -d^2 / 2
     a = np.concatenate([x, size_x[:, None] / -2, np.ones((len(x), 1))], 1).astype(kind)
     b = np.concatenate([y, np.ones((len(y), 1)), size_y[:, None] / -2], 1).astype(kind)
@@ -252,11 +334,7 @@ def exact_neighbours(points: DataFrame, k: int = 15, block: int = 1 << 15, seed:
                     held += int(some.sum())
                 if held > 1 << 21:
                     new, held = [_nearest_of(*map(np.concatenate, zip(*new, strict=True)), k)], 0
-        owner, other, d = _nearest_of(*map(np.concatenate, zip(*new, strict=True)), k)
-        starts = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1))
-        pairs = pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(other, pa.int64())], ["d", "id"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(owner)), pa.int32()), pairs)
-        return pa.table([pa.array(owner[starts], pa.int64()), lists], ["id", "neighbours"])
+        return pa.Table.from_batches([_by_owner(*map(np.concatenate, zip(*new, strict=True)), k)])
 
     tiles = blocks * (blocks + 1) // 2
     return _best(rows.repartition(2 * tiles, "one", "two").groupBy("one", "two").applyInArrow(meet, FOUND), k)
@@ -296,32 +374,53 @@ def fuzzy_weights(graph: DataFrame) -> DataFrame:
 
 
 def _mover(strangers: np.ndarray, rate: float, epochs: int, negatives: int, seed: list[int]):
-    """Moves the points u of a block's edges (u, v, weight, here, there) for some epochs."""
-
-    def move(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["u", "v"])
-        ids, first = np.unique(frame["u"].to_numpy(), return_index=True)
-        here = np.stack(frame["here"].to_numpy()[first])
-        u, v = np.searchsorted(ids, frame["u"].to_numpy()), np.searchsorted(ids, frame["v"].to_numpy())
-        inside = (v < len(ids)) & (ids[np.minimum(v, len(ids) - 1)] == frame["v"].to_numpy())
-        v, there, weight = np.where(inside, v, 0), np.stack(frame["there"].to_numpy()), frame["weight"].to_numpy()
+    """Moves a block's points (id, place) along their edges (u, v, weight, there) for some epochs; points without edges stay."""
+
+    def move(places: pa.Table, edges: pa.Table) -> pa.Table:
+        if not edges.num_rows or not places.num_rows:
+            return places.select(["id", "place"])
+        every, place = places.column("id").to_numpy(), _matrix(places.column("place"))
+        u, v = edges.column("u").to_numpy(), edges.column("v").to_numpy()
+        order = np.lexsort((v, u))
+        u, v, weight, there = u[order], v[order], edges.column("weight").to_numpy()[order], _matrix(edges.column("there"))[order]
+        ids = np.unique(u)
+        rows = np.argsort(every)
+        rows = rows[np.searchsorted(every[rows], ids)]
+        here, u, at = place[rows], np.searchsorted(ids, u), np.minimum(np.searchsorted(ids, v), len(ids) - 1)
+        # the other end: a point of the block, or one that stands still, numbered after them
+        still = ids[at] != v
+        at[still] = len(ids) + np.arange(int(still.sum()))
+        there, weight = there[still], -2 * weight
         rng = np.random.default_rng([*seed, int(ids[0]) & 0xFFFFFFFF])
-        total = np.maximum(np.bincount(u, weight, len(ids)), 1e-9)
+        total = np.maximum(np.bincount(u, weight / -2, len(ids)), 1e-9)
         for epoch in range(epochs):
             alpha = rate * (1 - epoch / (2 * epochs))
-            gap = here[u] - np.where(inside[:, None], here[v], there)
-            pull = -2 * weight[:, None] * gap / (1 + (gap**2).sum(1))[:, None]
-            step = np.stack([np.bincount(u, np.clip(pull[:, c], -4, 4), len(ids)) for c in range(here.shape[1])], 1)
+            gap = np.subtract(here[u].T, np.concatenate([here, there])[at].T, order="C")  # one row a component
+            gap *= weight / (1 + np.einsum("ij,ij->j", gap, gap))
+            np.clip(gap, -4, 4, out=gap)
+            step = np.stack([np.bincount(u, g, len(ids)) for g in gap], 1)
             for _ in range(negatives):
                 gap = here - strangers[rng.integers(0, len(strangers), len(ids))]
                 far = (gap**2).sum(1)[:, None]
                 step += np.clip(2 * gap / ((0.01 + far) * (1 + far)), -4, 4) * (far > 0) * total[:, None] / negatives
             here = here + alpha * step / np.maximum(total, 1)[:, None]
-        return pd.DataFrame({"id": ids, "place": list(here)})
+        place = place.copy()
+        place[rows] = here
+        flat = pa.array(np.ascontiguousarray(place).ravel(), pa.float64())
+        return pa.table([pa.array(every, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(every) + 1) * place.shape[1], pa.int32()), flat)], ["id", "place"])
 
     return move
 
 
+def _block_number(cuts: list[float]):
+    """How many of the ascending cuts a value is above."""
+
+    def number(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(cuts), x.to_numpy(), "left").astype(np.int32))
+
+    return F.pandas_udf(number, "int")
+
+
 def layout(points: DataFrame, graph: DataFrame, dims: int = 5, rounds: int = 6, epochs: int = 25, negatives: int = 5, block: int = 4096, seed: int = 3) -> DataFrame:
     """(id, place array<double>): points in `dims` dimensions where neighbours stay near and strangers apart.
 
@@ -350,13 +449,13 @@ def layout(points: DataFrame, graph: DataFrame, dims: int = 5, rounds: int = 6,
         strangers = np.array([s["place"] for s in sample] or [[0.0] * dims])
         rate = 1.0 - r / rounds
         # blocks are ranges along another axis each round, so that borders move
-        ends = edges.join(place.select(F.col("id").alias("u"), F.col("place").alias("here")), "u").join(place.select(F.col("id").alias("v"), F.col("place").alias("there")), "v")
-        axis = F.get("here", F.lit(r % dims))
-        cuts = place.agg(F.percentile_approx(F.get("place", F.lit(r % dims)), [k / blocks for k in range(1, blocks)] or [0.5], 1000)).first()[0][: blocks - 1]
-        part = sum((F.when(axis > c, 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) < 32 else F.width_bucket(axis, F.lit(float(min(cuts))), F.lit(float(max(cuts)) + 1e-9), F.lit(blocks))
-
-        after = ends.withColumn("part", part).groupBy("part").applyInPandas(_mover(strangers, rate, epochs, negatives, [seed, r]), "id long, place array<double>")
-        after = written(place.select("id", F.col("place").alias("old")).join(after, "id", "left").select("id", F.coalesce("place", "old").alias("place")))
+        axis = F.get("place", F.lit(r % dims))
+        cuts = place.agg(F.percentile_approx(axis, [k / blocks for k in range(1, blocks)] or [0.5], max(1000, 50 * blocks))).first()[0][: blocks - 1]
+        dealt = place.withColumn("part", _block_number(cuts)(axis) if cuts else F.lit(0))
+        # edges learn their block and where their other end is; the places of a block come once a point
+        ends = edges.join(dealt.select(F.col("id").alias("u"), F.col("part").alias("block")), "u").join(place.select(F.col("id").alias("v"), F.col("place").alias("there")), "v")
+        move = _mover(strangers, rate, epochs, negatives, [seed, r])
+        after = written(dealt.groupBy("part").cogroup(ends.groupBy("block")).applyInArrow(move, "id long, place array<double>"))
         dropped(place)
         place = after
     return place

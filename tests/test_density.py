@@ -232,3 +232,59 @@ def test_fuzzy_weights(spark):
         p, q = one[a, b], one.get((b, a), 0.0)
         want[min(a, b), max(a, b)] = p + q - p * q
     assert got.keys() == want.keys() and all(math.isclose(got[e], want[e], rel_tol=1e-6, abs_tol=1e-9) for e in want)
+
+
+def test_vectors_are_cut_to_length_once(spark, monkeypatch):
+    """No table that is written from others computes lengths again: once within a vector they cost the square of its components."""
+    plans = []
+    written = neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    points, keys = neighbours.distinct_points(frame(spark, np.array([[3.0, 4.0], [6.0, 8.0], [0.0, 0.0], [-1.0, 0.0]])), cosine=True)
+    assert sum(p.count("aggregate(") for p in plans) == 1
+    assert sorted((r["id"], r["copies"], r["vector"]) for r in points.collect()) == [(0, 2, [0.6, 0.8]), (2, 1, [0.0, 0.0]), (3, 1, [-1.0, 0.0])]
+    assert sorted(map(tuple, keys.collect())) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**-10, 2.0**66, 2.0**664])
+def test_ties_go_to_smaller_ids(scale):
+    """A grid, where many are equally far, and near copies that single precision can't tell apart."""
+    x = np.array([[a, b] for a in range(12) for b in range(12)], float)
+    x = np.concatenate([x, 40 + np.arange(60)[:, None] * [1e-6, 0]])
+    ids = np.random.default_rng(4).permutation(len(x))
+    where, d = neighbours.nearest(x * scale, ids, 9)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for k in range(len(x)):
+        want = sorted((j for j in range(len(x)) if j != k), key=lambda j: (far[k, j], ids[j]))[:9]
+        assert np.allclose(d[k], far[k, want] * scale, rtol=1e-6) and (k >= 144 or where[k].tolist() == want)
+
+
+def test_introduced_pairs_are_those_nearer_than_the_worst():
+    rng = np.random.default_rng(3)
+    owner = np.repeat(np.arange(40), rng.integers(1, 12, 40))
+    x = rng.normal(size=(len(owner), 6))
+    x[5:30] = x[5] + rng.normal(size=(25, 6)) * 1e-7
+    worst = rng.uniform(0.5, 3, len(owner))
+    i, j = neighbours._nearer_pairs(x, owner, worst)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    some = d[i, j] < worst[i]
+    want = {(a, b) for a in range(len(x)) for b in range(len(x)) if a != b and owner[a] == owner[b] and d[a, b] < worst[a]}
+    assert set(zip(i[some].tolist(), j[some].tolist(), strict=True)) == want and len(i) == len(set(zip(i, j, strict=True)))
+
+
+def test_blocks_of_a_layout_are_bounded(spark, monkeypatch):
+    """Forty blocks of points most of which are in one place: none has many more than its share."""
+    import pyarrow as pa
+
+    def counted(*_):
+        def sizes(places, edges):
+            flat = pa.array(np.full(2 * len(places), float(len(places))))
+            return pa.table([places.column("id").combine_chunks(), pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1) * 2, pa.int32()), flat)], ["id", "place"])
+
+        return sizes
+
+    x = np.random.default_rng(9).standard_cauchy((2000, 2))
+    points = frame(spark, x).selectExpr("vec_id as id", "embedding as vector")
+    g = neighbours.neighbour_graph(points, 5)
+    monkeypatch.setattr(neighbours, "_mover", counted)
+    sizes = [r["place"][0] for r in neighbours.layout(points, g, 2, rounds=1, block=50).collect()]
+    assert len(sizes) == 2000 and max(sizes) <= 75
